@@ -10,7 +10,8 @@ Before that, parts that are never the article are left out: scripts, styles,
 forms and other controls, navigation, sidebars, page headers and footers,
 hidden parts, and elements whose class or id names an advert, a menu, a
 notice, sharing buttons or reader comments.  Within the article the same rule
-applies, so an advert between two paragraphs is dropped.
+applies, so an advert between two paragraphs is dropped; of a header within it
+only the headings stay.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one space.
@@ -38,6 +39,7 @@ DROPPED = frozenset("head script style noscript template iframe svg math object
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TEXTUAL = frozenset("p pre blockquote td dd li".split())
 #: A start of the first closes an open one of the second, up to a container.
 CLOSES_P = BLOCKS - frozenset(("body", "html"))
@@ -90,11 +92,19 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _in_heading(node: _Node | None) -> bool:
+    while node is not None and node.tag != "header":
+        if node.tag in HEADINGS:
+            return True
+        node = node.parent
+    return False
+
+
 def parse(page: str) -> _Node:
     """A tree of what may be text.  Dropped parts are kept as empty nodes, so that their ends match."""
     root = here = _Node("html", None, False)
     at, size = 0, len(page)
-    articles = 0
+    articles = headers = 0
     match = _TOKEN.match
     while at < size:
         m = match(page, at)
@@ -103,7 +113,7 @@ def parse(page: str) -> _Node:
         at = m.end()
         cdata, closing, tag, attributes, text = m.groups()
         if text is not None or cdata is not None:
-            if not here.dropped:
+            if not here.dropped and (not headers or _in_heading(here)):
                 here.children.append(text if text is not None else cdata)
             continue
         if tag is None:
@@ -119,6 +129,7 @@ def parse(page: str) -> _Node:
             if node is not None and node.parent is not None:
                 here = node.parent
                 articles -= tag in ("article", "main")
+                headers -= tag == "header"
             continue
         if tag in ("html", "body"):
             continue
@@ -138,7 +149,8 @@ def parse(page: str) -> _Node:
                 node = node.parent
             if node is not None and node.tag in CLOSES[tag] and node.parent is not None:
                 here = node.parent
-        node = _Node(tag, here, here.dropped or _is_noise(tag, attributes or "", articles > 0))
+        aside = headers > 0 and tag not in HEADINGS and tag not in ("div", "section", "header") and here.tag not in HEADINGS
+        node = _Node(tag, here, here.dropped or aside or _is_noise(tag, attributes or "", articles > 0))
         if not here.dropped:
             here.children.append(node)
         if tag in RAW:
@@ -148,6 +160,7 @@ def parse(page: str) -> _Node:
         if (attributes or "").endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "span", "em", "strong"):
             continue
         articles += tag in ("article", "main")
+        headers += tag == "header"
         here = node
     return root
 

@@ -43,7 +43,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.-]{20,}")
 #: Labelled examples per format, of which the held-back share sets the limit.
-EXAMPLES, HELD_BACK, ALPHA, SLACK, SEED = 240, 60, 0.05, 0.05, 7
+EXAMPLES, HELD_BACK, ALPHA, SLACK, SEED = 240, 60, 0.05, 0.1, 7
 
 _DIGIT, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALNUM = _DIGIT + _LOWER + _UPPER
