@@ -44,7 +44,7 @@ TEXTUAL = frozenset("p pre blockquote td dd li".split())
 #: A start of the first closes an open one of the second, up to a container.
 CLOSES_P = BLOCKS - frozenset(("body", "html"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
-LIMITS = frozenset("ul ol dl table div section article main body html blockquote td th nav aside form".split())
+LIMITS = frozenset("ul ol dl table div section article header main body html blockquote td th nav aside form".split())
 # Words of classes and ids.
 NOISE = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright
@@ -127,9 +127,10 @@ def parse(page: str) -> _Node:
                     break
                 node = node.parent
             if node is not None and node.parent is not None:
-                here = node.parent
-                articles -= tag in ("article", "main")
-                headers -= tag == "header"
+                while here is not node.parent:  # all that was left open within ends too
+                    articles -= here.tag in ("article", "main")
+                    headers -= here.tag == "header"
+                    here = here.parent
             continue
         if tag in ("html", "body"):
             continue

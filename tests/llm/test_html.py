@@ -56,6 +56,11 @@ def test_broken_pages(text):
     assert isinstance(html.main_text(text), str)
 
 
+def test_unclosed_header_ends_with_its_article():
+    made = "<article><header><h1>Head</h1><p>by me</article><div class=post><p>" + "Text, that goes on, for a while. " * 4 + "</div>"
+    assert "Text, that" in html.main_text(made) and "by me" not in html.main_text(made)
+
+
 def test_long_pages_are_read_whole():
     made = "<article>" + "<p>Some words, here.</p>" * 20_000 + "</article>"
     assert html.main_text(made) == " ".join(["Some words, here."] * 20_000)
