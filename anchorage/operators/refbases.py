@@ -72,6 +72,24 @@ def check_chunked(records: DataFrame, chunks: DataFrame, chunk: int = CHUNK) ->
     return one.select(*kept).unionByName(many.select(*kept))
 
 
+def fetch(chunks: DataFrame, wanted: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Bases of zero-based half-open spans: ``wanted`` (``span_id, name, start, end``) with ``bases``, null outside a sequence.
+
+    There is no random access into a file: spans meet the chunks that they
+    cover in one equi-join by name and chunk number.
+    """
+    lengths = chunks.where("number = 0").select("name", "length")
+    inside = wanted.join(lengths, "name", "left").withColumn("good", F.coalesce((F.col("start") >= 0) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("length")), F.lit(False)))
+    last = F.greatest(F.floor((F.col("end") - 1) / chunk), F.floor(F.col("start") / chunk))
+    covered = inside.where("good").withColumn("number", F.explode(F.sequence(F.floor(F.col("start") / chunk), last)))
+    low, high = F.greatest(F.col("start"), F.col("number") * chunk), F.least(F.col("end"), (F.col("number") + 1) * chunk)
+    part = F.substring("bases", (low - F.col("number") * chunk + 1).cast("int"), (high - low).cast("int"))
+    parts = covered.join(chunks.select("name", "number", "bases"), ["name", "number"], "left").groupBy("span_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", F.coalesce(part, F.lit("")).alias("part")))), lambda x: x["part"]), "").alias("bases")
+    )
+    return wanted.join(parts, "span_id", "left")
+
+
 def outcomes(checked: DataFrame, by: str | None = "sequence_name") -> DataFrame:
     """Counts of each state, per sequence or in total."""
     counts = [F.count_if(F.col("state") == s).alias(s) for s in STATES]

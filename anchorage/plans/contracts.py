@@ -102,7 +102,7 @@ def check_capability(kind: str, subject: str, anchor: str, counts: DataFrame) ->
     """The result of an exhaustive check (``bases`` or ``bounds``): one row ``checked, conflict, unresolved``."""
     prefix = {"bases": "reference-base-capability", "bounds": "coordinate-bounds-capability"}[kind]
     numbers = [F.col(c).cast("string") for c in ("checked", "conflict", "unresolved")]
-    made = counts.select(digest(prefix, quoted(F.lit(subject)), quoted(F.lit(anchor)), *numbers).alias("capability_id"), F.lit(kind).alias("kind"), F.lit(subject).alias("resource_id"), F.lit(subject).alias("subject_id"), F.lit(anchor).alias("anchor_id"), "checked", "conflict", "unresolved")
+    made = counts.select(digest(prefix, quoted(F.lit(subject)), quoted(F.lit(anchor)), *numbers).alias("capability_id"), F.lit(kind).alias("kind"), F.lit(anchor).alias("resource_id"), F.lit(subject).alias("subject_id"), F.lit(anchor).alias("anchor_id"), "checked", "conflict", "unresolved")
     return shaped(made, CAPABILITY)
 
 
@@ -122,3 +122,12 @@ def binding_table(resource: str, anchor: str, found: DataFrame) -> DataFrame:
     parts = [quoted(F.lit(resource)), quoted(F.col("local_name")), quoted(F.lit(anchor)), quoted(F.col("anchor_name"))]
     ident = F.when(F.size(values) > 0, digest("sequence-binding", *parts, F.array_join(F.transform(F.array_sort(values), quoted), ","))).otherwise(digest("sequence-binding", *parts))
     return shaped(found.withColumns({"binding_id": ident, "resource_id": F.lit(resource), "anchor_id": F.lit(anchor)}), BINDING)
+
+
+def annotation_identities(resource: str, usage: DataFrame, embedded: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
+    """Identities that may bind an annotation's names: its embedded sequences, and content-derived ones that a caller supplies, of names it uses."""
+    own = embedded.select(F.col("sequence_name").alias("local_name"), F.lit("md5").alias("scheme"), F.col("md5").alias("value"), F.lit("content_derived").alias("provenance"))
+    if supplied is not None:
+        own = own.unionByName(supplied.where("provenance = 'content_derived'").select("local_name", "scheme", "value", "provenance"))
+    used = usage.select(F.col("sequence_name").alias("local_name")).distinct()
+    return own.join(used, "local_name", "left_semi").distinct().withColumn("resource_id", F.lit(resource))

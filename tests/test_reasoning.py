@@ -3,9 +3,9 @@ import json
 
 import pytest
 
-from anchorage.errors import ParseError
+from anchorage.errors import EvaluationError, ParseError
 from anchorage.operators import alignment, collections, resolve
-from anchorage.plans import contracts, derive, evaluate, profile, report
+from anchorage.plans import bundle, contracts, derive, evaluate, profile, report
 from anchorage.plans.model import BINDING, CAPABILITY, REQUIREMENT
 from anchorage.sources import snapshot
 
@@ -279,3 +279,68 @@ def test_conditions():
 def test_binding_ids_follow_their_facts(spark):
     made = contracts.binding_table("r", "ref", spark.createDataFrame([("1", "chr1", "verified_sequence_identity", ["md5:x"]), ("2", "chr1", "authoritative_name", None)], "local_name string, anchor_name string, method string, identity_values array<string>"))
     assert made.columns == list(BINDING) and made.select("binding_id").distinct().count() == 2
+
+
+IDS = "resource_id string, local_name string, scheme string, value string, provenance string"
+
+
+def _required(spark, *rows):
+    base = {"level": "mandatory", "origin": "core_format"}
+    return rows_of(spark, REQUIREMENT, *[base | {"requirement_id": f"q{i}"} | r for i, r in enumerate(rows)])
+
+
+def test_bundle_binds_by_content_and_proves_absence(spark):
+    anchor = spark.createDataFrame([("chr1", 0, 10, "a" * 32, None), ("chr2", 1, 20, "b" * 32, None)], ANCHOR)
+    ids = spark.createDataFrame([("x", "1", "md5", "a" * 32, "content_derived"), ("y", "1", "md5", "9" * 32, "content_derived"), ("x", "2", "md5", "9" * 32, "declared_metadata")], IDS)
+    req = _required(spark, {"resource_id": "x", "kind": "presence", "sequence_name": "1"}, {"resource_id": "y", "kind": "presence", "sequence_name": "1"}, {"resource_id": "x", "kind": "presence", "sequence_name": "2"}, {"resource_id": "x", "kind": "length", "sequence_name": "1", "length": 10})
+    out = bundle.reason_bundle("ref", anchor, req, ids)
+    assert {(r["resource_id"], r["sequence_name"], r["kind"]): r["state"] for r in out["constraints"].collect()} == {("x", "1", "presence"): "satisfied", ("y", "1", "presence"): "unsatisfied", ("x", "2", "presence"): "unresolved", ("x", "1", "length"): "satisfied"}
+    assert out["verdict"].first()["verdict"] == "incompatible"
+    assert {r["method"] for r in out["evidence"].where("polarity = 'contradicts'").collect()} == {"exhaustive_sequence_identity_absence"}
+    assert report.broken_references(out, out["requirements"], out["capabilities"]).count() == 0
+    only = bundle.reason_bundle("ref", anchor, req, ids, scope=["x"], excluded=1)
+    assert only["verdict"].first()["verdict"] == "indeterminate" and only["constraints"].count() == 3
+
+
+def test_scope_limits_names_but_not_uniqueness(spark):
+    anchor = spark.createDataFrame([("chr1", 0, 10, "a" * 32, None), ("chr2", 1, 20, "a" * 32, None)], ANCHOR)
+    ids = spark.createDataFrame([("x", "1", "md5", "a" * 32, "content_derived")], IDS)
+    req = _required(spark, {"resource_id": "x", "kind": "presence", "sequence_name": "1"}, {"resource_id": "x", "kind": "presence", "sequence_name": "chr1"})
+    picked = spark.createDataFrame([("chr1",)], "name string")
+    out = bundle.reason_bundle("ref", anchor, req, ids, selected=picked)
+    assert {r["sequence_name"]: r["state"] for r in out["constraints"].collect()} == {"1": "unresolved", "chr1": "satisfied"}
+    with pytest.raises(EvaluationError):
+        bundle.reason_bundle("ref", anchor, req, ids, selected=spark.createDataFrame([("no",)], "name string"))
+
+
+def test_supplements_must_be_asked_for(spark):
+    anchor = spark.createDataFrame([("chr1", 0, 10, "a" * 32, None)], ANCHOR)
+    req = _required(spark, {"resource_id": "x", "kind": "bases", "anchor_id": "ref", "count": 5}, {"resource_id": "x", "kind": "binding", "anchor_id": "ref", "sequence_name": "1"})
+    count = spark.createDataFrame([(5, 0, 0)], "checked long, conflict long, unresolved long")
+    good = contracts.check_capability("bases", "x", "ref", count)
+    named = rows_of(spark, BINDING, {"binding_id": "b", "resource_id": "x", "local_name": "1", "anchor_id": "ref", "anchor_name": "chr1", "method": "authoritative_name"})
+    told = rows_of(spark, CAPABILITY, {"capability_id": "k", "kind": "binding", "resource_id": "ref", "subject_id": "x", "sequence_name": "1", "binding_state": "bound"})
+    out = bundle.reason_bundle("ref", anchor, req, supplements=good.unionByName(told), supplemental_bindings=named)
+    assert out["verdict"].first()["verdict"] == "compatible"
+    for caps, bound in ((good, named), (good.unionByName(told), None), (contracts.check_capability("bases", "z", "ref", count), None), (good.unionByName(good), None), (contracts.check_capability("bounds", "x", "ref", count), None), (contracts.anchor_capabilities("ref", anchor, False), None)):
+        with pytest.raises(EvaluationError):
+            bundle.reason_bundle("ref", anchor, req, supplements=caps, supplemental_bindings=bound)
+
+
+def test_fetch_over_chunks(spark):
+    from anchorage.operators import refbases
+
+    text = "ACGTTGCAAC"
+    bases = spark.createDataFrame([("s", text)], "name string, sequence string")
+    spans = [(i, "s", a, b) for i, (a, b) in enumerate(itertools.product(range(-1, 12), repeat=2))] + [(999, "no", 0, 1)]
+    wanted = spark.createDataFrame(spans, "span_id long, name string, start long, end long")
+    got = {r["span_id"]: r["bases"] for r in refbases.fetch(refbases.chunked(bases, 3), wanted, 3).collect()}
+    assert got == {i: text[a:b] if n == "s" and 0 <= a <= b <= 10 else None for i, n, a, b in spans}
+
+
+def test_annotation_identities_are_of_used_names(spark):
+    usage = spark.createDataFrame([("a",)], "sequence_name string")
+    embedded = spark.createDataFrame([("a", "m1"), ("b", "m2")], "sequence_name string, md5 string")
+    supplied = spark.createDataFrame([("a", "refget", "r", "content_derived"), ("a", "md5", "z", "declared_metadata")], "local_name string, scheme string, value string, provenance string")
+    got = {(r["scheme"], r["value"]) for r in contracts.annotation_identities("x", usage, embedded, supplied).collect()}
+    assert got == {("md5", "m1"), ("refget", "r")}
