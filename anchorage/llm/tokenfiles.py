@@ -14,8 +14,9 @@ no task holds more than one batch and one document.  A file appears under its
 name only when complete: a lost task leaves nothing behind and is run again.
 The totals of the files (one number each) give the offset of each range.
 
-Words are encoded by the tokenizers library, each distinct word once per
-worker: the tokenizer's own rules never join text across white space.
+Words are encoded by the tokenizers library, each distinct word once while a
+worker remembers it: the tokenizer's own rules never join text across white
+space.
 
 Defined results: a null or empty text has the end id alone; a null ``doc_id``
 comes first; rows that repeat a ``doc_id`` follow each other by their text;
@@ -26,6 +27,7 @@ table gives no file and no rows.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,40 +40,77 @@ from anchorage.llm.common import WORD, scratch_path, vocabulary_path
 
 LENGTH, ROWS = 1024, 256
 END_ID = 1
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 LONGEST_KEPT_WORD = 64
-#: New words handed to the library at a time.
-STEP = 1024
+
+
+#: Latin letters that are single, composed and lower-cased one by one, and ASCII punctuation but the apostrophe.
+_COMMON = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which a byte-level model names bytes that don't print: the byte's place among these, from U+0100."""
+    odd = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+    return {b: chr(256 + i) for i, b in enumerate(odd)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordIds(dict):
-    """A word and the bytes of its ids, little-endian, 16 bits each if the vocabulary allows."""
+    """A word and the bytes of its ids, little-endian, of numpy type ``kind``.
 
-    def __init__(self, file: str):
-        from tokenizers import Tokenizer
+    A word goes through the library's normaliser, pre-tokenizer and model one
+    after the other, so that parts that words share are encoded once.  For
+    words of common letters and a tail of punctuation the first two are known:
+    lower case and two parts.
+    """
 
+    def __init__(self, file: str, kind: str):
         super().__init__()
-        self._library = Tokenizer.from_file(vocabulary_path(file))
-        self._library.encode_special_tokens = True
+        self._library = _library(file)
+        self._model, self._normal, self._split = self._library.model, self._library.normalizer, self._library.pre_tokenizer
         self._words = re.compile(WORD).findall
-        self.kind = np.dtype("<u2" if self._library.get_vocab_size() <= 1 << 16 else "<u4")
+        self._code = "H" if kind == "<u2" else "I"
+        self._parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        data = self._parts.get(part)
+        if data is None:
+            ids = [t.id for t in self._model.tokenize(part)]
+            data = struct.pack(f"<{len(ids)}{self._code}", *ids)
+            if len(part) <= LONGEST_KEPT_WORD:
+                if len(self._parts) >= WORDS_KEPT:
+                    self._parts.clear()
+                self._parts[part] = data
+        return data
+
+    def __missing__(self, word: str) -> bytes:
+        common = _COMMON(word)
+        if common:
+            letters, tail = common.groups()
+            letters = letters.lower()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            data = self._part(letters) + self._part(tail) if tail else self._part(letters)
+        else:
+            data = b"".join(self._part(part) for part, _ in self._split.pre_tokenize_str(self._normal.normalize_str(word)))
+        if len(word) <= LONGEST_KEPT_WORD:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = data
+        return data
 
     def ids(self, text: str) -> bytes:
-        words = self._words(text)
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > WORDS_KEPT:
-            self.clear()
-            new = list(set(words))
-        own = {}
-        for at in range(0, len(new), STEP):
-            part = new[at : at + STEP]
-            for word, found in zip(part, self._library.encode_batch(part, add_special_tokens=False), strict=True):
-                data = np.array(found.ids, self.kind).tobytes()
-                own[word] = data
-                if len(word) <= LONGEST_KEPT_WORD:
-                    self[word] = data
-        get = self.__getitem__ if all(len(w) <= LONGEST_KEPT_WORD for w in new) else lambda w: self.get(w, own.get(w))
-        return b"".join(map(get, words))
+        return b"".join(map(self.__getitem__, self._words(text)))
+
+
+def _library(file: str):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path(file))
+    library.encode_special_tokens = True
+    return library
 
 
 def _filesystem(path: str):
@@ -155,19 +194,23 @@ class SequenceFile:
 def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id: int = END_ID, parts: int | None = None) -> list[tuple[str, int]]:
     """Write the files; their URIs in document order, with the ids that each holds."""
     spark = docs.sparkSession
+    kind = "<u2" if _library(file).get_vocab_size() <= 1 << 16 else "<u4"
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, press = WordIds(file), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], words.kind).tobytes()
+        words, press = WordIds(file, kind), zstandard.ZstdCompressor(level=1)
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             packed, marks = [], []
+            ids = batch.column(0)
+            parts_of = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+            parts_of[ids.is_null().to_numpy(zero_copy_only=False)] = 0
             for cell in batch.column(1):
                 text = cell.as_py() or ""
                 packed.append(press.compress(words.ids(text) + end))
                 marks.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "mark", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts_of), ids, pa.array(marks, pa.int64()), pa.array(packed, pa.binary())], names=["part", "doc_id", "mark", "ids"])
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -175,7 +218,7 @@ def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id:
         import zstandard
         from pyspark import TaskContext
 
-        unpack, kind = zstandard.ZstdDecompressor(), WordIds(file).kind
+        unpack = zstandard.ZstdDecompressor()
         number = TaskContext.get().partitionId()
         system, path = _filesystem(f"{folder}/part-{number:05d}")
         own = f"{path}.{uuid.uuid4().hex}"
@@ -186,7 +229,7 @@ def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id:
                 if writer is None:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     sink = system.open_output_stream(f"{own}.open")
-                    writer = SequenceWriter(sink, kind, LENGTH, ROWS)
+                    writer = SequenceWriter(sink, np.dtype(kind), LENGTH, ROWS)
                 ids = np.frombuffer(unpack.decompress(cell.as_py()), kind)
                 index.append((doc, writer.total, len(ids)))
                 writer.add(ids)
@@ -203,9 +246,12 @@ def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id:
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([writer.total], pa.int64())], names=["number", "total"])
 
     view = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    encoded = view.mapInArrow(encode, "doc_id long, mark long, ids binary")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "mark").select("doc_id", "ids")
+    # Borders of the ranges from the ids alone, one number a range; dealing out by range itself would encode twice, once to find the borders.
+    found = view.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("b")).first()["b"]
+    bounds = np.unique(np.array(found or [], np.int64)) if parts > 1 else np.empty(0, np.int64)
+    encoded = view.mapInArrow(encode, "part int, doc_id long, mark long, ids binary")
+    dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "mark").select("doc_id", "ids")
     saved = dealt.mapInArrow(save, "number long, total long").collect()  # one row per file
     return [(f"{folder}/part-{r['number']:05d}", r["total"]) for r in sorted(saved)]
 
