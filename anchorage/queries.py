@@ -513,4 +513,195 @@ def conflict_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.reason("documents", *_bundle(spark, sf_dir))["cores"].select("requirement_id", "core_kind")
 
 
+# Names through bindings, merged bindings, consistency of namings.
+@query(
+    "WITH n AS (SELECT 'c' || c_custkey AS name FROM customer), b AS (SELECT 'o' || o_orderkey AS local_name, 'c' || o_custkey AS anchor_name FROM orders WHERE o_orderkey % 3 = 0) "
+    "SELECT 'o' || o_orderkey AS sequence_name, a.name AS anchor_name, coalesce(c.c_nationkey, -1)::BIGINT AS anchor_length FROM orders LEFT JOIN b ON b.local_name = 'o' || o_orderkey "
+    "LEFT JOIN n a ON a.name = coalesce(b.anchor_name, 'o' || o_orderkey) LEFT JOIN customer c ON 'c' || c.c_custkey = a.name"
+)
+def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    anchor = c.select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.col("c_nationkey").cast("long").alias("length"))
+    named = o.select(F.concat(F.lit("o"), "o_orderkey").alias("sequence_name"), "o_orderkey", "o_custkey")
+    bindings = named.where("o_orderkey % 3 = 0").select(F.col("sequence_name").alias("local_name"), F.concat(F.lit("c"), "o_custkey").alias("anchor_name"))
+    return resolve.resolve_names(named.select("sequence_name"), anchor, bindings).withColumn("anchor_length", F.coalesce("anchor_length", F.lit(-1)))
+
+
+_MERGE = "WITH d AS (SELECT 'n' || s_suppkey AS local_name, 'a' || s_nationkey AS anchor_name FROM supplier WHERE s_suppkey % 2 = 0), x AS (SELECT 'n' || s_suppkey AS local_name, 'a' || (s_nationkey + CASE WHEN s_suppkey % 10 = 0 THEN 1 ELSE 0 END) AS anchor_name FROM supplier) "
+
+
+def _bindings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = _table(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("n"), "s_suppkey").alias("local_name")
+    derived = s.where("s_suppkey % 2 = 0").select(name, F.concat(F.lit("a"), "s_nationkey").alias("anchor_name"))
+    return derived, s.select(name, F.concat(F.lit("a"), F.col("s_nationkey") + F.when(F.col("s_suppkey") % 10 == 0, 1).otherwise(0)).alias("anchor_name"))
+
+
+@query(_MERGE + "SELECT * FROM d UNION ALL SELECT * FROM x WHERE local_name NOT IN (SELECT local_name FROM d)")
+def binding_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.merge_bindings(*_bindings(spark, sf_dir))
+
+
+@query(_MERGE + "SELECT local_name, x.anchor_name AS given, d.anchor_name FROM x JOIN d USING (local_name) WHERE x.anchor_name <> d.anchor_name")
+def binding_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.binding_conflicts(*_bindings(spark, sf_dir))
+
+
+@query(
+    f"WITH {_ANCHOR}, t AS (SELECT 'doc' || doc_id AS local_name, 'doc' || (CASE WHEN doc_id % 9 = 4 THEN doc_id - 1 ELSE doc_id END) AS anchor_name, {_MD5.format('text')} AS value FROM documents), "
+    "e AS (SELECT md5 AS value, count(*) AS n FROM anchor GROUP BY md5) SELECT local_name, t.anchor_name, (a.md5 = t.value AND coalesce(e.n, 0) = 1) AS consistent FROM t JOIN anchor a ON a.name = t.anchor_name JOIN e ON e.value = t.value"
+)
+def naming_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor = _anchor(spark, sf_dir)
+    local = anchor.select(F.col("name").alias("local_name"), F.lit("md5").alias("scheme"), F.col("md5").alias("value"))
+    targets = anchor.select(F.col("name").alias("local_name"), F.concat(F.lit("doc"), F.when(F.col("ordinal") % 9 == 4, F.col("ordinal") - 1).otherwise(F.col("ordinal"))).alias("anchor_name"))
+    return resolve.identity_consistency(local, anchor, targets)
+
+
+@query(
+    "WITH r AS (SELECT 'doc' || (c_custkey % 1500) AS sequence_name, 1 AS start_, (500 + c_custkey * 3 % 4000)::BIGINT AS end_ FROM customer) SELECT sequence_name, end_ AS \"end\", "
+    "CASE WHEN doc_id IS NULL THEN 'unresolved_sequence' WHEN end_ <= n_chars THEN 'representable' ELSE 'out_of_bounds' END AS state FROM r LEFT JOIN documents ON 'doc' || doc_id = sequence_name"
+)
+def region_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    regions = _table(spark, sf_dir, "customer").select(F.concat(F.lit("doc"), k % 1500).alias("sequence_name"), F.lit(1).cast("long").alias("start"), (500 + k * 3 % 4000).cast("long").alias("end"))
+    return bounds.check_regions(regions, _lengths(spark, sf_dir)).select("sequence_name", "end", "state")
+
+
+@query("SELECT sequence_name, n_records, min_start, max_end, first_ordinal, n_circular, n_landmarks FROM (SELECT event_type AS sequence_name, count(*)::BIGINT AS n_records, min(event_id % 97)::BIGINT AS min_start, max(event_id % 97 + 5)::BIGINT AS max_end, min(event_id)::BIGINT AS first_ordinal, "
+    "count(*) FILTER (WHERE event_id % 7 = 0)::BIGINT AS n_circular, count(*) FILTER (WHERE event_id % 7 = 0 AND user_id % 2 = 0)::BIGINT AS n_landmarks FROM events GROUP BY event_type)")
+def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    start = F.col("event_id") % 97
+    rows = e.select(
+        F.col("event_type").alias("sequence_name"), F.col("event_type").alias("raw_sequence_name"), F.col("event_id").alias("ordinal"), F.col("event_id").alias("line_number"), start.alias("start"), (start + 5).alias("end"),
+        (F.col("event_id") % 7 == 0).alias("is_circular"), F.when(F.col("user_id") % 2 == 0, "region").otherwise("gene").alias("feature_type"),
+    )
+    return bounds.feature_usage(rows).select("sequence_name", "n_records", "min_start", "max_end", "first_ordinal", "n_circular", "n_landmarks")
+
+
+# Parsers on lines made of line items.
+@query(
+    "WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS line_number, l_partkey % 40 AS p, l_suppkey AS s, l_quantity::BIGINT AS q FROM lineitem) SELECT line_number, CASE WHEN p = 1 THEN 'chrom must be 1 to 255 ASCII letters, digits or underscores' WHEN p = 2 THEN 'chromStart is not an unsigned 64-bit integer' "
+    "WHEN p = 3 THEN 'expected 3 fields' WHEN p = 4 AND q > 0 THEN 'chromStart exceeds chromEnd' WHEN p = 5 THEN 'track and browser lines are not allowed' END AS error, CASE WHEN p NOT IN (1, 2, 3, 5) THEN (s + CASE WHEN p = 4 THEN q ELSE 0 END)::BIGINT ELSE -1 END AS start FROM l WHERE p <> 6"
+)
+def interval_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import bed
+
+    p, s, q = F.col("l_partkey") % 40, F.col("l_suppkey"), F.col("l_quantity").cast("long")
+    plain = F.concat_ws("\t", F.lit("chr1"), (s + F.when(p == 4, q).otherwise(0)).cast("string"), (s + F.when(p == 4, 0).otherwise(q)).cast("string"))
+    value = (
+        F.when(p == 1, F.concat(F.lit("chr.1\t"), s, F.lit("\t"), s)).when(p == 2, F.concat(F.lit("chr1\t-"), s, F.lit("\t"), s)).when(p == 3, F.lit("chr1\t5")).when(p == 5, F.lit("track name=x")).when(p == 6, F.lit("# remark")).otherwise(plain)
+    )
+    lines = _table(spark, sf_dir, "lineitem").select(F.lit("lines").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_number"), value.alias("value"))
+    parsed = bed.parse(lines, "bed3")
+    broken = F.coalesce(~F.col("error").startswith("chromStart exceeds"), F.lit(False))
+    return parsed.select("line_number", "error", F.coalesce(F.when(~broken, F.col("start").cast("long")), F.lit(-1)).alias("start"))
+
+
+@query(
+    "WITH l AS (SELECT o_orderkey AS line_number, o_orderkey % 12 AS p, o_custkey AS c FROM orders) SELECT line_number, CASE p WHEN 1 THEN 'a record has at least five tab-separated fields' WHEN 2 THEN 'POS is not a non-negative integer' WHEN 3 THEN 'REF must be bases' END AS error, "
+    "CASE WHEN p NOT IN (1, 2) THEN c ELSE -1 END AS position FROM l WHERE p <> 0"
+)
+def variant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import variants
+
+    p, c = F.col("o_orderkey") % 12, F.col("o_custkey").cast("string")
+    value = F.when(p == 0, "#CHROM").when(p == 1, "chr1\t5").otherwise(F.concat_ws("\t", F.lit("chr1"), F.when(p == 2, F.concat(F.lit("x"), c)).otherwise(c), F.lit("."), F.when(p == 3, "A<X>").otherwise("acgtN"), F.lit("T"), F.lit("rest\tof\tline")))
+    lines = _table(spark, sf_dir, "orders").select(F.lit("lines").alias("path"), F.col("o_orderkey").alias("line_number"), value.alias("value"))
+    return variants.parse_records(lines).select("line_number", "error", F.coalesce(F.when(~F.coalesce(F.col("error").startswith("a record"), F.lit(False)), F.col("position")), F.lit(-1)).alias("position"))
+
+
+@query(
+    "WITH l AS (SELECT o_orderkey AS line_number, o_orderkey % 11 AS p, o_custkey AS c FROM orders) SELECT line_number, CASE p WHEN 1 THEN 'a feature has nine tab-separated fields' WHEN 2 THEN 'start is not a positive integer' WHEN 3 THEN CASE WHEN c = 0 THEN 'end is not a positive integer' ELSE 'start exceeds end' END WHEN 4 THEN 'invalid sequence id' WHEN 5 THEN 'Is_circular must be true' END AS error, "
+    "CASE WHEN p = 6 THEN 'a b' WHEN p NOT IN (1, 4) THEN 'chr1' END AS sequence_name, p = 7 AS is_circular FROM l WHERE p <> 0"
+)
+def annotation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import annotation
+
+    p, c = F.col("o_orderkey") % 11, F.col("o_custkey") + 1
+    name = F.when(p == 4, "chr%41").when(p == 6, "a%20b").otherwise("chr1")
+    extra = F.when(p == 5, "Is_circular=yes").when(p == 7, "ID=x;Is_circular=true").otherwise("ID=y")
+    line = F.concat_ws("\t", name, F.lit("x"), F.lit("gene"), F.when(p == 2, "0").otherwise(c.cast("string")), (c - F.when(p == 3, 1).otherwise(0)).cast("string"), F.lit("."), F.lit("."), F.lit("."), extra)
+    value = F.when(p == 0, "# remark").when(p == 1, "chr1\tx").otherwise(line)
+    lines = _table(spark, sf_dir, "orders").select(F.lit("lines").alias("path"), F.col("o_orderkey").alias("line_number"), value.alias("value"))
+    parsed = annotation.parse_features(lines, "gff3")
+    return parsed.select("line_number", "error", F.when(~F.coalesce(F.col("error").startswith("a feature"), F.lit(False)), F.col("sequence_name")).alias("sequence_name"), "is_circular")
+
+
+@query(
+    "WITH l AS (SELECT c_custkey AS line_number, c_custkey % 10 AS p, c_custkey AS c FROM customer) SELECT line_number, CASE p WHEN 1 THEN 'an index line has five tab-separated fields' WHEN 2 THEN 'fields 2 to 5 are integers' WHEN 3 THEN 'more bases per line than bases' WHEN 4 THEN 'fewer bytes than bases per line' "
+    "WHEN 5 THEN 'several lines need line ends' WHEN 6 THEN 'the sequence name holds white space' WHEN 7 THEN 'a field is negative' END AS error FROM l"
+)
+def index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import fasta
+
+    p, c = F.col("c_custkey") % 10, F.col("c_custkey")
+    name = F.concat(F.when(p == 6, "a b").otherwise("s"), c)
+    length, per = 100 + c, F.when(p == 3, 200 + c).when(p == 5, F.lit(60)).otherwise(60)
+    width = F.when(p == 4, 59).when(p == 5, 60).when(p == 3, 201 + c).otherwise(61)
+    line = F.concat_ws("\t", name, F.when(p == 2, "x").otherwise(length.cast("string")), F.when(p == 7, "-5").otherwise("5"), per.cast("string"), width.cast("string"))
+    lines = _table(spark, sf_dir, "customer").select(F.lit("lines").alias("path"), c.alias("line_number"), F.when(p == 1, "a\t1").otherwise(line).alias("value"))
+    return fasta.parse_index(lines).select("line_number", "error")
+
+
+# Contracts of the other formats.
+_OTHER = (
+    "WITH a AS (SELECT 'p' || p_partkey AS name, p_size::BIGINT AS length, md5(p_name) AS md5 FROM part), d AS (SELECT 'p' || (p_partkey + 5) AS name, (p_size + CASE WHEN p_partkey % 8 = 0 THEN 1 ELSE 0 END)::BIGINT AS length, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE md5(p_name) END AS md5 FROM part) "
+)
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = _table(spark, sf_dir, "part")
+    k, md5 = F.col("p_partkey"), F.md5(F.col("p_name").cast("binary"))
+    anchor = p.select(F.concat(F.lit("p"), k).alias("name"), k.alias("ordinal"), F.col("p_size").cast("long").alias("length"), md5.alias("md5"), F.lit(None).cast("string").alias("refget"))
+    return anchor, p.select(F.concat(F.lit("p"), k + 5).alias("name"), k.alias("ordinal"), (F.col("p_size") + F.when(k % 8 == 0, 1).otherwise(0)).cast("long").alias("length"), F.when(k % 3 != 0, md5).alias("md5"))
+
+
+@query(
+    _OTHER + "SELECT 'presence' AS kind, d.name AS sequence_name, CASE WHEN a.name IS NULL THEN 'unresolved' ELSE 'satisfied' END AS state FROM d LEFT JOIN a USING (name) UNION ALL SELECT 'length', d.name, CASE WHEN a.name IS NULL THEN 'unresolved' WHEN a.length = d.length THEN 'satisfied' ELSE 'unsatisfied' END FROM d LEFT JOIN a USING (name) "
+    "UNION ALL SELECT 'identity', d.name, CASE WHEN a.name IS NULL THEN 'unresolved' WHEN a.md5 = d.md5 THEN 'satisfied' ELSE 'unsatisfied' END FROM d LEFT JOIN a USING (name) WHERE d.md5 IS NOT NULL"
+)
+def alignment_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor, rows = _parts(spark, sf_dir)
+    return evaluate.constraints("parts", contracts.alignment_contract("reads", rows), contracts.anchor_capabilities("parts", anchor, False)).select("kind", "sequence_name", "state")
+
+
+_BOUNDS_STATE = "CASE WHEN count(*) = 0 THEN 'not_applicable' WHEN count(*) FILTER (WHERE state = 'out_of_bounds') > 0 THEN 'unsatisfied' WHEN count(*) FILTER (WHERE state = 'unresolved_sequence') > 0 THEN 'unresolved' ELSE 'satisfied' END"
+
+
+@query(
+    _INTERVALS + "SELECT 'presence' AS kind, sequence_name, CASE WHEN bool_or(anchor_length IS NOT NULL) THEN 'satisfied' ELSE 'unresolved' END AS state FROM c GROUP BY sequence_name UNION ALL SELECT 'bounds', NULL, " + _BOUNDS_STATE + " FROM c"
+)
+def interval_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor = _lengths(spark, sf_dir)
+    checked = bounds.check_intervals(_intervals(spark, sf_dir), anchor)
+    count = bounds.capability(checked)
+    requirements = contracts.interval_contract("intervals", "documents", bounds.interval_usage(_intervals(spark, sf_dir).withColumn("line_number", F.col("ordinal"))), count)
+    capabilities = contracts.anchor_capabilities("documents", anchor, False).unionByName(contracts.check_capability("bounds", "intervals", "documents", count))
+    return evaluate.constraints("documents", requirements, capabilities).select("kind", "sequence_name", "state")
+
+
+@query(
+    _FEATURES + "SELECT 'presence' AS kind, sequence_name, CASE WHEN bool_or(n IS NOT NULL) THEN 'satisfied' ELSE 'unresolved' END AS state FROM c GROUP BY sequence_name UNION ALL SELECT 'bounds', NULL, "
+    "CASE WHEN count(*) FILTER (WHERE state = 'out_of_bounds') > 0 THEN 'unsatisfied' WHEN count(*) FILTER (WHERE state IN ('unresolved_sequence', 'circular_bounds_unresolved')) > 0 THEN 'unresolved' ELSE 'satisfied' END FROM c"
+)
+def annotation_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features, marks, anchor = _features(spark, sf_dir)
+    anchor = anchor.withColumn("ordinal", F.lit(None).cast("long"))
+    checked = bounds.check_features(features, anchor, marks=bounds.landmarks(marks, anchor))
+    count = bounds.capability(checked)
+    requirements = contracts.annotation_contract("genes", "customers", bounds.usage(features), count=count)
+    capabilities = contracts.anchor_capabilities("customers", anchor, False).unionByName(contracts.check_capability("bounds", "genes", "customers", count))
+    return evaluate.constraints("customers", requirements, capabilities).select("kind", "sequence_name", "state")
+
+
+@query("SELECT 'x' AS edge, 'x' AS id WHERE false")
+def broken_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.plans import report
+
+    requirements, capabilities = _bundle(spark, sf_dir)
+    return report.broken_references(evaluate.reason("documents", requirements, capabilities), requirements, capabilities)
+
+
 FLAGSHIP = refbase_by_sequence
