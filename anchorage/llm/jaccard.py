@@ -49,9 +49,11 @@ from anchorage.llm.components import connected_components
 #: Longs in a parity map, fragments in which overlaps are counted.
 MAP_LONGS, COUNT_FRAGMENTS = 8, 4
 #: Word hashes kept by a worker.
-WORDS_KEPT = 500_000
-#: Candidates up to this number are broadcast to pick their texts; more are joined by a shuffle.
+WORDS_KEPT = 200_000
+#: Tables of ids are broadcast up to this number of rows, which are counted first; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bits of a signature that are counted before whole signatures are dealt out.
+SHORT_BITS = 40
 MAPS = [f"map{i}" for i in range(MAP_LONGS)]
 _U = np.uint64
 
@@ -213,6 +215,12 @@ def _fragments(docs: DataFrame, width: int) -> DataFrame:
     return _view(docs).mapInArrow(run, "doc_id long, key1 long, key2 long, fragment int, items array<long>")
 
 
+def _joined(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi or anti join with a written table of ids, which is broadcast if its rows are counted to be few."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, on, how)
+
+
 class _Join:
     """The state shared by the steps of one join."""
 
@@ -222,11 +230,16 @@ class _Join:
         self.prints = cut(_prints(docs, width, num, den).withColumn("node", F.monotonically_increasing_id()), "prints")
         linkable = self.prints.where("n > 0 and doc_id is not null")
         self.classes = linkable.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("key1", "key2", F.col("least.doc_id").alias("class_doc"), F.col("least.node").alias("class_node"))
-        representatives = linkable.join(self.classes.select(F.col("class_node").alias("node")), "node", "left_semi")
+        copies = linkable.select("key1", "key2", "node").join(self.classes, ["key1", "key2"]).where("node <> class_node").select("node")
+        representatives = _joined(linkable, cut(copies, "copies"), "node", "left_anti")
         self.traits = representatives.select("node", "n", *MAPS)
-        rows = representatives.select("node", F.explode("signatures").alias("signature"))
-        groups = rows.groupBy("signature").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-        self.members = cut(rows.join(groups, "signature"), "members")
+        rows = representatives.select("node", F.explode("signatures").alias("signature")).withColumn("short", F.col("signature").bitwiseAND(F.lit((1 << SHORT_BITS) - 1)))
+        # Nearly all signatures are of one set.  Counting short forms of them, without nodes, costs a third of dealing out
+        # the rows, and only rows whose short form is found again are dealt out whole.
+        again = cut(rows.groupBy("short").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("short"), "again")
+        shared = cut(_joined(rows, again, "short", "left_semi").select("signature", "node"), "shared")
+        groups = shared.groupBy("signature").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+        self.members = cut(shared.join(groups, "signature"), "members")
 
     def _may_link(self, x: str, y: str) -> Column:
         """Necessary for a link: sizes, and the number of bits in which the parity maps differ."""
@@ -263,9 +276,7 @@ class _Join:
             pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(self.prints.select("node", "doc_id", "key1", "key2", "n"), "node"),
             "wanted",
         )
-        ids = wanted.select("doc_id").distinct()
-        few = wanted.count() <= BROADCAST_IDS
-        picked = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        picked = _joined(self.docs, cut(wanted.select("doc_id").distinct(), "ids"), "doc_id", "left_semi")
         parts = cut(_fragments(picked, self.width).join(wanted.drop("n"), ["doc_id", "key1", "key2"]).dropDuplicates(["node", "fragment"]).select("node", "fragment", "items"), "fragments")
         sizes = wanted.select("node", "n")
         x, y = parts.alias("x"), parts.alias("y")
