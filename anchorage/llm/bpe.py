@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from anchorage.llm.common import vocabulary_path
+from anchorage.llm.common import releasing, vocabulary_path
 
 #: Entries kept for whole pieces, and states kept in the lazy table.
 PIECES_KEPT, STATES_KEPT = 300_000, 200_000
@@ -85,7 +85,8 @@ class Transducer:
         start = ((-1, 0),)
         self._states = [start]
         self._number = {start: 0}
-        self._next: list[dict[int, tuple[int, int, bool]]] = [{}]
+        # State and byte in one key; next state, the token that ends there and whether no other start is open in one value.
+        self._next: dict[int, int] = {}
 
     def _made_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens of the last merge that makes this one; itself twice for a byte; None if merging never makes it."""
@@ -113,7 +114,7 @@ class Transducer:
         known = self._fits.get((left, right))
         if known is not None:
             return known
-        if len(self._fits) > 4 * STATES_KEPT:
+        if len(self._fits) > 2 * STATES_KEPT:
             self._fits.clear()
         a, b, bound = left, right, len(self.ranks) + 1
         fits = True
@@ -133,8 +134,8 @@ class Transducer:
         self._fits[left, right] = fits
         return fits
 
-    def _step(self, state: int, byte: int) -> tuple[int, int, bool]:
-        """Build the transition of ``state`` on ``byte``: next state, the token that ends here, whether no other is open."""
+    def _step(self, state: int, byte: int) -> int:
+        """Build the transition of ``state`` on ``byte``."""
         going, ended = [], -1
         for last, node in self._states[state]:
             after = self._child[node].get(byte)
@@ -152,8 +153,7 @@ class Transducer:
         if number is None:
             number = self._number[made] = len(self._states)
             self._states.append(made)
-            self._next.append({})
-        found = self._next[state][byte] = (number, ended, len(made) == 1)
+        found = self._next[state << 8 | byte] = number << 33 | ended << 1 | (len(made) == 1)
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -165,9 +165,10 @@ class Transducer:
         state, ids, ends = 0, [], []
         following, bytes_of = self._next, self.bytes_of
         for byte in piece:
-            state, token, settled = following[state].get(byte) or self._step(state, byte)
-            ends.append(token)
-            if settled:
+            found = following.get(state << 8 | byte) or self._step(state, byte)
+            state = found >> 33
+            ends.append(found >> 1 & 0xFFFFFFFF)
+            if found & 1:
                 self._emit(ends, ids, bytes_of)
                 ends = []
         self._emit(ends, ids, bytes_of)
@@ -303,4 +304,4 @@ def _mapped(docs: DataFrame, file: str, pattern: str | None, digests: bool) -> D
             )
 
     kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return kept.mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")
+    return kept.mapInArrow(lambda batches: releasing(run(batches)), f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import importlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, below one folder per application, which may be deleted when that has ended."""
+    return f"{shared_dir(spark)}/anchorage-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -66,5 +72,19 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def releasing(rows: Iterator) -> Iterator:
+    """``rows``; at their end the memory that a worker's tables took goes back to the system, as workers live on between tasks."""
+    try:
+        yield from rows
+    finally:
+        if hasattr(rows, "close"):
+            rows.close()
+        del rows
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

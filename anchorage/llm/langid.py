@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorage.llm.common import releasing
+
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 PER_LANGUAGE = 600
 EPOCHS, BATCH, RATE, SEED = 8, 32, 4.0, 2024
@@ -176,4 +178,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     view = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return view.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return view.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lambda batches: releasing(run(batches)), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

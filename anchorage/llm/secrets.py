@@ -34,6 +34,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from anchorage.llm.common import releasing
+
 # The rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -232,7 +234,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
     view = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return view.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
+    return view.mapInArrow(lambda batches: releasing(run(batches)), "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
@@ -264,7 +266,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 columns[chars] = pa.array([n if a == b else len(b) for n, a, b in zip(columns[chars].to_pylist(), old, new, strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: releasing(run(batches)), schema)
 
 
 def sha256(text: str) -> str:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import WORD, scratch_path, vocabulary_path
+from anchorage.llm.common import WORD, releasing, scratch_path, vocabulary_path
 
 LENGTH, ROWS = 1024, 256
 END_ID = 1
@@ -250,9 +250,9 @@ def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id:
     # Borders of the ranges from the ids alone, one number a range; dealing out by range itself would encode twice, once to find the borders.
     found = view.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("b")).first()["b"]
     bounds = np.unique(np.array(found or [], np.int64)) if parts > 1 else np.empty(0, np.int64)
-    encoded = view.mapInArrow(encode, "part int, doc_id long, mark long, ids binary")
+    encoded = view.mapInArrow(lambda batches: releasing(encode(batches)), "part int, doc_id long, mark long, ids binary")
     dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "mark").select("doc_id", "ids")
-    saved = dealt.mapInArrow(save, "number long, total long").collect()  # one row per file
+    saved = dealt.mapInArrow(lambda batches: releasing(save(batches)), "number long, total long").collect()  # one row per file
     return [(f"{folder}/part-{r['number']:05d}", r["total"]) for r in sorted(saved)]
 
 
@@ -277,7 +277,7 @@ def read(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([before + s for s in starts], pa.int64()), part.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "path string, before long, number long").repartition(max(1, len(rows)), "number") if rows else spark.createDataFrame([], "path string, before long, number long")
-    return listed.select("path", "before").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.select("path", "before").mapInArrow(lambda batches: releasing(load(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, file: str = "word_bpe_49k.json", end_id: int = END_ID) -> DataFrame:

@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from anchorage.llm.common import vocabulary_path
+from anchorage.llm.common import releasing, vocabulary_path
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -111,4 +111,4 @@ def count_tokens(docs: DataFrame, file: str = "piece_bpe_32k.model") -> DataFram
             found = [counter.count(cell.as_py()) for cell in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lambda batches: releasing(run(batches)), "doc_id long, n_tokens long, score double")
