@@ -40,7 +40,7 @@ from anchorage.llm.common import WORD, releasing, scratch_path, vocabulary_path
 
 LENGTH, ROWS = 1024, 256
 END_ID = 1
-WORDS_KEPT = 300_000
+WORDS_KEPT = 700_000
 LONGEST_KEPT_WORD = 64
 
 
