@@ -10,7 +10,9 @@ the same n-grams in both, so equal fragments find every link.  The number of
 fragments follows from the size class of a set; a set is cut for its own class
 and the next, as a partner may lie there.  A fragment that is empty in both
 says nothing: there are ``spare`` more fragments than needed, and a set with
-more empty fragments than that (rare) also publishes the empty ones.
+more empty fragments than that (rare) also publishes the empty ones.  The same
+count tells how many fragments a set shares with any partner at least, which
+leaves out sets that have only a passage in common with others.
 
 *Counting.*  The sets of the candidates are cut into a few fragments; the
 overlap of each pair is counted fragment by fragment and summed per pair.
@@ -20,9 +22,10 @@ To know who is connected it is not necessary to emit the pairs inside a group:
 each group first sends its members to its least one (as many rows as members).
 Links found that way are contracted, and only groups that still hold more than
 one component are joined with themselves, for pairs across components.  A
-512-bit parity map per document refutes most pairs inside the join: two sets
-differ in at least as many n-grams as their maps differ in bits.  No pair is
-lost: sizes and maps only drop pairs that cannot link.
+512-bit parity map per document refutes most pairs inside the join, a finer one
+most of the rest before sets are moved: two sets differ in at least as many
+n-grams as their maps differ in bits.  No pair is lost: sizes, counts and maps
+only drop pairs that cannot link.
 
 Defined results: A-Z is lower-cased, a word is a run without ASCII white space;
 fewer words than an n-gram has make one n-gram of all of them; a null, empty or
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import cut
+from anchorage.llm.common import cut, drop_scratch, releasing
 from anchorage.llm.components import connected_components
 
 #: Longs in a parity map, fragments in which overlaps are counted.
@@ -52,8 +55,10 @@ MAP_LONGS, COUNT_FRAGMENTS = 8, 4
 WORDS_KEPT = 200_000
 #: Tables of ids are broadcast up to this number of rows, which are counted first; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Bits of a signature that are counted before whole signatures are dealt out.
-SHORT_BITS = 40
+#: Bits of a signature.  Two that are equal by chance make a pair that is refuted later.
+SIGNATURE_BITS = 48
+#: How often sets with too few shared signatures are left out; at least once.
+ROUNDS = 1
 MAPS = [f"map{i}" for i in range(MAP_LONGS)]
 _U = np.uint64
 
@@ -120,30 +125,51 @@ class Plan:
         spare = 2 + differ // 16
         return differ + 1 + spare, spare
 
-    def signatures(self, items: np.ndarray) -> np.ndarray:
-        """Hashes of the fragments of a set, for its class and the next."""
-        made = []
-        own = self.size_class(len(items))
+    def signatures(self, items: np.ndarray) -> tuple[np.ndarray, int]:
+        """Hashes of the fragments of a set, for its class and the next; and how many of them any partner shares at least."""
+        made, least = [], None
+        n = len(items)
+        own = self.size_class(n)
         for k in (own, own + 1):
             count, spare = self.fragments(k)
             if count == 1:
                 continue
             at = ((items >> _U(32)) * _U(count)) >> _U(32)
             starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+            empty = count - len(starts)
             with np.errstate(over="ignore"):
                 label = _mixed(at[starts] + _U(k << 32))
                 made.append(_mixed(np.add.reduceat(_mixed(items + _U(1)), starts) ^ label))
-                if count - len(starts) > spare:
-                    empty = np.setdiff1d(np.arange(count, dtype=_U), at[starts], assume_unique=True)
-                    made.append(_mixed(empty + _U((k << 32) | (1 << 62))))
-        return np.concatenate(made) if made else np.empty(0, _U)
+                if empty > spare:
+                    gaps = np.setdiff1d(np.arange(count, dtype=_U), at[starts], assume_unique=True)
+                    made.append(_mixed(gaps + _U((k << 32) | (1 << 62))))
+            # The largest partner that shares this class, and in how many fragments the two can differ.
+            partner = min(self._from[k + 1] - 1, n * self.den // self.num)
+            differ = (n + partner) * (self.den - self.num) // (self.den + self.num)
+            equal = 1 if empty > spare else count - differ - empty
+            least = equal if least is None else min(least, equal)
+        return (np.concatenate(made), max(1, least)) if made else (np.empty(0, _U), 1)
 
 
 def parity_map(items: np.ndarray) -> np.ndarray:
-    bits = np.bincount((items & _U(64 * MAP_LONGS - 1)).astype(np.int64), minlength=64 * MAP_LONGS) & 1
+    """Per bucket of hashes whether an odd number of items fall in it; four to eight buckets an item.
+
+    Two halves of a map, XORed, are the map of half the length.
+    """
+    size = 64 * MAP_LONGS
+    while size < 4 * len(items):
+        size *= 2
+    bits = np.bincount((items & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def folded(fine: np.ndarray) -> np.ndarray:
+    """The map of the common length."""
+    while len(fine) > MAP_LONGS:
+        fine = fine[: len(fine) // 2] ^ fine[len(fine) // 2 :]
+    return fine
+
+
 def set_key(items: np.ndarray) -> tuple[int, int]:
     digest = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
@@ -161,27 +187,29 @@ def _prints(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, high, low, signatures, offsets, maps = [], [], [], [], [0], []
+                sizes, high, low, signatures, offsets, fine, places, least = [], [], [], [], [0], [], [0], []
                 for cell in part.column(1):
                     items = shingles(cell.as_py())
                     sizes.append(len(items))
                     h, l = set_key(items)
                     high.append(h)
                     low.append(l)
-                    found = plan.signatures(items) if len(items) else items
-                    signatures.append(found)
+                    found, needed = plan.signatures(items) if len(items) else (items, 1)
+                    signatures.append(found & _U((1 << SIGNATURE_BITS) - 1))
+                    least.append(needed)
                     offsets.append(offsets[-1] + len(found))
-                    maps.append(parity_map(items))
+                    fine.append(parity_map(items))
+                    places.append(places[-1] + len(fine[-1]))
                 flat = np.concatenate(signatures).view(np.int64)
-                table = np.stack(maps)
+                table = np.stack([folded(f) for f in fine])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(fine)))]
                     + [pa.array(table[:, i].copy()) for i in range(MAP_LONGS)],
-                    names=["doc_id", "n", "key1", "key2", "signatures", *MAPS],
+                    names=["doc_id", "n", "key1", "key2", "least", "signatures", "fine", *MAPS],
                 )
 
-    schema = "doc_id long, n long, key1 long, key2 long, signatures array<long>, " + ", ".join(f"{m} long" for m in MAPS)
-    return _view(docs).mapInArrow(run, schema)
+    schema = "doc_id long, n long, key1 long, key2 long, least long, signatures array<long>, fine array<long>, " + ", ".join(f"{m} long" for m in MAPS)
+    return _view(docs).mapInArrow(lambda batches: releasing(run(batches)), schema)
 
 
 def _fragments(docs: DataFrame, width: int) -> DataFrame:
@@ -212,10 +240,10 @@ def _fragments(docs: DataFrame, width: int) -> DataFrame:
                         names=["doc_id", "key1", "key2", "fragment", "items"],
                     )
 
-    return _view(docs).mapInArrow(run, "doc_id long, key1 long, key2 long, fragment int, items array<long>")
+    return _view(docs).mapInArrow(lambda batches: releasing(run(batches)), "doc_id long, key1 long, key2 long, fragment int, items array<long>")
 
 
-def _joined(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     """A semi or anti join with a written table of ids, which is broadcast if its rows are counted to be few."""
     few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, on, how)
@@ -227,19 +255,33 @@ class _Join:
     def __init__(self, docs: DataFrame, width: int, num: int, den: int):
         self.docs, self.width, self.num, self.den = docs, width, num, den
         # Numbers are given once, in a written table, and so stay the same in every later step.
-        self.prints = cut(_prints(docs, width, num, den).withColumn("node", F.monotonically_increasing_id()), "prints")
+        full = cut(_prints(docs, width, num, den).withColumn("node", F.monotonically_increasing_id()), "signatures")
+        self.prints = cut(full.drop("signatures"), "prints")
         linkable = self.prints.where("n > 0 and doc_id is not null")
         self.classes = linkable.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("key1", "key2", F.col("least.doc_id").alias("class_doc"), F.col("least.node").alias("class_node"))
-        copies = linkable.select("key1", "key2", "node").join(self.classes, ["key1", "key2"]).where("node <> class_node").select("node")
-        representatives = _joined(linkable, cut(copies, "copies"), "node", "left_anti")
+        copies = cut(linkable.select("key1", "key2", "node").join(self.classes, ["key1", "key2"]).where("node <> class_node").select("node"), "copies")
+        representatives = by_ids(linkable, copies, "node", "left_anti")
         self.traits = representatives.select("node", "n", *MAPS)
-        rows = representatives.select("node", F.explode("signatures").alias("signature")).withColumn("short", F.col("signature").bitwiseAND(F.lit((1 << SHORT_BITS) - 1)))
-        # Nearly all signatures are of one set.  Counting short forms of them, without nodes, costs a third of dealing out
-        # the rows, and only rows whose short form is found again are dealt out whole.
-        again = cut(rows.groupBy("short").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("short"), "again")
-        shared = cut(_joined(rows, again, "short", "left_semi").select("signature", "node"), "shared")
-        groups = shared.groupBy("signature").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-        self.members = cut(shared.join(groups, "signature"), "members")
+        signed = full.where("n > 0 and doc_id is not null").select("node", "signatures")
+        rows = by_ids(signed, copies, "node", "left_anti").select("node", F.explode("signatures").alias("signature"))
+        # Nearly all signatures are of one set, and of those that are not nearly all of two, which the aggregate names
+        # itself.  Only members of larger groups are looked up among the rows again.
+        groups = cut(rows.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi"), "groups")
+        two = groups.where("members = 2").select("signature", F.explode(F.array("lo", "hi")).alias("node"))
+        larger = by_ids(rows, cut(groups.where("members > 2").select("signature"), "larger"), "signature", "left_semi").select("signature", "node")
+        shared = cut(two.unionByName(larger), "shared")
+        drop_scratch(full)
+        drop_scratch(groups)
+        needed = representatives.select("node", "least")
+        for _ in range(ROUNDS):
+            # A set that shares fewer signatures than any of its partners would is in no link.
+            enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("found")).join(needed, "node").where("found >= least").select("node")
+            left = shared.join(enough, "node", "left_semi").select("signature", "node")
+            alive = left.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+            after = cut(left.join(alive.select("signature", F.col("lo").alias("leader")), "signature").select("signature", "node", "leader"), "shared")
+            drop_scratch(shared)
+            shared = after
+        self.members = shared
 
     def _may_link(self, x: str, y: str) -> Column:
         """Necessary for a link: sizes, and the number of bits in which the parity maps differ."""
@@ -269,14 +311,27 @@ class _Join:
         on = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.node") < F.col("y.node"))
         return x.join(y, on & self._may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose fine parity maps leave a link open.  Of maps of two lengths the longer is folded."""
+        x, y = (self.prints.select(F.col("node").alias(f"{c}"), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
+
+        def fold(m: Column, other: Column) -> Column:
+            half = (F.size(m) / 2).cast("int")
+            halves = F.zip_with(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+            return F.when(F.size(m) == 2 * F.size(other), halves).otherwise(m)
+
+        joined = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", fold(F.col("fine_a"), F.col("fine_b")).alias("p"), fold(F.col("fine_b"), F.col("fine_a")).alias("q"))
+        bits = F.when(F.size("p") == F.size("q"), F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)).otherwise(0)
+        return joined.where(bits * (self.den + self.num) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num)).select("a", "b")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """``a, b, overlap, union`` of the pairs that reach the threshold, counted on the sets."""
-        pairs = cut(pairs, "pairs")
+        pairs = cut(self._near(pairs), "pairs")
         wanted = cut(
             pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(self.prints.select("node", "doc_id", "key1", "key2", "n"), "node"),
             "wanted",
         )
-        picked = _joined(self.docs, cut(wanted.select("doc_id").distinct(), "ids"), "doc_id", "left_semi")
+        picked = by_ids(self.docs, cut(wanted.select("doc_id").distinct(), "ids"), "doc_id", "left_semi")
         parts = cut(_fragments(picked, self.width).join(wanted.drop("n"), ["doc_id", "key1", "key2"]).dropDuplicates(["node", "fragment"]).select("node", "fragment", "items"), "fragments")
         sizes = wanted.select("node", "n")
         x, y = parts.alias("x"), parts.alias("y")
