@@ -55,6 +55,8 @@ MAP_LONGS, COUNT_FRAGMENTS = 8, 4
 WORDS_KEPT = 200_000
 #: Tables of ids are broadcast up to this number of rows, which are counted first; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Parity maps of candidates are broadcast up to this many bytes, which are summed first.
+BROADCAST_BYTES = 16 << 20
 #: Bits of a signature.  Two that are equal by chance make a pair that is refuted later.
 SIGNATURE_BITS = 48
 #: How often sets with too few shared signatures are left out; at least once.
@@ -313,7 +315,12 @@ class _Join:
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose fine parity maps leave a link open.  Of maps of two lengths the longer is folded."""
-        x, y = (self.prints.select(F.col("node").alias(f"{c}"), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
+        pairs = cut(pairs, "candidates")
+        ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        maps = cut(ids.join(self.prints.select("node", "n", "fine"), "node"), "maps")
+        few = (maps.agg(F.sum(F.size("fine"))).first()[0] or 0) * 8 <= BROADCAST_BYTES
+        x, y = (maps.select(F.col("node").alias(f"{c}"), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
+        x, y = (F.broadcast(x), F.broadcast(y)) if few else (x, y)
 
         def fold(m: Column, other: Column) -> Column:
             half = (F.size(m) / 2).cast("int")
