@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,10 +36,17 @@ from anchorage.llm.common import releasing, vocabulary_path
 PIECES_KEPT, STATES_KEPT = 300_000, 200_000
 #: Longer pieces are encoded each time, so that one odd text can't fill memory.
 LONGEST_KEPT_PIECE = 48
+#: Bytes of a piece from which on settled tokens are emitted at once and not at its end.
+SETTLE = 64
 #: Tokens handed to the decoder at a time.
 DECODE_STEP = 8192
 
 
+#: Latin letters, and texts of these, printing ASCII characters, blanks and line ends alone.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_COMMON = re.compile(f"[\n -~{LATIN[6:]}]*").fullmatch
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -65,6 +73,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.length_of = {i: len(b) for b, i in ranks.items()}
         self._child: list[dict[int, int]] = [{}]
         self._token: list[int] = [-1]
         for token, number in ranks.items():
@@ -85,8 +94,8 @@ class Transducer:
         start = ((-1, 0),)
         self._states = [start]
         self._number = {start: 0}
-        # State and byte in one key; next state, the token that ends there and whether no other start is open in one value.
-        self._next: dict[int, int] = {}
+        # By state and byte in one key: the next state, moved to make room for a byte, and the token that ends there.
+        self._next: dict[int, tuple[int, int]] = {}
 
     def _made_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens of the last merge that makes this one; itself twice for a byte; None if merging never makes it."""
@@ -134,16 +143,17 @@ class Transducer:
         self._fits[left, right] = fits
         return fits
 
-    def _step(self, state: int, byte: int) -> int:
-        """Build the transition of ``state`` on ``byte``."""
+    def _step(self, base: int, byte: int) -> tuple[int, int]:
+        """Build the transition of a state on ``byte``."""
         going, ended = [], -1
-        for last, node in self._states[state]:
-            after = self._child[node].get(byte)
+        child, tokens = self._child, self._token
+        for last, node in self._states[base >> 8]:
+            after = child[node].get(byte)
             if after is not None:
-                token = self._token[after]
+                token = tokens[after]
                 if ended < 0 <= token and self._may_follow(last, token):
                     ended = token
-                if self._child[after]:
+                if child[after]:
                     going.append((last, after))
         if ended < 0:
             raise ValueError(f"no token for byte {byte}")
@@ -153,7 +163,7 @@ class Transducer:
         if number is None:
             number = self._number[made] = len(self._states)
             self._states.append(made)
-        found = self._next[state << 8 | byte] = number << 33 | ended << 1 | (len(made) == 1)
+        found = self._next[base | byte] = (number << 8, ended)
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -162,25 +172,24 @@ class Transducer:
             return [whole]
         if len(self._states) > STATES_KEPT:
             self._reset()
-        state, ids, ends = 0, [], []
-        following, bytes_of = self._next, self.bytes_of
+        base, ids, ends = 0, [], []
+        known, states, add = self._next.get, self._states, ends.append
         for byte in piece:
-            found = following.get(state << 8 | byte) or self._step(state, byte)
-            state = found >> 33
-            ends.append(found >> 1 & 0xFFFFFFFF)
-            if found & 1:
-                self._emit(ends, ids, bytes_of)
-                ends = []
-        self._emit(ends, ids, bytes_of)
+            base, token = known(base | byte) or self._step(base, byte)
+            add(token)
+            if len(ends) >= SETTLE and len(states[base >> 8]) == 1:
+                self._emit(ends, ids)
+                ends.clear()
+        self._emit(ends, ids)
         return ids
 
-    @staticmethod
-    def _emit(ends: list[int], ids: list[int], bytes_of: dict[int, bytes]) -> None:
+    def _emit(self, ends: list[int], ids: list[int]) -> None:
         """Follow the last tokens back to where all agreed."""
-        at, found = len(ends), []
+        at, found, length_of = len(ends), [], self.length_of
         while at > 0:
-            found.append(ends[at - 1])
-            at -= len(bytes_of[ends[at - 1]])
+            token = ends[at - 1]
+            found.append(token)
+            at -= length_of[token]
         ids.extend(reversed(found))
 
 
@@ -192,11 +201,15 @@ class Encoder(dict):
 
         super().__init__()
         self.transducer = Transducer(ranks)
+        self._decimal = {i: str(i) for i in ranks.values()}
         # The white space of Unicode, without the four separators that Python adds to \s.
         self._pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        # In texts of common characters alone the classes are short lists, which the plainer library searches faster.
+        narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^ \n{LATIN}0-9]").replace(r"\p{L}", f"[{LATIN}]").replace(r"\p{N}", "[0-9]").replace(r"\s", r"[ \n]").replace(r"\S", r"[^ \n]")
+        self._narrow_pieces = None if r"\p" in narrow else re.compile(narrow).findall
 
     def __missing__(self, piece: str) -> str:
-        ids = " ".join(map(str, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
+        ids = " ".join(map(self._decimal.__getitem__, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
         if len(piece) <= LONGEST_KEPT_PIECE:
             if len(self) >= PIECES_KEPT:
                 self.clear()
@@ -204,7 +217,8 @@ class Encoder(dict):
         return ids
 
     def decimal(self, text: str) -> str:
-        return " ".join(map(self.__getitem__, self._pieces(text)))
+        pieces = self._narrow_pieces if self._narrow_pieces and _COMMON(text) else self._pieces
+        return " ".join(map(self.__getitem__, pieces(text)))
 
 
 class Utf8Stream:
