@@ -3,8 +3,11 @@
 For each kind of credential the labelled examples form a prefix tree with
 counts.  States whose outgoing and ending frequencies do not differ beyond a
 Hoeffding bound, here and in all states below, are merged (the test of
-ALERGIA, among states as far from the start), which gives a small
-probabilistic automaton of the format.
+ALERGIA), which gives a small probabilistic automaton of the format.  First
+states in the same part (between marks that every example has equally often)
+and as far from its start are merged, so that all examples vouch for the length
+of a part; then states of a part at any distance, so that a part whose length
+the examples don't fix becomes a loop and has no greatest length.
 Symbols are the literal characters as far as all examples share them and
 character classes after that.
 
@@ -25,7 +28,9 @@ ignored by :func:`find` and kept by :func:`redact`.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import math
 import random
 import re
@@ -61,10 +66,11 @@ FORMATS: dict[str, Callable[[random.Random], str]] = {
     "code_host_pat": lambda r: "glpat-" + _some(r, _ALNUM + "_-", 20),
     "chat": lambda r: "xox" + r.choice("bpas") + "-" + _some(r, _DIGIT, r.randint(10, 12)) + "-" + _some(r, _DIGIT, r.randint(10, 12)) + "-" + _some(r, _ALNUM, 24),
     "map_key": lambda r: "AIza" + _some(r, _ALNUM + "_-", 35),
-    "payment": lambda r: "sk_" + r.choice(("live", "test")) + "_" + _some(r, _ALNUM, 24),
+    "payment": lambda r: "sk_" + r.choice(("live", "test")) + "_" + _some(r, _ALNUM, r.choice((24, r.randint(25, 120)))),
     "package": lambda r: "npm_" + _some(r, _ALNUM, 36),
     "mail": lambda r: "SG." + _some(r, _ALNUM + "_-", 22) + "." + _some(r, _ALNUM + "_-", 43),
-    "web_token": lambda r: "eyJ" + _some(r, _ALNUM, r.randint(17, 40)) + ".eyJ" + _some(r, _ALNUM, r.randint(30, 90)) + "." + _some(r, _ALNUM + "_-", 43),
+    # The least signature is that of HS256.
+    "web_token": lambda r: "eyJ" + _some(r, _ALNUM + "_-", r.randint(17, 80)) + ".eyJ" + _some(r, _ALNUM + "_-", r.randint(17, 300)) + "." + _some(r, _ALNUM + "_-", r.choice((43, r.randint(44, 400)))),
 }
 KINDS = ("assign", "access", "hex", *FORMATS)
 
@@ -80,6 +86,9 @@ class Automaton:
         first, last = min(examples), max(examples)
         self.literal = next((i for i, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), min(len(first), len(last)))
         self.alpha = alpha
+        #: Symbols met at all, and marks that all examples have equally often: another symbol, or one mark more, is not of the format.
+        self.alphabet = {_class(c) for text in examples for c in text}
+        self.marks = {c for c in self.alphabet if not c.isalnum() and len({text.count(c) for text in examples}) == 1}
         self._ends: list[int] = [0]
         self._seen: list[int] = [0]
         self._next: list[dict[str, tuple[int, int]]] = [{}]  # symbol: state, count
@@ -106,7 +115,7 @@ class Automaton:
         return n > 0 and m > 0 and abs(a / n - b / m) > math.sqrt(0.5 * math.log(2 / self.alpha)) * (n**-0.5 + m**-0.5)
 
     def _compatible(self, a: int, b: int) -> bool:
-        open_ = [(a, b)]
+        open_, met = [(a, b)], {(a, b)}
         while open_:
             a, b = open_.pop()
             n, m = self._seen[a], self._seen[b]
@@ -116,74 +125,114 @@ class Automaton:
                 (x, i), (y, j) = self._next[a].get(symbol, (-1, 0)), self._next[b].get(symbol, (-1, 0))
                 if self._differ(i, n, j, m):
                     return False
-                if x >= 0 and y >= 0:
+                if x >= 0 and y >= 0 and x != y and (x, y) not in met:
+                    met.add((x, y))
                     open_.append((x, y))
         return True
 
+    def _find(self, state: int) -> int:
+        """The state that ``state`` was merged into."""
+        while self._into[state] != state:
+            self._into[state] = state = self._into[self._into[state]]
+        return state
+
     def _fold(self, a: int, b: int) -> None:
-        """Add the tree below ``b`` to the automaton at ``a``."""
+        """Merge ``b`` into ``a``, and what the same symbols then lead to."""
         open_ = [(a, b)]
         while open_:
-            a, b = open_.pop()
+            a, b = map(self._find, open_.pop())
+            if a == b:
+                continue
+            self._into[b] = a
             self._seen[a] += self._seen[b]
             self._ends[a] += self._ends[b]
             for symbol, (y, j) in self._next[b].items():
-                if symbol in self._next[a]:
-                    x, i = self._next[a][symbol]
-                    self._next[a][symbol] = (x, i + j)
-                    open_.append((x, y))
-                else:
-                    self._next[a][symbol] = (y, j)
+                x, i = self._next[a].get(symbol, (y, 0))
+                self._next[a][symbol] = (x, i + j)
+                open_.append((x, y))
+
+    def _follow(self) -> None:
+        """Let all transitions of the states that are left lead to states that are left."""
+        for state, into in enumerate(self._into):
+            if state == into:
+                self._next[state] = {symbol: (self._find(to), count) for symbol, (to, count) in self._next[state].items()}
 
     def _merge_all(self) -> None:
-        """Level by level; a state is merged only with one as far from the start, which keeps the lengths of a format."""
-        level, self.states = [0], 1
-        while level:
-            after: list[int] = []
-            for state in level:
+        """States as far from the start of the same part, in order, and then those of a part at any distance."""
+        self._into = list(range(len(self._next)))
+        levels: dict[tuple[int, int], list[int]] = {(0, 0): [0]}
+        todo = [(0, 0)]
+        while todo:
+            part, far = here = heapq.heappop(todo)
+            blue, red = [*dict.fromkeys(map(self._find, levels[here]))], []
+            for state in blue:
+                if self._find(state) != state:
+                    continue
+                same = next((r for r in red if self._compatible(r, state)), None)
+                if same is None:
+                    red.append(state)
+                else:
+                    self._fold(same, state)
+            levels[here] = red
+            for state in red:
                 for symbol in sorted(self._next[state]):
-                    blue, count = self._next[state][symbol]
-                    if blue in after:
-                        continue
-                    same = next((r for r in after if self._compatible(r, blue)), None)
-                    if same is None:
-                        after.append(blue)
-                    else:
-                        self._next[state][symbol] = (same, count)
-                        self._fold(same, blue)
-            level = after
-            self.states += len(after)
+                    after = (part + 1, 0) if symbol.lstrip("=") in self.marks else (part, far + 1)
+                    if after not in levels:
+                        levels[after] = []
+                        heapq.heappush(todo, after)
+                    levels[after].append(self._next[state][symbol][0])
+        self._follow()
+        red, at = [], -1
+        for (part, _), states in sorted(levels.items()):
+            if part != at:
+                red, at = [], part
+            for state in states:
+                if self._find(state) != state:
+                    continue
+                same = next((r for r in red if self._compatible(r, state)), None)
+                if same is None:
+                    red.append(state)
+                else:
+                    self._fold(same, state)
+                    self._follow()
+        self.states = sum(state == into for state, into in enumerate(self._into))
 
     def score(self, text: str) -> float:
-        """Mean log-likelihood per symbol; minus infinity if a literal differs or the text goes on after the longest example."""
+        """Mean log-likelihood per symbol; minus infinity if a literal or mark differs or the text goes on or ends where no example does."""
         state, total, n = 0, 0.0, 1
         for symbol in self.symbols(text):
             found = self._next[state].get(symbol)
             if found is None:
-                if symbol.startswith("=") or not self._next[state]:
+                if symbol.startswith("=") or symbol in self.marks or symbol not in self.alphabet or not self._next[state]:
                     return -math.inf
                 found = (max(self._next[state].values(), key=lambda x: x[1])[0], 0.5)  # a class not met here
             total += math.log(found[1] / (self._seen[state] + 0.5))
             state, n = found[0], n + 1
-        return (total + math.log((self._ends[state] or 0.5) / (self._seen[state] + 0.5))) / n
+        return (total + math.log(self._ends[state] / (self._seen[state] + 0.5))) / n if self._ends[state] else -math.inf
+
+
+@functools.cache
+def _learnt() -> list[tuple[str, Automaton, float]]:
+    """Kind, automaton and limit of each format; learnt once per worker."""
+    formats = []
+    for kind, draw in FORMATS.items():
+        r = random.Random(f"{SEED} {kind}")
+        labelled = [draw(r) for _ in range(EXAMPLES)]
+        automaton = Automaton(labelled[HELD_BACK:])
+        held = [s for s in map(automaton.score, labelled[:HELD_BACK]) if s > -math.inf]
+        formats.append((kind, automaton, min(held) - SLACK))
+    return formats
 
 
 class Scanner:
     """Finds spans in a text."""
 
     def __init__(self) -> None:
-        self._formats: list[tuple[str, Automaton, float, str]] = []
-        for kind, draw in FORMATS.items():
-            r = random.Random(f"{SEED} {kind}")
-            labelled = [draw(r) for _ in range(EXAMPLES)]
-            automaton = Automaton(labelled[HELD_BACK:])
-            held = [s for s in map(automaton.score, labelled[:HELD_BACK]) if s > -math.inf]
-            shortest = min(map(len, labelled))
-            self._formats.append((kind, automaton, min(held) - SLACK, shortest))
+        self._formats = _learnt()
 
     def credential(self, text: str) -> str | None:
         """The kind of credential that ``text`` most likely is, if any."""
-        best = max(((automaton.score(text) - limit, kind) for kind, automaton, limit, shortest in self._formats if len(text) >= shortest), default=(-1.0, ""))
+        best = max(((automaton.score(text) - limit, kind) for kind, automaton, limit in self._formats), default=(-1.0, ""))
         return best[1] if best[0] >= 0 else None
 
     def base(self, text: str) -> list[tuple[int, int, str]]:

@@ -1,6 +1,8 @@
 """Language ID, secrets, fingerprints, mixing and the pipeline."""
 
+import base64
 import hashlib
+import json
 import random
 import re
 import sys
@@ -96,6 +98,35 @@ def test_automata_merge_and_keep_lengths():
     assert found.states < 20 and found.score(examples[0]) > found.score("id_1234567") and found.score("xx_12345678") == -np.inf and found.score("id_123456789") == -np.inf
 
 
+def _token(r, payload, signature):
+    """A web token of a JSON payload of about ``payload`` characters."""
+    def part(value):
+        return base64.urlsafe_b64encode(json.dumps(value).encode()).decode().rstrip("=")
+
+    claims = {"sub": str(r.randint(1, 10**10)), "name": "John Doe"}
+    while len(part(claims)) < payload:
+        claims[f"claim{len(claims)}"] = r.choice(["https://example.com/scope", "admin", 1516239022, ["read", "write"], True])
+    return ".".join((part({"alg": "RS256", "typ": "JWT", "kid": f"{r.getrandbits(64):x}"}), part(claims), "".join(r.choice(secrets._ALNUM + "_-") for _ in range(signature))))
+
+
+def test_formats_without_a_greatest_length():
+    scanner, r = secrets.Scanner(), random.Random(11)
+    for payload in (10, 60, 110, 400, 3000, 20_000):
+        for signature in (43, 64, 86, 342, 683):
+            for _ in range(4):
+                word = _token(r, payload, signature)
+                assert scanner.spans(f"see {word} here")[1] == [(4, 4 + len(word.rstrip("-")), "web_token")] or word[-1] == "-"
+    for n in (24, 60, 99, 250):
+        for _ in range(10):
+            word = "sk_live_" + "".join(r.choice(secrets._ALNUM) for _ in range(n))
+            assert scanner.spans(f"see {word} here")[1] == [(4, 4 + len(word), "payment")] or secrets.HEX.search(word)
+    part = _token(r, 300, 43).rsplit(".", 1)[0]
+    assert scanner.spans(f"see {part} and {part.split('.')[1]}")[1] == []
+    host = "ghp_" + "".join(r.choice(secrets._ALNUM) for _ in range(36))
+    automaton = next(x[1] for x in scanner._formats if x[0] == "code_host")
+    assert automaton.score(host) > -np.inf and automaton.score(host + "A") == automaton.score(host[:-1]) == -np.inf
+
+
 def test_redaction_keeps_rows(spark):
     key = "token = 'abcdef0123456789abcdef'"
     docs = documents(spark, [f"a {key} b", None, "clean", ""]).selectExpr("*", "1 as more")
