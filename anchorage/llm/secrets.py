@@ -11,10 +11,13 @@ the examples don't fix becomes a loop and has no greatest length.
 Symbols are the literal characters as far as all examples share them and
 character classes after that.
 
-Every candidate, a long run of credential characters outside the rules' spans,
-is scored by each automaton: the mean log-likelihood per symbol.  The least
-score of held-back labelled examples is the limit of a format, so a limit is
-learnt and not set.
+In every long run of credential characters, each place outside the rules' spans
+where the literal start of a format stands is a candidate, whatever other text
+is glued to it.  The format's automaton reads on from there: of the ends where
+labelled examples end and where the mean log-likelihood per symbol reaches the
+limit, the last one counts.  The least score of held-back labelled examples is
+the limit of a format, so a limit is learnt and not set.  A credential that
+starts before a rule's span and runs into it is a span of its own.
 
 Rules (kept as they are, whatever the automata say): ``assign``, ``access`` and
 ``hex``, leftmost and non-overlapping per kind.  Positions are code points, the
@@ -85,6 +88,7 @@ class Automaton:
     def __init__(self, examples: list[str], alpha: float = ALPHA):
         first, last = min(examples), max(examples)
         self.literal = next((i for i, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), min(len(first), len(last)))
+        self.prefix = first[: self.literal]
         self.alpha = alpha
         #: Symbols met at all, and marks that all examples have equally often: another symbol, or one mark more, is not of the format.
         self.alphabet = {_class(c) for text in examples for c in text}
@@ -211,6 +215,35 @@ class Automaton:
         return (total + math.log(self._ends[state] / (self._seen[state] + 0.5))) / n if self._ends[state] else -math.inf
 
 
+    def last_end(self, text: str, start: int, stop: int, limit: float, barren: set[tuple[int, int]]) -> int:
+        """The last place up to ``stop`` where what begins at ``start`` may end as examples do with a score of ``limit``; -1 if there is none.
+
+        ``barren`` holds places and states from which no end follows, and gets
+        those met here, so that many starts in one run don't each read all of it.
+        """
+        state, total, end, ends, path = 0, 0.0, -1, False, []
+        for at in range(start, stop):
+            c, n = text[at], at - start + 1
+            symbol = "=" + c if n <= self.literal else _class(c)
+            found = self._next[state].get(symbol)
+            if found is None:
+                if n <= self.literal or symbol in self.marks or symbol not in self.alphabet or not self._next[state]:
+                    break
+                found = (max(self._next[state].values(), key=lambda x: x[1])[0], 0.5)  # a class not met here
+            total += math.log(found[1] / (self._seen[state] + 0.5))
+            state = found[0]
+            if (at, state) in barren:
+                break
+            if self._ends[state]:
+                ends = True
+                if (total + math.log(self._ends[state] / (self._seen[state] + 0.5))) / (n + 1) >= limit:
+                    end = at + 1
+            path.append((at, state))
+        if not ends:
+            barren.update(path)
+        return end
+
+
 @functools.cache
 def _learnt() -> list[tuple[str, Automaton, float]]:
     """Kind, automaton and limit of each format; learnt once per worker."""
@@ -229,11 +262,20 @@ class Scanner:
 
     def __init__(self) -> None:
         self._formats = _learnt()
-
-    def credential(self, text: str) -> str | None:
-        """The kind of credential that ``text`` most likely is, if any."""
-        best = max(((automaton.score(text) - limit, kind) for kind, automaton, limit in self._formats), default=(-1.0, ""))
-        return best[1] if best[0] >= 0 else None
+        self._starts = re.compile("|".join(re.escape(automaton.prefix) for _, automaton, _ in self._formats))
+
+    def credentials(self, text: str, start: int, stop: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+        """Credentials in a run of credential characters, leftmost and non-overlapping, that don't start in one of the rules' spans."""
+        at, barren = start, {kind: set() for kind in FORMATS}
+        while m := self._starts.search(text, at, stop):
+            a = m.start()
+            at = max((y for x, y, _ in base if x <= a < y), default=0)
+            if at:
+                continue
+            end, kind = max(((automaton.last_end(text, a, stop, limit, barren[kind]), kind) for kind, automaton, limit in self._formats if text.startswith(automaton.prefix, a)), key=lambda x: x[0])
+            if end > a:
+                yield a, end, kind
+            at = max(end, a + 1)
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         found = []
@@ -250,13 +292,7 @@ class Scanner:
         base = self.base(text)
         more = []
         for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            if any(x < b and a < y for x, y, _ in base):
-                continue
-            word = m[0].rstrip(".=-")
-            kind = self.credential(word)
-            if kind:
-                more.append((a, a + len(word), kind))
+            more += self.credentials(text, *m.span(), base)
         return base, sorted(base + more, key=_order) if more else base
 
 

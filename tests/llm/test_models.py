@@ -6,6 +6,7 @@ import json
 import random
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -91,6 +92,25 @@ def test_formats_are_found_and_plain_text_is_not():
         assert scanner.spans(text)[1] == brute_base(text)
 
 
+def test_glued_credentials_are_found():
+    scanner, r = secrets.Scanner(), random.Random(4)
+    for kind, drawn in secrets.FORMATS.items():
+        for form in ("js?key={}", "GH={}", "path/to/{}", "see {}/x", "a.b-{}=.", "k=v/{}/{}", "x deadbeefdeadbeefdead/{} y", "k={}/deadbeefdeadbeefdead"):
+            hits = 0
+            for _ in range(50):
+                word = drawn(r)
+                text = form.replace("{}", word)
+                base, spans = scanner.spans(text)
+                assert base == brute_base(text)
+                at = [m.start() for m in re.finditer(re.escape(word), text)]
+                hits += all(any(a <= i and b >= i + len(word.rstrip("-")) for a, b, _ in spans) for i in at)
+            assert hits >= 46, (kind, form)
+    word = secrets.FORMATS["code_host"](r)
+    assert scanner.spans(f"a=/{word}/x=")[1] == [(3, 43, "code_host")]
+    start = time.monotonic()
+    assert scanner.spans("eyJ" * 200_000)[1] == [] and time.monotonic() - start < 20
+
+
 def test_automata_merge_and_keep_lengths():
     r = random.Random(5)
     examples = ["id_" + "".join(r.choice("0123456789") for _ in range(8)) for _ in range(150)]
