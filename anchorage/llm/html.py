@@ -3,8 +3,11 @@
 A page becomes a tree.  Every block of running text earns points: one, one per
 comma, and up to three for length.  It passes all of them to its parent, half
 to its grandparent, a third to the next and so on; each container's points are
-then cut by the share of its text that stands in links.  The best container,
-and those of its siblings that score or read like it, are the article.
+then cut by the share of its text that stands in links.  If the best container
+lies in an article element, or else in a main element, the outermost of these
+takes its place.  It and all beside it that is not made of links are the
+article, up to the main element that holds it, if any; beside an article or
+main element that no main element holds, only what scores or reads like it is.
 
 Before that, parts that are never the article are left out: scripts, styles,
 forms and other controls, navigation, sidebars, page headers and footers,
@@ -224,18 +227,55 @@ def _kept(root: _Node) -> list[_Node]:
         best = best.parent
     while best.parent is not None and best.tag not in ("article", "main") and sum(1 for c in best.parent.children if not isinstance(c, str) and not c.dropped) == 1:
         best = best.parent  # the same text in one more wrapping
+    best = _outermost(best, "article") or _outermost(best, "main") or best
     if best.parent is None:
         return [best]
+    main = _outermost(best, "main")
+    if best.tag not in ("article", "main"):
+        return [_beside(best, best)]
+    if main is not None and main is not best:
+        node = whole = best
+        while node is not main:
+            node, whole = node.parent, _beside(node, whole)
+        return [whole]
     kept, least = [], max(10.0, 0.2 * best.points)
     for node in best.parent.children:
         if isinstance(node, str) or node.dropped:
             continue
         dense = node.linked / node.length if node.length else 1.0
-        if node is best or node.points >= least and dense < 0.3 or node.tag == "p" and (node.length > 80 and dense < 0.25 or node.length and not dense and node.commas) or node.tag in ("h1", "h2") and best.tag not in ("article", "main") and not dense:
+        if node is best or node.points >= least and dense < 0.3 or node.tag == "p" and (node.length > 80 and dense < 0.25 or node.length and not dense and node.commas):
             kept.append(node)
     return kept
 
 
+def _outermost(node: _Node | None, tag: str) -> _Node | None:
+    found = None
+    while node is not None:
+        found, node = node if node.tag == tag else found, node.parent
+    return found
+
+
+def _beside(node: _Node, taken: _Node) -> _Node:
+    """``taken`` for ``node``, and what lies beside it but is not made of links; text and inline elements that follow each other are judged as one."""
+    whole = _Node(node.parent.tag, None, False)
+    runs: list[list[_Node | str]] = []
+    before = False
+    for c in node.parent.children:
+        inline = c is not node and (isinstance(c, str) or c.tag not in BLOCKS)
+        if not inline or not before:
+            runs.append([])
+        runs[-1].append(c)
+        before = inline
+    for run in runs:
+        length = sum(len(" ".join(c.split())) if isinstance(c, str) else c.length for c in run if isinstance(c, str) or not c.dropped)
+        linked = sum(c.linked for c in run if not isinstance(c, str) and not c.dropped)
+        if run[0] is node:
+            whole.children.append(taken)
+        elif linked < 0.3 * length:
+            whole.children += run
+    return whole
+
+
 def _text(nodes: list[_Node]) -> str:
     blocks: list[str] = []
     line: list[str] = []

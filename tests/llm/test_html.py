@@ -51,6 +51,26 @@ def test_articles_without_the_element():
     assert got.startswith("Title Long text") and got.endswith("And so on, and on.") and "Other" not in got
 
 
+LONG = "Long text, with commas, and more, that goes on for quite a while. " * 8
+
+
+def test_nothing_of_an_article_is_lost_beside_its_longest_part():
+    few = "Few words, some commas, here. " * 10
+    for tag in ("article", "main"):
+        made = f"<body><{tag}><section>{f'<p>{LONG}</p>' * 6}</section><section><p>{few}</p></section><div><div><h4>Head</h4><p>short</p></div></div></{tag}></body>"
+        assert html.main_text(made) == " ".join([*[LONG.strip()] * 6, few.strip(), "Head", "short"])
+    made = f"<main><p>lead</p><div><div>intro</div><article><section>{f'<p>{LONG}</p>' * 6}</section><p>end</p></article></div><ul><li><a href=1>Other things, to read, here</a></ul></main>"
+    assert html.main_text(made) == " ".join(["lead", "intro", *[LONG.strip()] * 6, "end"])
+
+
+def test_nothing_is_lost_beside_a_container():
+    beside = ["<div>Intro</div>", "<h3>Third</h3>", "<h6>Sixth</h6>", "<ul><li>item</ul>", "<blockquote>quote</blockquote>", "<pre>code</pre>", "<table><tr><td>cell</table>", "<p>no comma</p>", "bare <b>bold</b>, <a href=1>x</a> text"]
+    want = ["Intro", "Third", "Sixth", "item", "quote", "code", "cell", "no comma", "bare bold, x text"]
+    links = "<div><a href=3>Other things, to read, here</a></div>"
+    got = html.main_text(f"<body><div>{links}<div>{''.join(beside)}<div>{f'<p>{LONG}</p>' * 6}</div>{links}{''.join(beside)}</div></div></body>")
+    assert got == " ".join([*want, *[LONG.strip()] * 6, *want])
+
+
 @pytest.mark.parametrize("text", ["", "<", "<p", "<p>", "</p></div>", "<script>x", "<!--", "<a href='x>y", "<p a=\"1>x</p>", "&#0;&bogus;&amp", "<table><td>a<td>b", "<![CDATA[x]]>", "<div>" * 3000 + "deep", "<p>" * 5000, "<li>" * 3000])
 def test_broken_pages(text):
     assert isinstance(html.main_text(text), str)
