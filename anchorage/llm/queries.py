@@ -28,7 +28,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfiles.write_and_read(table(spark, sf_dir, "documents"))
+    return tokenfiles.write_and_read(table(spark, sf_dir, "documents"), added=True)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

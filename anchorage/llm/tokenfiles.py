@@ -16,7 +16,9 @@ The totals of the files (one number each) give the offset of each range.
 
 Words are encoded by the tokenizers library, each distinct word once while a
 worker remembers it: the tokenizer's own rules never join text across white
-space.
+space.  With ``added``, the vocabulary's added tokens are found in texts and
+get their ids, as the library does unless told otherwise; without it they are
+text like any other (the library's ``encode_special_tokens``).
 
 Defined results: a null or empty text has the end id alone; a null ``doc_id``
 comes first; rows that repeat a ``doc_id`` follow each other by their text;
@@ -66,13 +68,20 @@ class WordIds(dict):
     lower case and two parts.
     """
 
-    def __init__(self, file: str, kind: str):
+    def __init__(self, file: str, kind: str, added: bool = False):
         super().__init__()
         self._library = _library(file)
         self._model, self._normal, self._split = self._library.model, self._library.normalizer, self._library.pre_tokenizer
         self._words = re.compile(WORD).findall
         self._code = "H" if kind == "<u2" else "I"
         self._parts: dict[str, bytes] = {}
+        tokens = self._library.get_added_tokens_decoder() if added else {}
+        #: Added tokens that stand in a text as they are; with any other kind the library itself encodes every text.
+        self._added = {t.content: struct.pack(f"<{self._code}", i) for i, t in tokens.items()}
+        self._plain = not any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens.values())
+        self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
+        if added:
+            self._library.encode_special_tokens = False
 
     def _part(self, part: str) -> bytes:
         data = self._parts.get(part)
@@ -102,6 +111,12 @@ class WordIds(dict):
         return data
 
     def ids(self, text: str) -> bytes:
+        if not self._plain:
+            ids = self._library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}{self._code}", *ids)
+        for token in self._added:
+            if token in text:
+                return b"".join(self._added[part] if k % 2 else b"".join(map(self.__getitem__, self._words(part))) for k, part in enumerate(self._cuts(text)))
         return b"".join(map(self.__getitem__, self._words(text)))
 
 
@@ -191,7 +206,7 @@ class SequenceFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id: int = END_ID, parts: int | None = None) -> list[tuple[str, int]]:
+def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id: int = END_ID, parts: int | None = None, added: bool = False) -> list[tuple[str, int]]:
     """Write the files; their URIs in document order, with the ids that each holds."""
     spark = docs.sparkSession
     kind = "<u2" if _library(file).get_vocab_size() <= 1 << 16 else "<u4"
@@ -199,7 +214,7 @@ def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, press = WordIds(file, kind), zstandard.ZstdCompressor(level=1)
+        words, press = WordIds(file, kind, added), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             packed, marks = [], []
@@ -280,7 +295,7 @@ def read(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     return listed.select("path", "before").mapInArrow(lambda batches: releasing(load(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_and_read(docs: DataFrame, file: str = "word_bpe_49k.json", end_id: int = END_ID) -> DataFrame:
+def write_and_read(docs: DataFrame, file: str = "word_bpe_49k.json", end_id: int = END_ID, added: bool = False) -> DataFrame:
     """Write ``docs`` to a folder beside the cluster's checkpoints and read the files back."""
     spark = docs.sparkSession
-    return read(spark, write(docs, scratch_path(spark, "token-files"), file, end_id))
+    return read(spark, write(docs, scratch_path(spark, "token-files"), file, end_id, added=added))

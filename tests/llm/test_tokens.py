@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from helpers import ODD, documents, empty_documents, odd_documents
 from tokenizers import Tokenizer, models
 
-from anchorage.llm import tokenfiles, viterbi
+from anchorage.llm import queries, tokenfiles, viterbi
 
 PARTS = ["a", "B", "The ", " ", "\n", "é", "É", "日本", "🙂", "'s", "'S", "  ", "\x1c", "\x85", "　", "é", "İ", "Σ", "ΣΑΣ", "xy" * 20, "1234", "..", "ñ", "\t", "ing", "<|endoftext|>", "ß", "̸", "ﬁ", "×", "Éa.!", "b'", "q@"]
 
@@ -48,6 +48,19 @@ def test_files_hold_all_documents_in_order(spark, library):
     assert sorted(map(tuple, got)) == brute_files(enumerate(texts), library)
 
 
+def test_query_gives_what_the_plain_library_gives(spark, tmp_path):
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = tokenfiles.WordIds("word_bpe_49k.json", "<u2", added=True)
+    r = random.Random(12)
+    parts = [*PARTS, "<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext"]
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", *("".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(800))]
+    for text in texts:
+        assert np.frombuffer(words.ids(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    documents(spark, texts[:100]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op5_token_files"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == brute_files(enumerate(texts[:100]), plain)
+
+
 def test_odd_rows(spark, library):
     got = tokenfiles.write_and_read(odd_documents(spark)).collect()
     assert len(got) == len(ODD) + 3
