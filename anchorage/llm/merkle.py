@@ -21,8 +21,9 @@ join the ranges.  A text is then sent on only as far as its receiver needs it.
 Defined results: a null text counts as empty; an empty text has no paragraphs,
 and two of these are alike (1); a null ``doc_id`` comes before all others, and
 the least long counts as null; of
-rows that repeat ``doc_id`` and text one is kept; rows that repeat ``doc_id``
-with other texts follow each other by a hash of the text; a single document is
+rows that repeat ``doc_id`` and text one is kept, or with ``repeated`` all are,
+each with the same next document; rows that repeat ``doc_id`` with other texts follow each other by a
+hash of the text; a single document is
 its own next; other columns are ignored; texts are never cut.
 """
 
@@ -100,29 +101,29 @@ def _next_keys(keys: DataFrame) -> DataFrame:
     return joined.select("id", "tie", "n", F.col("before.id").alias("next_id"), F.col("before.tie").alias("next_tie"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, repeated: bool = False) -> DataFrame:
     """``doc_id, text, fingerprint``, the first third (of one's own length) of the next text by descending id, and that text's fingerprint."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     ident = docs["doc_id"].cast("long")
     # Two joins below read the same three columns by the same key, so that the texts are dealt out once.
     view = docs.select(F.coalesce(ident, F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     keys = cut(view.select("id", "tie", F.length("text").alias("n")).groupBy("id", "tie").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "keys")
-    if keys.where("rows > 1").head(1):
-        view = view.dropDuplicates(["id", "tie"])
+    once = view.dropDuplicates(["id", "tie"]) if keys.where("rows > 1").head(1) else view
+    view = view if repeated else once
     order = _next_keys(keys.drop("rows"))
     # To the next document: who asks, and for how many code points.
     asked = order.select(F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), F.col("id").alias("asker"), F.col("tie").alias("asker_tie"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    given = view.join(asked, ["id", "tie"]).select(
+    given = once.join(asked, ["id", "tie"]).select(
         F.col("asker").alias("id"), F.col("asker_tie").alias("tie"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("next_head"), fingerprint(F.col("text")).alias("next_fingerprint")
     )
     return view.join(given, ["id", "tie"]).select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "text", fingerprint(F.col("text")).alias("fingerprint"), "next_head", "next_fingerprint")
 
 
-def edited_digests(docs: DataFrame) -> DataFrame:
+def edited_digests(docs: DataFrame, repeated: bool = False) -> DataFrame:
     """Per document: its fingerprint, that of its text with the last third replaced by the head of the next, and likenesses."""
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    made = with_next(docs).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.col("next_head"))).select(
+    made = with_next(docs, repeated).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.col("next_head"))).select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),

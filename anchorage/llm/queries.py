@@ -45,7 +45,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.edited_digests(table(spark, sf_dir, "documents"))
+    return merkle.edited_digests(table(spark, sf_dir, "documents"), repeated=True)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import ODD, SCHEMA, documents, empty_documents, odd_documents
 
-from anchorage.llm import langid, merkle, mixing, secrets
+from anchorage.llm import langid, merkle, mixing, queries, secrets
 
 WORDS = {"en": "the of and to in is that was with for this have are".split(), "fr": "le la des est dans pour une avec sur qui que pas".split(), "de": "der die und nicht ist das ein mit für auf schön".split()}
 
@@ -157,6 +157,13 @@ def test_redaction_keeps_rows(spark):
     assert len(rows) == len(ODD) + 3 and secrets.find(empty_documents(spark)).count() == 0
 
 
+def test_fingerprints_keep_repeated_rows(spark, tmp_path):
+    rows = [(None, "same. text"), (None, "same. text"), (1, "one, two. three"), (2, "other, words"), (2, "other, words"), (2, "other, words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op9_fingerprints"](spark, str(tmp_path)).select("doc_id", "n_chars").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, len(t))) for i, t in rows)
+
+
 def test_fingerprints_of_edits_and_neighbours(spark):
     r = random.Random(6)
     texts = ["", *(". ".join(_prose(r, "en", r.randint(1, 9)) for _ in range(r.randint(1, 60))) for _ in range(40)), "é日🙂" * 500]
