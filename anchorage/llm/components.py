@@ -23,7 +23,8 @@ def _hand_over(edges: DataFrame, larger: bool) -> DataFrame:
     """One contraction.  ``edges``: distinct (u, v) with u > v, and the result again."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else edges.select("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    # Dealt out once more, so that Spark can split the edges of a node with very many among tasks of the join.
+    joined = both.join(least.hint("rebalance"), "u")
     if larger:
         made = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -9,19 +9,26 @@ Cut the order into more than ``D`` fragments and at least one fragment holds
 the same n-grams in both, so equal fragments find every link.  The number of
 fragments follows from the size class of a set; a set is cut for its own class
 and the next, as a partner may lie there.  A fragment that is empty in both
-says nothing: there are ``spare`` more fragments than needed, and a set with
-more empty fragments than that (rare) also publishes the empty ones.  The same
-count tells how many fragments a set shares with any partner at least, which
-leaves out sets that have only a passage in common with others.
+says nothing: there are some more fragments than needed, and only a set whose
+empty fragments could be all that it shares with a partner publishes those too.
+The same count tells how many fragments a set shares with any partner at least
+(``least``).  So a set that shares fewer fragments with others is in no link,
+and of those it shares it may leave out the ``least - 1`` that most sets have:
+in one order of all fragments by how common they are, the rarest that two
+linked sets share is among what both keep.
 
 *Counting.*  The sets of the candidates are cut into a few fragments; the
 overlap of each pair is counted fragment by fragment and summed per pair.
 
 Equal sets are one class from the start, represented by its least document.
+Fragments that the same sets share are one group, with a weight.
 To know who is connected it is not necessary to emit the pairs inside a group:
 each group first sends its members to its least one (as many rows as members).
 Links found that way are contracted, and only groups that still hold more than
-one component are joined with themselves, for pairs across components.  A
+one component are joined with themselves, for pairs across components.  Such a
+group is dealt out in blocks of about ``BLOCK`` members, each pair of blocks by
+itself, and a pair is made in the first group it shares as far as the ``FIRST``
+least groups of both tell.  A
 512-bit parity map per document refutes most pairs inside the join, a finer one
 most of the rest before sets are moved: two sets differ in at least as many
 n-grams as their maps differ in bits.  No pair is lost: sizes, counts and maps
@@ -43,7 +50,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorage.llm.common import cut, drop_scratch, releasing
@@ -55,12 +62,10 @@ MAP_LONGS, COUNT_FRAGMENTS = 8, 4
 WORDS_KEPT = 200_000
 #: Tables of ids are broadcast up to this number of rows, which are counted first; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Parity maps of candidates are broadcast up to this many bytes, which are summed first.
-BROADCAST_BYTES = 16 << 20
 #: Bits of a signature.  Two that are equal by chance make a pair that is refuted later.
 SIGNATURE_BITS = 48
-#: How often sets with too few shared signatures are left out; at least once.
-ROUNDS = 1
+#: Members of a group that are joined with each other in one place, and groups of a set that its rows name.
+BLOCK, FIRST = 500, 8
 MAPS = [f"map{i}" for i in range(MAP_LONGS)]
 _U = np.uint64
 
@@ -116,16 +121,16 @@ class Plan:
             self._from.append(self._from[-1] * self.den // self.num + 1)
         return bisect_right(self._from, n) - 1
 
-    def fragments(self, size_class: int) -> tuple[int, int]:
-        """Number of fragments of a class, of which so many are spare; (1, 0) if only equal sets link."""
+    def fragments(self, size_class: int) -> int:
+        """Number of fragments of a class; 1 if only equal sets link."""
         while len(self._from) <= size_class + 1:
             self._from.append(self._from[-1] * self.den // self.num + 1)
-        largest = self._from[size_class + 1] - 1
-        differ = 2 * largest * (self.den - self.num) // (self.den + self.num)
-        if differ == 0:
-            return 1, 0
-        spare = 2 + differ // 16
-        return differ + 1 + spare, spare
+        differ = self._differ(2 * (self._from[size_class + 1] - 1))
+        return differ + 3 + differ // 16 if differ else 1
+
+    def _differ(self, together: int) -> int:
+        """In how many n-grams two linked sets differ at most that have so many together."""
+        return together * (self.den - self.num) // (self.den + self.num)
 
     def signatures(self, items: np.ndarray) -> tuple[np.ndarray, int]:
         """Hashes of the fragments of a set, for its class and the next; and how many of them any partner shares at least."""
@@ -133,24 +138,22 @@ class Plan:
         n = len(items)
         own = self.size_class(n)
         for k in (own, own + 1):
-            count, spare = self.fragments(k)
-            if count == 1:
+            count = self.fragments(k)
+            # The largest partner that shares this class.
+            partner = min(self._from[k + 1] - 1, n * self.den // self.num)
+            if count == 1 or partner < self._from[k]:
                 continue
             at = ((items >> _U(32)) * _U(count)) >> _U(32)
             starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-            empty = count - len(starts)
+            equal = len(starts) - self._differ(n + partner)
             with np.errstate(over="ignore"):
                 label = _mixed(at[starts] + _U(k << 32))
                 made.append(_mixed(np.add.reduceat(_mixed(items + _U(1)), starts) ^ label))
-                if empty > spare:
+                if equal < 1:
                     gaps = np.setdiff1d(np.arange(count, dtype=_U), at[starts], assume_unique=True)
                     made.append(_mixed(gaps + _U((k << 32) | (1 << 62))))
-            # The largest partner that shares this class, and in how many fragments the two can differ.
-            partner = min(self._from[k + 1] - 1, n * self.den // self.num)
-            differ = (n + partner) * (self.den - self.num) // (self.den + self.num)
-            equal = 1 if empty > spare else count - differ - empty
-            least = equal if least is None else min(least, equal)
-        return (np.concatenate(made), max(1, least)) if made else (np.empty(0, _U), 1)
+            least = max(1, equal if least is None else min(least, equal))
+        return (np.concatenate(made), least) if made else (np.empty(0, _U), 1)
 
 
 def parity_map(items: np.ndarray) -> np.ndarray:
@@ -197,7 +200,8 @@ def _prints(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     high.append(h)
                     low.append(l)
                     found, needed = plan.signatures(items) if len(items) else (items, 1)
-                    signatures.append(found & _U((1 << SIGNATURE_BITS) - 1))
+                    found = np.unique(found & _U((1 << SIGNATURE_BITS) - 1))
+                    signatures.append(found)
                     least.append(needed)
                     offsets.append(offsets[-1] + len(found))
                     fine.append(parity_map(items))
@@ -226,7 +230,7 @@ def _fragments(docs: DataFrame, width: int) -> DataFrame:
                 for doc, cell in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     items = shingles(cell.as_py())
                     h, l = set_key(items)
-                    cuts = np.searchsorted(items, np.arange(1, COUNT_FRAGMENTS, dtype=_U) << _U(62)) if COUNT_FRAGMENTS == 4 else None
+                    cuts = np.searchsorted(items, np.arange(1, COUNT_FRAGMENTS, dtype=_U) * _U((1 << 64) // COUNT_FRAGMENTS))
                     for k, piece in enumerate(np.split(items, cuts)):
                         if len(piece):
                             ids.append(doc)
@@ -260,7 +264,9 @@ class _Join:
         full = cut(_prints(docs, width, num, den).withColumn("node", F.monotonically_increasing_id()), "signatures")
         self.prints = cut(full.drop("signatures"), "prints")
         linkable = self.prints.where("n > 0 and doc_id is not null")
-        self.classes = linkable.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("key1", "key2", F.col("least.doc_id").alias("class_doc"), F.col("least.node").alias("class_node"))
+        self.classes = cut(
+            linkable.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("key1", "key2", F.col("least.doc_id").alias("class_doc"), F.col("least.node").alias("class_node")), "classes"
+        )
         copies = cut(linkable.select("key1", "key2", "node").join(self.classes, ["key1", "key2"]).where("node <> class_node").select("node"), "copies")
         representatives = by_ids(linkable, copies, "node", "left_anti")
         self.traits = representatives.select("node", "n", *MAPS)
@@ -269,21 +275,22 @@ class _Join:
         # Nearly all signatures are of one set, and of those that are not nearly all of two, which the aggregate names
         # itself.  Only members of larger groups are looked up among the rows again.
         groups = cut(rows.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi"), "groups")
-        two = groups.where("members = 2").select("signature", F.explode(F.array("lo", "hi")).alias("node"))
-        larger = by_ids(rows, cut(groups.where("members > 2").select("signature"), "larger"), "signature", "left_semi").select("signature", "node")
-        shared = cut(two.unionByName(larger), "shared")
-        drop_scratch(full)
-        drop_scratch(groups)
-        needed = representatives.select("node", "least")
-        for _ in range(ROUNDS):
-            # A set that shares fewer signatures than any of its partners would is in no link.
-            enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("found")).join(needed, "node").where("found >= least").select("node")
-            left = shared.join(enough, "node", "left_semi").select("signature", "node")
-            alive = left.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-            after = cut(left.join(alive.select("signature", F.col("lo").alias("leader")), "signature").select("signature", "node", "leader"), "shared")
-            drop_scratch(shared)
-            shared = after
-        self.members = shared
+        two = groups.where("members = 2").groupBy("lo", "hi").agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("weight"))
+        two = two.select("signature", F.explode(F.array("lo", "hi")).alias("node"), F.lit(2).cast("long").alias("members"), "weight")
+        larger = cut(by_ids(rows, cut(groups.where("members > 2").select("signature"), "larger"), "signature", "left_semi").select("signature", "node"), "larger-rows")
+        marked = larger.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node")).alias("mark1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("mark2"))
+        alike = cut(marked.groupBy("members", "mark1", "mark2").agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("weight")).select("signature", "members", "weight"), "alike")
+        shared = cut(two.unionByName(larger.join(alike, "signature").select("signature", "node", "members", "weight")), "shared")
+        for done in (full, groups, larger, alike):
+            drop_scratch(done)
+        # Of the signatures that a set shares, the least - 1 that most sets have may go; if these are all, so does the set.
+        commonest = Window.partitionBy("node").orderBy(F.desc("members"), F.desc("signature")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rare = shared.join(representatives.select("node", "least"), "node").withColumn("before", F.sum("weight").over(commonest)).where("before >= least").select("signature", "node")
+        rare = cut(rare, "rare")
+        drop_scratch(shared)
+        leaders = cut(rare.groupBy("signature").agg(F.min("node").alias("leader"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("members")).where("leader < hi").drop("hi"), "leaders")
+        self.members = cut(rare.join(leaders, "signature").select("signature", "node", "leader", "members"), "members")
+        drop_scratch(rare)
 
     def _may_link(self, x: str, y: str) -> Column:
         """Necessary for a link: sizes, and the number of bits in which the parity maps differ."""
@@ -299,28 +306,44 @@ class _Join:
 
     def cross_pairs(self, components: DataFrame) -> DataFrame:
         """Pairs of one group in different components."""
-        labelled = self.members.join(components, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
-        unfinished = labelled.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
-        rows = cut(labelled.join(unfinished, "signature").join(self.traits, "node"), "unfinished")
-        x, y = rows.alias("x"), rows.alias("y")
-        on = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        return x.join(y, on & self._may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        labelled = self.members.join(components, "node", "left").select("signature", "node", "members", F.coalesce("component", "node").alias("component"))
+        unfinished = cut(labelled.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature"), "unfinished")
+        return self._pairs(labelled.join(unfinished, "signature"))
 
     def all_pairs(self) -> DataFrame:
         """Every candidate pair of representatives."""
-        rows = self.members.select("signature", "node").join(self.traits, "node")
-        x, y = rows.alias("x"), rows.alias("y")
-        on = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.node") < F.col("y.node"))
-        return x.join(y, on & self._may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        return self._pairs(self.members.select("signature", "node", "members", F.col("node").alias("component")))
+
+    def _pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of rows of one group and different components that may link."""
+        rows = cut(rows, "open")
+        # A set has no more signatures than n-grams, so these arrays are bounded by its text.
+        first = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("signature")), 1, FIRST).alias("first"))
+        blocks = F.ceil(F.col("members") / BLOCK)
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+        dealt = (
+            rows.join(first, "node")
+            .join(self.traits, "node")
+            .withColumn("blocks", blocks)
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+            .select("signature", "node", "component", "first", "n", *MAPS, "block", other)
+            .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+            .drop("other")
+        )
+        dealt = cut(dealt, "dealt")
+        x, y = dealt.alias("x"), dealt.alias("y")
+        on = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+        on = on & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & ((F.col("x.i") == F.col("x.j")) | (F.col("x.block") != F.col("y.block")))
+        # Not if the pair is made in a lesser group that both name.
+        met = F.array_min(F.array_intersect("x.first", "y.first"))
+        here = F.coalesce(met, F.col("x.signature")) >= F.col("x.signature")
+        return x.join(y, on & self._may_link("x", "y") & here).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
     def _near(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose fine parity maps leave a link open.  Of maps of two lengths the longer is folded."""
-        pairs = cut(pairs, "candidates")
+        """Of written pairs those whose fine parity maps leave a link open, written.  Of maps of two lengths the longer is folded."""
         ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         maps = cut(ids.join(self.prints.select("node", "n", "fine"), "node"), "maps")
-        few = (maps.agg(F.sum(F.size("fine"))).first()[0] or 0) * 8 <= BROADCAST_BYTES
         x, y = (maps.select(F.col("node").alias(f"{c}"), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
-        x, y = (F.broadcast(x), F.broadcast(y)) if few else (x, y)
 
         def fold(m: Column, other: Column) -> Column:
             half = (F.size(m) / 2).cast("int")
@@ -329,39 +352,44 @@ class _Join:
 
         joined = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", fold(F.col("fine_a"), F.col("fine_b")).alias("p"), fold(F.col("fine_b"), F.col("fine_a")).alias("q"))
         bits = F.when(F.size("p") == F.size("q"), F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)).otherwise(0)
-        return joined.where(bits * (self.den + self.num) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num)).select("a", "b")
+        near = cut(joined.where(bits * (self.den + self.num) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num)).select("a", "b"), "pairs")
+        drop_scratch(maps)
+        return near
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, overlap, union`` of the pairs that reach the threshold, counted on the sets."""
-        pairs = cut(self._near(pairs), "pairs")
+        """``a, b, overlap, union`` of the pairs that reach the threshold, counted on the sets; a written table."""
+        candidates = cut(pairs, "candidates")
+        pairs = self._near(candidates)
         wanted = cut(
             pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(self.prints.select("node", "doc_id", "key1", "key2", "n"), "node"),
             "wanted",
         )
         picked = by_ids(self.docs, cut(wanted.select("doc_id").distinct(), "ids"), "doc_id", "left_semi")
-        parts = cut(_fragments(picked, self.width).join(wanted.drop("n"), ["doc_id", "key1", "key2"]).dropDuplicates(["node", "fragment"]).select("node", "fragment", "items"), "fragments")
+        parts = cut(_fragments(picked, self.width).join(wanted.drop("n"), ["doc_id", "key1", "key2"]).dropDuplicates(["doc_id", "key1", "key2", "fragment"]).select("node", "fragment", "items"), "fragments")
         sizes = wanted.select("node", "n")
-        x, y = parts.alias("x"), parts.alias("y")
-        partial = (
-            pairs.join(x, F.col("a") == F.col("x.node"))
-            .join(y, (F.col("b") == F.col("y.node")) & (F.col("x.fragment") == F.col("y.fragment")))
-            .select("a", "b", F.size(F.array_intersect("x.items", "y.items")).cast("long").alias("shared"))
-        )
+        # Both joins read the fragments by the same keys, so that they are dealt out once.
+        x, y = (parts.select(F.col("node").alias(c), "fragment", F.col("items").alias(f"items_{c}")) for c in "ab")
+        asked = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))).alias("fragment"))
+        partial = asked.join(x, ["a", "fragment"]).join(y, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("shared"))
         counted = partial.groupBy("a", "b").agg(F.sum("shared").alias("overlap"))
         sized = counted.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        return sized.withColumn("union", F.col("na") + F.col("nb") - F.col("overlap")).where(self.den * F.col("overlap") >= self.num * F.col("union")).select("a", "b", "overlap", "union")
+        found = cut(sized.withColumn("union", F.col("na") + F.col("nb") - F.col("overlap")).where(self.den * F.col("overlap") >= self.num * F.col("union")).select("a", "b", "overlap", "union"), "links")
+        for done in (candidates, pairs, wanted, parts):
+            drop_scratch(done)
+        return found
 
 
 def link_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; links need a similarity of ``num / den``."""
     join = _Join(docs, width, num, den)
-    star = cut(join.links(join.star_pairs()).select("a", "b"), "links")
+    star = join.links(join.star_pairs()).select("a", "b")
     first = cut(connected_components(star), "components")
-    more = cut(join.links(join.cross_pairs(first)).select("a", "b"), "links")
+    more = join.links(join.cross_pairs(first)).select("a", "b")
     components = cut(connected_components(star.unionByName(more)), "components") if more.head(1) else first
+    drop_scratch(join.members)
     by_class = join.classes.join(components.withColumnRenamed("node", "class_node"), "class_node", "left").withColumn("component", F.coalesce("component", "class_node"))
     named = by_class.groupBy("component").agg(F.min("class_doc").alias("component_id"))
-    placed = by_class.join(named, "component").select("key1", "key2", "component_id")
+    placed = cut(by_class.join(named, "component").select("key1", "key2", "component_id"), "placed")
     keyed = join.prints.select("doc_id", "n", "key1", "key2")
     return keyed.join(placed, ["key1", "key2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")

@@ -110,3 +110,33 @@ def test_odd_rows(spark):
     assert by_id[4] == [(1, 4)] and sorted(by_id[5]) == [(1, 4), (1, 4), (1, 5)]
     assert by_id[None] == [(1, None)]
     assert jaccard.link_components(empty_documents(spark)).count() == 0
+
+
+def test_many_near_but_unequal_sets(spark, monkeypatch):
+    """One group of 500 sets, near but not equal, that links only in part; dealt out in blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 60)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(500):
+        own = list(base)
+        for at in r.sample(range(len(own)), r.choice([1, 2, 4, 6, 9])):
+            own[at] = f"e{k}-{at}"
+        texts.append(" ".join(own))
+    sizes, components, links, _ = brute(texts, 5, 80, 100)
+    got = {x["doc_id"]: x for x in jaccard.link_components(documents(spark, texts), 5, 80, 100).collect()}
+    assert [got[i]["n_shingles"] for i in range(500)] == sizes
+    assert [got[i]["component_id"] for i in range(500)] == components
+    pairs, _ = jaccard.similar_pairs(documents(spark, texts[:200]), 5, 80, 100)
+    assert {tuple(sorted((x["doc_a"], x["doc_b"]))) for x in pairs.collect()} == {(a, b) for a, b in links if b < 200}
+
+
+def test_a_passage_that_many_share(spark):
+    """Sets that share half of their n-grams with all others are found apart, and near ones among them linked."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"o{k}-{i}" for i in range(r.randint(50, 90))) for k in range(120)]
+    texts += [t + " more" for t in texts[:20]] + [t.replace("p30", "q30") for t in texts[20:40]]
+    _, components, _, _ = brute(texts, 5, 80, 100)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.link_components(documents(spark, texts), 5, 80, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == components
