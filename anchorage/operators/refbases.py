@@ -52,7 +52,8 @@ def check_chunked(records: DataFrame, chunks: DataFrame, chunk: int = CHUNK) ->
     """:func:`check` against chunks, joined by name and chunk number.
 
     A record that reaches over a border is joined to each chunk it covers and
-    put together again by its row key; all others need one equi-join.
+    put together again, equal records at once and as many times as there were;
+    all others need one equi-join.
     """
     keyed = records.withColumn("_first", F.floor((F.col("position") - 1) / chunk)).withColumn("_last", F.floor((F.col("position") - 2 + F.greatest(F.length("ref"), F.lit(1))) / chunk))
     lengths = chunks.where("number = 0").select(F.col("name").alias("anchor_name"), F.col("length").alias("_length"))
@@ -66,8 +67,10 @@ def check_chunked(records: DataFrame, chunks: DataFrame, chunk: int = CHUNK) ->
     covered = spread.select(*columns, F.explode(F.sequence("_first", "_last")).alias("_k")).join(pieces, (F.col("anchor_name") == F.col("_name")) & (F.col("_k") == F.col("number")))
     low, high = F.greatest(F.col("position") - 1, F.col("_k") * chunk), F.least(F.col("position") - 1 + F.length("ref"), (F.col("_k") + 1) * chunk)
     part = F.substring(F.col("bases"), (low - F.col("_k") * chunk + 1).cast("int"), (high - low).cast("int"))
-    whole = covered.groupBy(*columns).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("_k", part.alias("part")))), lambda x: x["part"]), "").alias("_whole"))
-    many = _classified(whole, F.col("_whole"))
+    whole = covered.withColumn("_opens", F.col("_k") == F.floor((F.col("position") - 1) / chunk)).groupBy(*columns).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("_k", part.alias("part")))), lambda x: x["part"]), "").alias("_whole"), F.count_if("_opens").alias("_times")
+    )
+    many = _classified(whole.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))), F.col("_whole"))
     kept = [*records.columns, "anchor_name", "state", "found"]
     return one.select(*kept).unionByName(many.select(*kept))
 

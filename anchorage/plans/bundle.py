@@ -17,6 +17,7 @@ from anchorage.operators.resolve import in_scope, resolve_identities, unknown_sc
 from anchorage.plans import derive, evaluate
 from anchorage.plans.contracts import anchor_capabilities
 from anchorage.plans.model import BINDING, CAPABILITY, REQUIREMENT, digest, quoted, shaped
+from anchorage.staging import written
 
 _BREAK = "\x1f"
 PAIR_KINDS = ("bounds", "bases", "binding")
@@ -128,8 +129,8 @@ def reason_bundle(
         subjects = scope if scope is not None else [r[0] for r in requirements.select("resource_id").distinct().collect()]  # a bundle's resources
         check_supplements(anchor_id, subjects, requirements, supplements, bindings, supplemental_bindings)
         capabilities = capabilities.unionByName(supplements)
-    judged = evaluate.constraints(anchor_id, requirements, capabilities, bindings)
-    evidence = derive.evidence(judged, capabilities)
+    judged = written(evaluate.constraints(anchor_id, requirements, capabilities, bindings), "constraints")
+    evidence = written(derive.evidence(judged, capabilities), "evidence")
     findings = derive.findings(judged, evidence, anchor_id)
     verdict = derive.verdict(judged, findings, (excluded > 0) + (selected is not None))
     return {"constraints": judged, "evidence": evidence, "findings": findings, "verdict": verdict, "cores": derive.conflict_cores(judged, findings, evidence), "bindings": bindings, "capabilities": capabilities, "requirements": requirements}

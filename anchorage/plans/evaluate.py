@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.plans.model import BINDING, digest, json_array, quoted, shaped
+from anchorage.staging import written
 
 
 def _key(kind: Column, name: Column, scheme: Column, subject: Column, anchor: Column, count: Column) -> Column:
@@ -27,8 +28,10 @@ def constraints(anchor: str, requirements: DataFrame, capabilities: DataFrame, b
     """One row per requirement with its candidates, its bindings and its state.
 
     A name is projected through a binding of its resource; without one it
-    stands for itself.  Identities answer only if they derive from content and
-    use the same scheme; checks only if they cover the same pair and count.
+    stands for itself; the names of an order one by one.  Identities answer only
+    if they derive from content and use the same scheme; checks only if they
+    cover the same pair and count; an order only if it has all projected names,
+    and then the two lists must be the same.
     """
     spark = requirements.sparkSession
     bindings = shaped(bindings, BINDING) if bindings is not None else shaped(spark.createDataFrame([], "binding_id string"), BINDING)
@@ -37,7 +40,14 @@ def constraints(anchor: str, requirements: DataFrame, capabilities: DataFrame, b
     renames = F.col("bound_name").isNotNull() & (F.col("bound_name") != F.col("sequence_name"))
     r = r.withColumn("projected", F.coalesce("bound_name", "sequence_name")).withColumn("via_binding", renames)
     none = F.array().cast("array<string>")
-    r = r.withColumn("binding_ids", F.when(F.col("kind") == "binding", F.coalesce("named_bindings", none)).when(F.col("kind").isin("bounds", "bases", "order"), none).when(renames, F.col("named_bindings")).otherwise(none))
+    each = r.where("kind = 'order'").select("requirement_id", "resource_id", F.posexplode("names").alias("place", "sequence_name"))
+    each = each.join(per_name, ["resource_id", "sequence_name"], "left").withColumn("named", F.coalesce("bound_name", "sequence_name"))
+    listed = each.groupBy("requirement_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "named"))), lambda x: x["named"]).alias("projected_names"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("bound_name") != F.col("sequence_name"), F.col("named_bindings")))))).alias("order_bindings"),
+    )
+    r = r.join(listed, "requirement_id", "left").withColumn("order_bindings", F.coalesce("order_bindings", none)).withColumn("via_binding", F.when(F.col("kind") == "order", F.size("order_bindings") > 0).otherwise(F.col("via_binding")))
+    r = r.withColumn("binding_ids", F.when(F.col("kind") == "binding", F.coalesce("named_bindings", none)).when(F.col("kind") == "order", F.col("order_bindings")).when(F.col("kind").isin("bounds", "bases"), none).when(renames, F.col("named_bindings")).otherwise(none))
     name = F.when(F.col("kind") == "binding", F.col("sequence_name")).otherwise(F.col("projected"))
     r = r.withColumn("key", _key(F.col("kind"), name, F.col("scheme"), F.col("resource_id"), F.col("anchor_id"), F.col("count")))
     # Proven absence answers presence, by the requirement's own name.
@@ -50,7 +60,8 @@ def constraints(anchor: str, requirements: DataFrame, capabilities: DataFrame, b
     )
     found = wanted.join(c, ["cap_kind", "key"]).groupBy("requirement_id").agg(F.array_sort(F.collect_list("c"), lambda a, b: F.when(a["capability_id"] < b["capability_id"], -1).when(a["capability_id"] > b["capability_id"], 1).otherwise(0)).alias("cands"))
     rows = r.join(found, "requirement_id", "left").withColumn("cands", F.coalesce("cands", F.array().cast("array<struct<capability_id:string,k:string,present:boolean,length:bigint,value:string,checked:bigint,conflict:bigint,unresolved:bigint,binding_state:string,names:array<string>>>")))
-    return _judged(anchor, rows)
+    fits = F.filter("cands", lambda x: F.size(F.array_except("projected_names", x["names"])) == 0)
+    return _judged(anchor, rows.withColumn("cands", F.when(F.col("kind") == "order", fits).otherwise(F.col("cands"))))
 
 
 def _ids(rows: Column) -> Column:
@@ -85,7 +96,8 @@ def _judged(anchor: str, rows: DataFrame) -> DataFrame:
     binding = (
         F.when((n == 0) | (F.size(told) > 1), "unresolved").when(F.get(told, F.lit(0)).isin("content_conflict", "proven_absent"), "unsatisfied").when(F.size("binding_ids") == 1, "satisfied").otherwise("unresolved")
     )
-    order = F.when((n == 0) | (F.size(values("names")) != 1), "unresolved").when(F.filter(F.get(values("names"), F.lit(0)), lambda x: F.array_contains(F.col("names"), x)) == F.col("names"), "satisfied").otherwise("unsatisfied")
+    same = F.array_distinct(F.transform(cands, lambda x: x["names"] == F.col("projected_names")))
+    order = F.when(F.size(same) != 1, "unresolved").when(F.get(same, F.lit(0)), "satisfied").otherwise("unsatisfied")
     kind = F.col("kind")
     state = (
         F.when(kind == "presence", presence).when(kind == "length", exact("length", F.col("length"))).when(kind == "identity", exact("value", F.col("value"))).when(kind == "binding", binding)
@@ -109,11 +121,14 @@ def _judged(anchor: str, rows: DataFrame) -> DataFrame:
 
 
 def reason(anchor: str, requirements: DataFrame, capabilities: DataFrame, bindings: DataFrame | None = None, excluded: int = 0, scoped: bool = False) -> dict[str, DataFrame]:
-    """From requirements to a verdict: constraints, evidence, findings, verdict and conflict cores."""
+    """From requirements to a verdict: constraints, evidence, findings, verdict and conflict cores.
+
+    Constraints and evidence are written once, as all that follows reads them.
+    """
     from anchorage.plans import derive
 
-    judged = constraints(anchor, requirements, capabilities, bindings)
-    evidence = derive.evidence(judged, capabilities)
+    judged = written(constraints(anchor, requirements, capabilities, bindings), "constraints")
+    evidence = written(derive.evidence(judged, capabilities), "evidence")
     findings = derive.findings(judged, evidence, anchor)
     verdict = derive.verdict(judged, findings, conditions=(excluded > 0) + scoped)
     return {"constraints": judged, "evidence": evidence, "findings": findings, "verdict": verdict, "cores": derive.conflict_cores(judged, findings, evidence)}

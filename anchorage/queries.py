@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from anchorage.functions.digests import refget_id, sequence_md5
 from anchorage.operators import alignment, bounds, collections, refbases, resolve
 from anchorage.plans import contracts, evaluate
+from anchorage.plans.model import REQUIREMENT, shaped
+from anchorage.staging import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,8 +72,7 @@ def refget_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anchorage.sources.fasta import collection, identities
 
-    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("ordinal"), F.col("n_name").alias("name"), F.col("n_name").alias("sequence"))
-    return collection(identities(nations))
+    return collection(identities(_anchor(spark, sf_dir, False)))
 
 
 @query(f"WITH {_ANCHOR} SELECT md5, count(*)::BIGINT AS n FROM anchor GROUP BY md5 HAVING count(*) > 1")
@@ -135,9 +136,9 @@ def identity_resolution_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_identities(_local(spark, sf_dir), _anchor(spark, sf_dir)).drop("support")
 
 
-@query(_STATES + "SELECT local_name FROM s WHERE state = 'proven_absent' AND local_name IN (SELECT 'item' || item_id FROM benchmark WHERE item_id % 2 = 0)")
+@query(_STATES + "SELECT local_name FROM s WHERE state = 'proven_absent' AND local_name IN (SELECT 'item' || item_id FROM benchmark)")
 def identity_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = _table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(F.concat(F.lit("item"), "item_id").alias("sequence_name"))
+    wanted = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("sequence_name"))
     return resolve.identity_absences(_local(spark, sf_dir), _anchor(spark, sf_dir), wanted)
 
 
@@ -204,7 +205,7 @@ def index_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Variant records.
 _RECORDS = (
-    f"WITH {_ANCHOR}, r AS (SELECT l_orderkey, l_linenumber, 'doc' || (l_partkey % 1200) AS sequence_name, (l_linenumber * 10 + l_quantity::BIGINT)::BIGINT AS position, l_returnflag FROM lineitem), "
+    f"WITH {_ANCHOR}, r AS (SELECT l_orderkey, l_linenumber, 'doc' || (l_partkey * 3 // 5) AS sequence_name, (l_linenumber * 10 + l_quantity::BIGINT)::BIGINT AS position, l_returnflag FROM lineitem), "
     "j AS (SELECT r.*, a.name AS anchor_name, a.length AS anchor_length, substring(a.sequence, position, 2) AS slice FROM r LEFT JOIN anchor a ON a.name = r.sequence_name), "
     "v AS (SELECT *, CASE WHEN l_returnflag = 'R' OR NOT regexp_matches(coalesce(slice, ''), '^[ACGTNacgtn]{2}$') THEN 'NA' ELSE upper(slice) END AS ref FROM j), "
     "c AS (SELECT *, CASE WHEN anchor_name IS NULL THEN 'unresolved_sequence' WHEN position < 1 OR position + 1 > anchor_length THEN 'out_of_bounds' WHEN translate(upper(slice), 'BDHKMRSVWY', 'CAAGAACAAC') = ref THEN 'match' ELSE 'mismatch' END AS state FROM v) "
@@ -214,7 +215,7 @@ _RECORDS = (
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two bases at a place; the anchor's own where it has plain bases there, unless the line was returned."""
     rows = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.concat(F.lit("doc"), F.col("l_partkey") % 1200).alias("sequence_name"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).cast("long").alias("position"), "l_returnflag"
+        "l_orderkey", "l_linenumber", F.concat(F.lit("doc"), F.expr("l_partkey * 3 div 5")).alias("sequence_name"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).cast("long").alias("position"), "l_returnflag"
     )
     own = _anchor(spark, sf_dir, False).select(F.col("name").alias("_n"), F.col("sequence").alias("_s"))
     slice_ = F.substring(F.col("_s"), F.col("position").cast("int"), F.lit(2))
@@ -229,8 +230,15 @@ def refbase_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RECORDS + "SELECT l_orderkey, l_linenumber, sequence_name, position, state FROM c")
 def refbase_check_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = refbases.chunked(_anchor(spark, sf_dir, False), 16)
-    return refbases.check_chunked(_records(spark, sf_dir), chunks, 16).select("l_orderkey", "l_linenumber", "sequence_name", "position", "state")
+    return refbases.check_chunked(_records(spark, sf_dir), refbases.chunked(_anchor(spark, sf_dir, False))).select("l_orderkey", "l_linenumber", "sequence_name", "position", "state")
+
+
+@query(_RECORDS + "SELECT sequence_name, position, ref, state, 2 * count(*)::BIGINT AS n FROM c GROUP BY sequence_name, position, ref, state")
+def refbase_check_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record twice and without a key of its own, against short chunks, of which many records cover two."""
+    records = _records(spark, sf_dir).select("sequence_name", "position", "ref")
+    checked = refbases.check_chunked(records.unionByName(records), refbases.chunked(_anchor(spark, sf_dir, False), 64), 64)
+    return checked.groupBy("sequence_name", "position", "ref", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (state = '{s}')::BIGINT AS {s}" for s in refbases.STATES).replace("FILTER (", "FILTER (WHERE ")
@@ -247,7 +255,7 @@ def refbase_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PATTERN = (
-    f", s AS (SELECT sequence_name, {_COUNTS} FROM c WHERE state IN ('match', 'mismatch') GROUP BY sequence_name), t AS (SELECT sum(match)::BIGINT AS n_match, sum(mismatch)::BIGINT AS n_mismatch, sum(out_of_bounds + unresolved_sequence)::BIGINT AS n_unresolved, "
+    f", s AS (SELECT sequence_name, {_COUNTS} FROM c GROUP BY sequence_name), t AS (SELECT sum(match)::BIGINT AS n_match, sum(mismatch)::BIGINT AS n_mismatch, sum(out_of_bounds + unresolved_sequence)::BIGINT AS n_unresolved, "
     "count(*) FILTER (WHERE match + mismatch > 0)::BIGINT AS n_compared_sequences, count(*) FILTER (WHERE mismatch > 0)::BIGINT AS n_affected_sequences FROM s) "
     "SELECT *, CASE WHEN n_unresolved > 0 THEN 'unclassified' WHEN n_mismatch = 0 THEN 'none' WHEN n_mismatch = 1 THEN 'isolated' WHEN n_affected_sequences = n_compared_sequences AND n_compared_sequences >= 2 "
     "THEN CASE WHEN n_match = 0 THEN 'systematic' ELSE 'distributed' END ELSE 'localized' END AS pattern FROM t"
@@ -256,13 +264,13 @@ _PATTERN = (
 
 @query(_RECORDS + _PATTERN)
 def conflict_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = refbases.check(_records(spark, sf_dir), _anchor(spark, sf_dir, False)).where("state in ('match', 'mismatch')")
+    checked = refbases.check(_records(spark, sf_dir), _anchor(spark, sf_dir, False))
     return refbases.conflict_pattern(refbases.outcomes(checked))
 
 
 # Intervals and annotation features.
 _INTERVALS = (
-    "WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS ordinal, 'doc' || (l_partkey % 1200) AS sequence_name, (l_suppkey * 7 + l_linenumber * 100)::BIGINT AS start_, (l_suppkey * 7 + l_linenumber * 100 + l_quantity::BIGINT)::BIGINT AS end_ FROM lineitem), "
+    "WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS ordinal, 'doc' || (l_partkey * 3 // 5) AS sequence_name, (l_suppkey * 7 + l_linenumber * 100)::BIGINT AS start_, (l_suppkey * 7 + l_linenumber * 100 + l_quantity::BIGINT)::BIGINT AS end_ FROM lineitem), "
     "c AS (SELECT i.*, n_chars AS anchor_length, CASE WHEN d.doc_id IS NULL THEN 'unresolved_sequence' WHEN start_ >= 0 AND start_ <= end_ AND end_ <= n_chars THEN 'representable' ELSE 'out_of_bounds' END AS state "
     "FROM i LEFT JOIN documents d ON 'doc' || d.doc_id = i.sequence_name) "
 )
@@ -271,7 +279,7 @@ _INTERVALS = (
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("l_suppkey") * 7 + F.col("l_linenumber") * 100
     return _table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.concat(F.lit("doc"), F.col("l_partkey") % 1200).alias("sequence_name"), start.cast("long").alias("start"), (start + F.col("l_quantity").cast("long")).cast("long").alias("end")
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.concat(F.lit("doc"), F.expr("l_partkey * 3 div 5")).alias("sequence_name"), start.cast("long").alias("start"), (start + F.col("l_quantity").cast("long")).cast("long").alias("end")
     )
 
 
@@ -427,11 +435,12 @@ def _alignment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     anchor, peer = _anchor(spark, sf_dir), _peer(spark, sf_dir)
     rows = peer.withColumn("ordinal", F.substring("name", 5, 20).cast("long"))
     rows = rows.withColumn("name", F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("doc"), "ordinal")).otherwise(F.col("name")))
+    rows = rows.unionByName(rows.where("ordinal % 50 = 1").withColumn("name", F.concat(F.lit("copy"), "ordinal")))
     return rows, anchor, resolve.declared_bindings(rows, anchor, need_length=True)
 
 
 _ALIGNMENT = (
-    f"WITH {_ANCHOR}, {_PEER}, d AS (SELECT CASE WHEN substring(name, 5)::BIGINT % 2 = 0 THEN 'doc' || substring(name, 5) ELSE name END AS name, length, md5 FROM peer), "
+    f"WITH {_ANCHOR}, {_PEER}, d AS (SELECT CASE WHEN substring(name, 5)::BIGINT % 2 = 0 THEN 'doc' || substring(name, 5) ELSE name END AS name, length, md5 FROM peer UNION ALL SELECT 'copy' || substring(name, 5), length, md5 FROM peer WHERE substring(name, 5)::BIGINT % 50 = 1), "
     "u AS (SELECT md5, min(name) AS name, min(length) AS length FROM anchor GROUP BY md5 HAVING count(*) = 1), b AS (SELECT d.name, u.name AS bound FROM d JOIN u USING (md5) WHERE d.length = u.length AND d.name <> u.name), "
     "r AS (SELECT d.name, coalesce(bound, a.name) AS anchor_name, CASE WHEN bound IS NOT NULL THEN 'verified_m5_binding' WHEN a.name IS NOT NULL THEN 'exact_name' WHEN d.md5 IS NOT NULL AND d.md5 NOT IN (SELECT md5 FROM anchor) THEN 'distinct_extra' ELSE 'unresolved' END AS method "
     "FROM d LEFT JOIN b ON b.name = d.name LEFT JOIN anchor a ON a.name = d.name) "
@@ -452,11 +461,11 @@ def alignment_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A whole bundle: a variant file whose contigs are the documents' names.
 _BUNDLE = (
-    _RECORDS + ", used AS (SELECT DISTINCT sequence_name AS name FROM c), contigs AS (SELECT 'doc' || doc_id AS name, n_chars + CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END AS length, "
-    "CASE WHEN doc_id % 41 = 0 THEN 'none' WHEN doc_id % 37 = 0 THEN md5(text) ELSE " + _MD5.format("text") + " END AS md5 FROM documents WHERE doc_id % 5 <> 0), "
+    _RECORDS + ", used AS (SELECT DISTINCT sequence_name AS name FROM c), contigs AS (SELECT 'doc' || doc_id AS name, CASE WHEN doc_id % 5 <> 0 THEN n_chars + CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END END AS length, "
+    "CASE WHEN doc_id % 5 = 0 OR doc_id % 41 = 0 THEN 'none' WHEN doc_id % 37 = 0 THEN md5(text) ELSE " + _MD5.format("text") + " END AS md5 FROM documents), "
     "k AS (SELECT contigs.* FROM contigs WHERE name IN (SELECT name FROM used)), t AS (SELECT count(*) AS checked, count(*) FILTER (WHERE state = 'mismatch') AS conflict, count(*) FILTER (WHERE state IN ('out_of_bounds', 'unresolved_sequence')) AS unresolved FROM c), "
     "q AS (SELECT 'presence' AS kind, name AS sequence_name, CASE WHEN name IN (SELECT name FROM anchor) THEN 'satisfied' ELSE 'unresolved' END AS state, '\"presence\",\"calls\",\"' || name || '\"' AS id FROM used "
-    "UNION ALL SELECT 'length', k.name, CASE WHEN a.name IS NULL THEN 'unresolved' WHEN a.length = k.length THEN 'satisfied' ELSE 'unsatisfied' END, '\"length\",\"calls\",\"' || k.name || ':' || k.length || '\"' FROM k LEFT JOIN anchor a ON a.name = k.name "
+    "UNION ALL SELECT 'length', k.name, CASE WHEN a.name IS NULL THEN 'unresolved' WHEN a.length = k.length THEN 'satisfied' ELSE 'unsatisfied' END, '\"length\",\"calls\",\"' || k.name || ':' || k.length || '\"' FROM k LEFT JOIN anchor a ON a.name = k.name WHERE k.length IS NOT NULL "
     "UNION ALL SELECT 'identity', k.name, CASE WHEN a.name IS NULL THEN 'unresolved' WHEN a.md5 = k.md5 THEN 'satisfied' ELSE 'unsatisfied' END, '\"identity\",\"calls\",\"' || k.name || ':' || k.md5 || '\"' FROM k LEFT JOIN anchor a ON a.name = k.name WHERE k.md5 <> 'none' "
     "UNION ALL SELECT 'bases', NULL, CASE WHEN checked = 0 THEN 'not_applicable' WHEN conflict > 0 THEN 'unsatisfied' WHEN unresolved > 0 THEN 'unresolved' ELSE 'satisfied' END, '\"reference-bases\",\"calls\",\"documents:' || checked || '\"' FROM t), "
     "z AS (SELECT 'vcf-requirement:' || sha256('[' || id || ']') AS requirement_id, kind, sequence_name, state FROM q) "
@@ -464,17 +473,17 @@ _BUNDLE = (
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    anchor = _anchor(spark, sf_dir)
-    checked = refbases.check(_records(spark, sf_dir), anchor)
-    usage = checked.select("sequence_name").distinct()
-    d = _table(spark, sf_dir, "documents").where("doc_id % 5 <> 0")
-    k = F.col("doc_id")
-    contigs = d.select(
-        F.concat(F.lit("doc"), k).alias("name"), (F.col("n_chars") + F.when(k % 31 == 0, 1).otherwise(0)).alias("length"), F.when(k % 41 == 0, "none").when(k % 37 == 0, F.md5(F.col("text").cast("binary"))).otherwise(sequence_md5(F.col("text"))).alias("md5")
+    """Records are checked once; usage, count and capability come from the outcomes by sequence, digests from one pass over the texts."""
+    k = F.col("ordinal")
+    facts = written(_anchor(spark, sf_dir).withColumn("plain", F.md5(F.col("sequence").cast("binary"))).drop("sequence"), "anchor")
+    by_sequence = written(refbases.outcomes(refbases.check(_records(spark, sf_dir), _anchor(spark, sf_dir, False))), "outcomes")
+    usage = by_sequence.select("sequence_name")
+    contigs = facts.select(
+        "name", F.when(k % 5 != 0, F.col("length") + F.when(k % 31 == 0, 1).otherwise(0)).alias("length"), F.when((k % 5 == 0) | (k % 41 == 0), "none").when(k % 37 == 0, F.col("plain")).otherwise(F.col("md5")).alias("md5")
     )
-    count = refbases.capability(refbases.outcomes(checked, None))
+    count = refbases.capability(by_sequence.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in refbases.STATES]))
     requirements = contracts.variant_contract("calls", "documents", usage, contigs, count)
-    capabilities = contracts.anchor_capabilities("documents", anchor, with_order=False).unionByName(contracts.check_capability("bases", "calls", "documents", count))
+    capabilities = contracts.anchor_capabilities("documents", facts, with_order=False).unionByName(contracts.check_capability("bases", "calls", "documents", count))
     return requirements, capabilities
 
 
@@ -513,6 +522,30 @@ def conflict_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.reason("documents", *_bundle(spark, sf_dir))["cores"].select("requirement_id", "core_kind")
 
 
+# Orders: each conversation lists its turns, some backwards, some without the last, some by other names that bindings tell.
+_ORDERS = (
+    "WITH a AS (SELECT list('t' || turn ORDER BY turn) AS names FROM (SELECT DISTINCT turn FROM conversations WHERE turn < 4)), "
+    "p AS (SELECT conv_id, 't' || turn AS name, CASE WHEN conv_id % 5 = 1 THEN -turn ELSE turn END AS place FROM conversations WHERE turn < 4 OR conv_id % 7 = 3), "
+    "l AS (SELECT conv_id, list(name ORDER BY place) AS names FROM p GROUP BY conv_id) "
+)
+
+
+@query(
+    _ORDERS + "SELECT 'order' || conv_id AS requirement_id, CASE WHEN NOT list_has_all(a.names, l.names) THEN 'unresolved' WHEN a.names = l.names THEN 'satisfied' ELSE 'unsatisfied' END AS state, "
+    "CASE WHEN a.names = l.names THEN CASE WHEN conv_id % 3 = 0 THEN 'verified_alias' ELSE 'exact' END END AS mode FROM l, a"
+)
+def order_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"))
+    anchor = t.where("turn < 4").select(F.concat(F.lit("t"), "turn").alias("name"), F.col("turn").alias("ordinal")).distinct().withColumn("length", F.lit(None).cast("long"))
+    own = F.concat(F.when(F.col("conv_id") % 3 == 0, "alias").otherwise("t"), F.col("turn"))
+    place = F.when(F.col("conv_id") % 5 == 1, -F.col("turn")).otherwise(F.col("turn"))
+    rows = t.where("turn < 4 or conv_id % 7 = 3").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), own.alias("name")))), lambda x: x["name"]).alias("names"))
+    resource = F.concat(F.lit("talk"), "conv_id")
+    requirements = shaped(rows.select(F.concat(F.lit("order"), "conv_id").alias("requirement_id"), resource.alias("resource_id"), F.lit("order").alias("kind"), F.lit("mandatory").alias("level"), "names"), REQUIREMENT)
+    bound = t.where("conv_id % 3 = 0").select(F.concat(F.lit("b"), "conv_id", F.lit("."), "turn").alias("binding_id"), resource.alias("resource_id"), F.concat(F.lit("alias"), "turn").alias("local_name"), F.concat(F.lit("t"), "turn").alias("anchor_name"))
+    return evaluate.constraints("turns", requirements, contracts.anchor_capabilities("turns", anchor), bound).select("requirement_id", "state", "mode")
+
+
 # Names through bindings, merged bindings, consistency of namings.
 @query(
     "WITH n AS (SELECT 'c' || c_custkey AS name FROM customer), b AS (SELECT 'o' || o_orderkey AS local_name, 'c' || o_custkey AS anchor_name FROM orders WHERE o_orderkey % 3 = 0) "
@@ -696,12 +729,18 @@ def annotation_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.constraints("customers", requirements, capabilities).select("kind", "sequence_name", "state")
 
 
-@query("SELECT 'x' AS edge, 'x' AS id WHERE false")
+@query(
+    _BUNDLE + "SELECT 'constraint-requirement' AS edge, requirement_id AS id FROM z WHERE kind = 'length' "
+    "UNION ALL SELECT 'constraint-cited', 'reference-base-capability:' || sha256('[\"calls\",\"documents\",' || checked || ',' || conflict || ',' || unresolved || ']') FROM t WHERE conflict > 0 "
+    "UNION ALL SELECT 'constraint-candidate', 'reference-base-capability:' || sha256('[\"calls\",\"documents\",' || checked || ',' || conflict || ',' || unresolved || ']') FROM t "
+    "UNION ALL SELECT 'evidence-capability', 'reference-base-capability:' || sha256('[\"calls\",\"documents\",' || checked || ',' || conflict || ',' || unresolved || ']') FROM t WHERE conflict > 0"
+)
 def broken_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a bundle whose requirements lost their lengths and whose capabilities lost the check of the bases."""
     from anchorage.plans import report
 
     requirements, capabilities = _bundle(spark, sf_dir)
-    return report.broken_references(evaluate.reason("documents", requirements, capabilities), requirements, capabilities)
+    return report.broken_references(evaluate.reason("documents", requirements, capabilities), requirements.where("kind <> 'length'"), capabilities.where("kind <> 'bases'"))
 
 
 FLAGSHIP = refbase_by_sequence

@@ -46,3 +46,26 @@ def test_entry_stands_without_the_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_digests_that_sql_lacks(spark):
+    """Sequence and collection digests of the documents, by the standard library."""
+    import base64
+    import hashlib
+    import json
+    import re
+
+    def short(data):
+        return base64.urlsafe_b64encode(hashlib.sha512(data).digest()[:24]).decode()
+
+    def array(values):
+        return short(json.dumps(values, separators=(",", ":"), ensure_ascii=False).encode())
+
+    texts = {f"doc{r['doc_id']}": r["text"] for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect()}
+    bases = {name: re.sub("[^A-Za-z]", "", text).upper() for name, text in texts.items()}
+    ids = {name: "SQ." + short(b.encode()) for name, b in bases.items()}
+    assert {r["name"]: r["refget"] for r in core.QUERIES["refget_identity"](spark, TABLES).collect()} == ids
+    names = sorted(ids, key=lambda n: int(n[3:]))
+    level = {"lengths": array([len(bases[n]) for n in names]), "names": array(names), "sequences": array([ids[n] for n in names])}
+    row = core.QUERIES["collection_digest"](spark, TABLES).first().asDict()
+    assert set(level.values()) <= set(row.values()), row

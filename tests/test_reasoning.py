@@ -344,3 +344,35 @@ def test_annotation_identities_are_of_used_names(spark):
     supplied = spark.createDataFrame([("a", "refget", "r", "content_derived"), ("a", "md5", "z", "declared_metadata")], "local_name string, scheme string, value string, provenance string")
     got = {(r["scheme"], r["value"]) for r in contracts.annotation_identities("x", usage, embedded, supplied).collect()}
     assert got == {("md5", "m1"), ("refget", "r")}
+
+
+def test_orders_are_projected_and_compared_whole(spark):
+    _, caps = _world(spark)
+    base = {"resource_id": "c", "level": "mandatory", "origin": "core_format", "kind": "order"}
+    req = rows_of(
+        spark, REQUIREMENT,
+        base | {"requirement_id": "part", "names": ["chr2"]}, base | {"requirement_id": "alias", "names": ["1", "2"]}, base | {"requirement_id": "mixed", "names": ["1", "chr2"]}, base | {"requirement_id": "back", "names": ["2", "1"]},
+        base | {"requirement_id": "unknown", "names": ["chr1", "chr3"]}, base | {"requirement_id": "plain", "names": ["chr1", "chr2"]}, base | {"requirement_id": "other", "resource_id": "d", "names": ["1", "2"]},
+    )
+    bound = contracts.binding_table(
+        "c", "ref", spark.createDataFrame([("1", "chr1", "verified_sequence_identity", ["md5:" + "a" * 32]), ("2", "chr2", "verified_sequence_identity", ["md5:" + "b" * 32])], "local_name string, anchor_name string, method string, identity_values array<string>")
+    )
+    assert _states(spark, req, caps, bound) == {
+        "part": ("unsatisfied", None), "alias": ("satisfied", "verified_alias"), "mixed": ("satisfied", "verified_alias"), "back": ("unsatisfied", None), "unknown": ("unresolved", None), "plain": ("satisfied", "exact"), "other": ("unresolved", None),
+    }
+    rows = {r["requirement_id"]: r for r in evaluate.constraints("ref", req, caps, bound).collect()}
+    assert len(rows["alias"]["binding_ids"]) == 2 and len(rows["mixed"]["binding_ids"]) == 1 and rows["plain"]["binding_ids"] == [] and rows["unknown"]["candidate_ids"] == []
+    two = caps.unionByName(rows_of(spark, CAPABILITY, {"capability_id": "x", "kind": "order", "subject_id": "ref", "names": ["chr2", "chr1"]}))
+    assert _states(spark, req, two, bound)["plain"] == ("unresolved", None) and _states(spark, req, two, bound)["part"] == ("unsatisfied", None)
+
+
+def test_equal_records_over_a_border_are_all_kept(spark):
+    from anchorage.operators import refbases
+
+    bases = spark.createDataFrame([("s", "ACGTACGTAC")], "name string, sequence string")
+    rows = [("s", 4, "TA")] * 3 + [("s", 1, "AC")] * 2 + [("s", 3, "GTACGT")] * 2 + [("s", 4, "TT"), ("s", 10, "CA"), ("x", 1, "A"), ("s", 0, "A")]
+    records = spark.createDataFrame(rows, "sequence_name string, position long, ref string")
+    for chunk in (1, 2, 4, 16):
+        got = refbases.check_chunked(records, refbases.chunked(bases, chunk), chunk).drop("found", "anchor_name").collect()
+        want = refbases.check(records, bases).drop("found", "anchor_name").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == len(rows)
