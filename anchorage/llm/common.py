@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def quoted(column: str) -> str:
+    """A column's name where an expression is read, whatever dots and quotes it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +68,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranges_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Into how many ranges to deal ``df``: as many as there are shuffle partitions, and more where its input, by Spark's estimate, has over ``each`` bytes a range."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # without statistics the estimate is the greatest long
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // each))
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`cut`."""
     spark = df.sparkSession

@@ -23,10 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import text_or_empty
+from anchorage.llm.common import quoted, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: Scripts that are written without a space between words.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 #: Words in a window that counts as a repetition when found again.
 WINDOW = 3
 
@@ -38,6 +40,8 @@ RULES: dict[str, str] = {
     "repeated_lines": "100 * n_dup_lines > 60 * n_lines",
     "word_length": "word_chars > 10 * n_words or word_chars < 3 * n_words",
     "capitals": "100 * n_capitals > 40 * word_chars",
+    # As word_length, but not for texts mostly in scripts that put no space between words.
+    "spaced_word_length": "2 * n_unspaced <= word_chars and (word_chars > 10 * n_words or word_chars < 3 * n_words)",
 }
 BASE = ("few_words", "repeated_words")
 
@@ -60,9 +64,10 @@ def mask_of(rules: tuple[str, ...]) -> int:
 #: Published policies.  A version keeps its meaning; change by adding a version.
 POLICIES = {
     1: Policy(1, BASE),
-    2: Policy(2, tuple(RULES)),
+    2: Policy(2, (*BASE, "symbols", "repeated_lines", "word_length", "capitals")),
+    3: Policy(3, (*BASE, "symbols", "repeated_lines", "spaced_word_length", "capitals")),
 }
-CURRENT = 2
+CURRENT = 3
 
 
 def _let(value: Column, body) -> Column:
@@ -113,7 +118,8 @@ def _measured(view: DataFrame, kept: list[str]) -> DataFrame:
         _let(lines, of_lines).alias("_l"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
-    ).select(*kept, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines", "n_capitals")
+        F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{name}}}" for name in UNSPACED) + "]")).cast("long").alias("n_unspaced"),
+    ).select(*kept, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines", "n_capitals", "n_unspaced")
 
 
 def _with_bits(measured: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def judge(docs: DataFrame, version: int = CURRENT) -> DataFrame:
 
 def kept_documents(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the base rules and the policy keep, with all their columns, row by row."""
-    view = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].cast("string").alias("text"))
+    view = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row"), docs["text"].cast("string").alias("text"))
     mask = POLICIES[version].mask | mask_of(BASE)
     return _with_bits(_measured(view, ["_row"])).where(F.col("fail_bits").bitwiseAND(F.lit(mask)) == 0).select("_row.*")
 
@@ -177,10 +183,12 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(w.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_lines - n_distinct, 0)::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
-    len(regexp_extract_all(w.text, '\p{Lu}'))::BIGINT AS n_capitals
+    len(regexp_extract_all(w.text, '\p{Lu}'))::BIGINT AS n_capitals,
+    len(regexp_extract_all(w.text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]'))::BIGINT AS n_unspaced
     FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
 b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 20 * n_words)::BIGINT
     + 8 * (100 * n_dup_lines > 60 * n_lines)::BIGINT + 16 * (word_chars > 10 * n_words OR word_chars < 3 * n_words)::BIGINT
-    + 32 * (100 * n_capitals > 40 * word_chars)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 2 AS policy_version FROM b
+    + 32 * (100 * n_capitals > 40 * word_chars)::BIGINT
+    + 64 * (2 * n_unspaced <= word_chars AND (word_chars > 10 * n_words OR word_chars < 3 * n_words))::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits & 111 = 0 AS kept, fail_bits, 3 AS policy_version FROM b
 """

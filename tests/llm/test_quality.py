@@ -48,6 +48,20 @@ def test_policies_and_ablations(spark):
             assert x["n_rejected"] == sum(bool(b & policy.mask) for b in bits.values())
 
 
+def test_scripts_without_spaces_are_kept(spark):
+    r = random.Random(5)
+    chinese = "。 ".join("".join(chr(r.randint(0x4E00, 0x9FA0)) for _ in range(24)) for _ in range(60))
+    german = " ".join("".join(r.choice("abcdefgh") for _ in range(24)) for _ in range(60))
+    got = {x["doc_id"]: x for x in quality.judge(documents(spark, [chinese, german])).collect()}
+    assert got[0]["kept"] and got[0]["fail_bits"] & 16 and not got[1]["kept"]
+    assert not quality.POLICIES[3].mask & 16 and quality.POLICIES[3].mask == 111
+
+
+def test_dotted_columns_are_kept(spark):
+    docs = documents(spark, [" ".join(f"word{i}" for i in range(60)), None]).selectExpr("*", "1 as `a.b`", "2 as `c``d`")
+    assert quality.kept_documents(docs).collect() == docs.where("doc_id = 0").collect()
+
+
 def test_kept_rows_are_unchanged(spark):
     docs = odd_documents(spark).withColumnRenamed("kept", "fail_bits")
     kept = quality.kept_documents(docs)
