@@ -9,14 +9,16 @@ and as far from its start are merged, so that all examples vouch for the length
 of a part; then states of a part at any distance, so that a part whose length
 the examples don't fix becomes a loop and has no greatest length.
 Symbols are the literal characters as far as all examples share them and
-character classes after that.
+character classes after that; the characters of a class are equally likely, so
+a credential of many digits is no less likely than one of many letters.
 
 In every long run of credential characters, each place outside the rules' spans
 where the literal start of a format stands is a candidate, whatever other text
 is glued to it.  The format's automaton reads on from there: of the ends where
-labelled examples end and where the mean log-likelihood per symbol reaches the
-limit, the last one counts.  The least score of held-back labelled examples is
-the limit of a format, so a limit is learnt and not set.  A credential that
+labelled examples end and where the mean log-likelihood per character reaches
+the limit, the last one counts.  The least score of held-back labelled examples
+is the limit of a format, so a limit is learnt and not set.  Examples are drawn
+from public formats of tokens, or given as a table of labelled credentials.  A credential that
 starts before a rule's span and runs into it is a span of its own.
 
 Rules (kept as they are, whatever the automata say): ``assign``, ``access`` and
@@ -37,10 +39,12 @@ import heapq
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from anchorage.llm.common import releasing
 
@@ -75,13 +79,17 @@ FORMATS: dict[str, Callable[[random.Random], str]] = {
     # The least signature is that of HS256.
     "web_token": lambda r: "eyJ" + _some(r, _ALNUM + "_-", r.randint(17, 80)) + ".eyJ" + _some(r, _ALNUM + "_-", r.randint(17, 300)) + "." + _some(r, _ALNUM + "_-", r.choice((43, r.randint(44, 400)))),
 }
-KINDS = ("assign", "access", "hex", *FORMATS)
+RULES = ("assign", "access", "hex")
 
 
 def _class(c: str) -> str:
     return "d" if c in _DIGIT else "l" if c in _LOWER else "U" if c in _UPPER else c
 
 
+#: How many characters a class has, each as likely as the others; a literal or mark is one.
+_SIZES = {"d": len(_DIGIT), "l": len(_LOWER), "U": len(_UPPER)}
+
+
 class Automaton:
     """A probabilistic deterministic automaton merged from the prefix tree of ``examples``."""
 
@@ -210,7 +218,7 @@ class Automaton:
                 if symbol.startswith("=") or symbol in self.marks or symbol not in self.alphabet or not self._next[state]:
                     return -math.inf
                 found = (max(self._next[state].values(), key=lambda x: x[1])[0], 0.5)  # a class not met here
-            total += math.log(found[1] / (self._seen[state] + 0.5))
+            total += math.log(found[1] / (self._seen[state] + 0.5) / _SIZES.get(symbol, 1))
             state, n = found[0], n + 1
         return (total + math.log(self._ends[state] / (self._seen[state] + 0.5))) / n if self._ends[state] else -math.inf
 
@@ -230,7 +238,7 @@ class Automaton:
                 if n <= self.literal or symbol in self.marks or symbol not in self.alphabet or not self._next[state]:
                     break
                 found = (max(self._next[state].values(), key=lambda x: x[1])[0], 0.5)  # a class not met here
-            total += math.log(found[1] / (self._seen[state] + 0.5))
+            total += math.log(found[1] / (self._seen[state] + 0.5) / _SIZES.get(symbol, 1))
             state = found[0]
             if (at, state) in barren:
                 break
@@ -244,33 +252,66 @@ class Automaton:
         return end
 
 
-@functools.cache
-def _learnt() -> list[tuple[str, Automaton, float]]:
-    """Kind, automaton and limit of each format; learnt once per worker."""
-    formats = []
+def drawn_examples(seed: int = SEED, count: int = EXAMPLES) -> dict[str, list[str]]:
+    """Labelled credentials of the public formats, by kind."""
+    made = {}
     for kind, draw in FORMATS.items():
-        r = random.Random(f"{SEED} {kind}")
-        labelled = [draw(r) for _ in range(EXAMPLES)]
-        automaton = Automaton(labelled[HELD_BACK:])
-        held = [s for s in map(automaton.score, labelled[:HELD_BACK]) if s > -math.inf]
-        formats.append((kind, automaton, min(held) - SLACK))
+        r = random.Random(f"{seed} {kind}")
+        made[kind] = [draw(r) for _ in range(count)]
+    return made
+
+
+def labelled_examples(rows: DataFrame, most: int = EXAMPLES) -> dict[str, list[str]]:
+    """Labelled credentials from a table ``kind, text``: at most ``most`` of a kind, the bound of what reaches the driver, chosen by a hash.
+
+    Nulls and rows that repeat are left out.
+    """
+    whole = rows.select(rows["kind"].cast("string").alias("kind"), rows["text"].cast("string").alias("text")).dropna().distinct()
+    order = Window.partitionBy("kind").orderBy(F.xxhash64(F.lit(SEED), "text"), "text")
+    picked = whole.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    made: dict[str, list[str]] = {}
+    for r in picked.orderBy("kind", "place").collect():
+        made.setdefault(r["kind"], []).append(r["text"])
+    return made
+
+
+def learn(labelled: dict[str, list[str]]) -> list[tuple[str, Automaton, float]]:
+    """Kind, automaton and limit of each format; a quarter of the examples is held back for the limit."""
+    formats = []
+    for kind, examples in labelled.items():
+        held_back = len(examples) * HELD_BACK // EXAMPLES
+        automaton = Automaton(examples[held_back:])
+        held = [s for s in map(automaton.score, examples[:held_back] or examples) if s > -math.inf]
+        if automaton.prefix and held:
+            formats.append((kind, automaton, min(held) - SLACK))
     return formats
 
 
+@functools.cache
+def _learnt() -> list[tuple[str, Automaton, float]]:
+    """What the drawn examples teach; once per worker."""
+    return learn(drawn_examples())
+
+
 class Scanner:
     """Finds spans in a text."""
 
-    def __init__(self) -> None:
-        self._formats = _learnt()
-        self._starts = re.compile("|".join(re.escape(automaton.prefix) for _, automaton, _ in self._formats))
+    def __init__(self, labelled: dict[str, list[str]] | None = None) -> None:
+        self._formats = _learnt() if labelled is None else learn(labelled)
+        self._kinds = {kind: k for k, kind in enumerate(dict.fromkeys((*RULES, *(kind for kind, _, _ in self._formats))))}
+        self._starts = re.compile("|".join(re.escape(automaton.prefix) for _, automaton, _ in self._formats) or r"(?!)")
 
-    def credentials(self, text: str, start: int, stop: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
-        """Credentials in a run of credential characters, leftmost and non-overlapping, that don't start in one of the rules' spans."""
-        at, barren = start, {kind: set() for kind in FORMATS}
+    def _order(self, span: tuple[int, int, str]) -> tuple[int, int, int]:
+        return span[0], self._kinds[span[2]], span[1]
+
+    def credentials(self, text: str, start: int, stop: int, taken: tuple[list[int], list[int]]) -> Iterator[tuple[int, int, str]]:
+        """Credentials in a run of credential characters, leftmost and non-overlapping, that don't start in what is ``taken`` (starts and ends, apart and in order)."""
+        at, barren = start, {kind: set() for kind, _, _ in self._formats}
         while m := self._starts.search(text, at, stop):
             a = m.start()
-            at = max((y for x, y, _ in base if x <= a < y), default=0)
-            if at:
+            k = bisect_right(taken[0], a) - 1
+            if k >= 0 and a < taken[1][k]:
+                at = taken[1][k]
                 continue
             end, kind = max(((automaton.last_end(text, a, stop, limit, barren[kind]), kind) for kind, automaton, limit in self._formats if text.startswith(automaton.prefix, a)), key=lambda x: x[0])
             if end > a:
@@ -285,36 +326,43 @@ class Scanner:
         if "AKIA" in text:
             found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
         found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-        return sorted(found, key=_order)
+        return sorted(found, key=self._order)
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """The rules' spans, and all spans."""
         base = self.base(text)
+        starts: list[int] = []
+        ends: list[int] = []
+        for a, b, _ in base:  # stretches of rules' spans that overlap
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
         more = []
         for m in CANDIDATE.finditer(text):
-            more += self.credentials(text, *m.span(), base)
-        return base, sorted(base + more, key=_order) if more else base
-
-
-def _order(span: tuple[int, int, str]) -> tuple[int, int, int]:
-    return span[0], KINDS.index(span[2]), span[1]
+            more += self.credentials(text, *m.span(), (starts, ends))
+        return base, sorted(base + more, key=self._order) if more else base
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the rules' counts, ``base`` and ``spans`` of every document; spans as ``kind:start:end``, comma-joined."""
+def find(docs: DataFrame, labelled: dict[str, list[str]] | None = None) -> DataFrame:
+    """``doc_id``, the rules' counts, ``base`` and ``spans`` of every document; spans as ``kind:start:end``, comma-joined.
+
+    ``labelled``: credentials by kind to learn formats from; without it, examples drawn from public formats.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(labelled)
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for cell in batch.column(1):
                 base, spans = scanner.spans(cell.as_py() or "")
                 kinds = [kind for _, _, kind in base]
-                for column, value in zip(columns, (*(kinds.count(k) for k in KINDS[:3]), listed(base), listed(spans)), strict=True):
+                for column, value in zip(columns, (*(kinds.count(k) for k in RULES), listed(base), listed(spans)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
@@ -334,14 +382,14 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", labelled: dict[str, list[str]] | None = None) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced, and ``n_chars``, if there, counted anew; no row is dropped."""
-    schema = docs.schema
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever dots or repeats the names hold
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(labelled)
         for batch in batches:
             old = batch.column(at).to_pylist()
             new = [t if t is None else redacted(t, scanner.spans(t)[1], mark) for t in old]
@@ -351,7 +399,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 columns[chars] = pa.array([n if a == b else len(b) for n, a, b in zip(columns[chars].to_pylist(), old, new, strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(lambda batches: releasing(run(batches)), schema)
+    return plain.mapInArrow(lambda batches: releasing(run(batches)), plain.schema).toDF(*docs.columns)
 
 
 def sha256(text: str) -> str:
