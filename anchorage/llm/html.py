@@ -12,9 +12,12 @@ main element that no main element holds, only what scores or reads like it is.
 Before that, parts that are never the article are left out: scripts, styles,
 forms and other controls, navigation, sidebars, page headers and footers,
 hidden parts, and elements whose class or id names an advert, a menu, a
-notice, sharing buttons or reader comments.  Within the article the same rule
-applies, so an advert between two paragraphs is dropped; of a header within it
-only the headings stay.
+notice, sharing buttons or reader comments.  A paragraph, heading, quote or
+caption counts as such only if nothing else is in that
+name (``class="tags-explained"`` is a paragraph about tags).  Within the article
+the same rule applies, so an advert between two paragraphs is dropped; of a
+header within it only the headings stay.  An article element is dropped where
+its class or id says that it is a comment.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one space.
@@ -29,6 +32,7 @@ ignored.  Pages of any length are read whole, in one pass, without recursion.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -58,16 +62,25 @@ NOISE = frozenset(
 KEEP = frozenset("article body content entry main post story text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
+#: Words that say nothing of what an element holds, beside the words above.
+PLAIN = frozenset("area bar block bottom box button buttons container content group has inner inline item items js label large left link links list main module outer panel right row section site small sticky text the title top unit wrap wrapper".split())
+#: Elements of running text, in which a class or id must name nothing else.
+RUNNING = HEADINGS | frozenset("p pre blockquote figcaption".split())
+
+# Quotes count only after an equals sign: elsewhere in a tag they are stray, and the tag ends at its first ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[a-z]+")
+_COMMENT = re.compile(r"(?:\w+-)?(?:comment|reply)(?:-(?:\d+|body|content|item|text))?").fullmatch
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "commas")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "commas", "inline")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        #: How many inline elements of each name are open in the nearest block.
+        self.inline: Counter[str] = Counter() if parent is None or tag in BLOCKS else parent.inline
         self.children: list[_Node | str] = []
         self.points = 0.0
         self.length = self.linked = self.commas = 0
@@ -83,10 +96,18 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
+            if tag in ("article", "main"):
+                if any(_COMMENT(token) for token in value.split()):
+                    return True
+                continue
             parts = set(_PART.findall(value))
-            if tag not in ("article", "main") and parts & NOISE and not parts & KEEP - NOISE:
+            if tag in RUNNING:
+                if any(p & NOISE and p <= NOISE | PLAIN for p in map(set, map(_PART.findall, value.split()))):
+                    return True
+                continue
+            if parts & NOISE and not parts & KEEP - NOISE:
                 return True
-            if tag not in ("article", "main") and parts & {"comment", "comments", "sidebar", "advert", "advertisement", "ad", "ads"}:
+            if parts & {"comment", "comments", "sidebar", "advert", "advertisement", "ad", "ads"}:
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return True
@@ -107,8 +128,17 @@ def parse(page: str) -> _Node:
     """A tree of what may be text.  Dropped parts are kept as empty nodes, so that their ends match."""
     root = here = _Node("html", None, False)
     at, size = 0, len(page)
-    articles = headers = 0
+    blocks: Counter[str] = Counter()  # open blocks by name
     match = _TOKEN.match
+
+    def up_to(node: _Node) -> _Node:
+        """End all open elements below ``node``."""
+        end = here
+        while end is not node:
+            (blocks if end.tag in BLOCKS else end.inline)[end.tag] -= 1
+            end = end.parent
+        return node
+
     while at < size:
         m = match(page, at)
         if m is None:
@@ -116,24 +146,18 @@ def parse(page: str) -> _Node:
         at = m.end()
         cdata, closing, tag, attributes, text = m.groups()
         if text is not None or cdata is not None:
-            if not here.dropped and (not headers or _in_heading(here)):
+            if not here.dropped and (not blocks["header"] or _in_heading(here)):
                 here.children.append(text if text is not None else cdata)
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if closing:
-            node = here
-            while node is not None and node.tag != tag:
-                if tag not in BLOCKS and node.tag in BLOCKS:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                while here is not node.parent:  # all that was left open within ends too
-                    articles -= here.tag in ("article", "main")
-                    headers -= here.tag == "header"
-                    here = here.parent
+            if tag in BLOCKS and blocks[tag] > 0 or tag not in BLOCKS and here.inline[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = up_to(node.parent)  # all that was left open within ends too
             continue
         if tag in ("html", "body"):
             continue
@@ -141,20 +165,20 @@ def parse(page: str) -> _Node:
             if not here.dropped:
                 here.children.append(" ") if tag in ("br", "wbr") else here.children.append(_Node(tag, here, True)) if tag == "hr" else None
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and blocks["p"] > 0:
             node = here
-            while node is not None and node.tag not in LIMITS and node.tag != "p":
+            while node.parent is not None and node.tag not in LIMITS and node.tag != "p":
                 node = node.parent
-            if node is not None and node.tag == "p" and node.parent is not None:
-                here = node.parent
-        if tag in CLOSES:
-            node = here
-            while node is not None and node.tag not in LIMITS | {"tr"} - {*CLOSES[tag]} and node.tag not in CLOSES[tag]:
+            if node.tag == "p":
+                here = up_to(node.parent)
+        if tag in CLOSES and any(blocks[t] > 0 for t in CLOSES[tag]):
+            node, stops = here, LIMITS | {"tr"} - {*CLOSES[tag]}
+            while node.parent is not None and node.tag not in stops and node.tag not in CLOSES[tag]:
                 node = node.parent
-            if node is not None and node.tag in CLOSES[tag] and node.parent is not None:
-                here = node.parent
-        aside = headers > 0 and tag not in HEADINGS and tag not in ("div", "section", "header") and here.tag not in HEADINGS
-        node = _Node(tag, here, here.dropped or aside or _is_noise(tag, attributes or "", articles > 0))
+            if node.tag in CLOSES[tag] and node.parent is not None:
+                here = up_to(node.parent)
+        aside = blocks["header"] > 0 and tag not in HEADINGS and tag not in ("div", "section", "header") and here.tag not in HEADINGS
+        node = _Node(tag, here, here.dropped or aside or _is_noise(tag, attributes or "", blocks["article"] + blocks["main"] > 0))
         if not here.dropped:
             here.children.append(node)
         if tag in RAW:
@@ -163,8 +187,7 @@ def parse(page: str) -> _Node:
             continue
         if (attributes or "").endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "span", "em", "strong"):
             continue
-        articles += tag in ("article", "main")
-        headers += tag == "header"
+        (blocks if tag in BLOCKS else node.inline)[tag] += 1
         here = node
     return root
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -76,6 +77,33 @@ def test_broken_pages(text):
     assert isinstance(html.main_text(text), str)
 
 
+def test_stray_quotes_stay_in_their_tag():
+    assert html.main_text('<article><p class=foo">Text here.</p><p title="a > b">More, "quoted" text.</p><p a=\'x">And</p><b"c>this</b></article>') == 'Text here. More, "quoted" text. And this'
+    assert html.main_text('<p a="1>x</p>') == "x"
+
+
+def test_comments_marked_up_as_articles():
+    said = "Nice, text, thank you, all, for this one. " * 9
+    for attributes in ('class="comment"', 'class="comment-body" id="div-comment-5"', 'id=comment-17', 'class="reply depth-2"'):
+        made = f"<article class='post hentry comments-open'><h1>Head</h1>{f'<p>{LONG}</p>' * 3}<article {attributes}><p>{said}</p></article></article>"
+        assert html.main_text(made) == " ".join(["Head", *[LONG.strip()] * 3])
+
+
+def test_class_words_in_the_names_of_paragraphs():
+    kept = "Some words on tags, skips, and other things of the kind. "
+    for name in ("tags-explained", "skip-logic", "social-history", "notice-of-motion", "related-work"):
+        assert html.main_text(f'<article><p>{LONG}</p><p class="{name}">{kept}</p><h2 id="{name}">Head</h2></article>') == f"{LONG.strip()} {kept.strip()} Head"
+    for name in ("ad", "advert text", "share-buttons", "cookie-notice", "tags"):
+        assert html.main_text(f'<article><p>{LONG}</p><p class="{name}">{kept}</p></article>') == LONG.strip()
+
+
+def test_end_tags_take_linear_time():
+    for made in ("<span>" * 16_000 + "</b>" * 16_000, "<b>" * 16_000 + "<div>" + "<span>" * 16_000 + "</b>" * 16_000, "<span>" * 16_000 + "<p>x" * 16_000, "<div>" * 16_000 + "</section>" * 16_000):
+        start = time.monotonic()
+        html.main_text(f"<article>{made} text</article>")
+        assert time.monotonic() - start < 1.5
+
+
 def test_unclosed_header_ends_with_its_article():
     made = "<article><header><h1>Head</h1><p>by me</article><div class=post><p>" + "Text, that goes on, for a while. " * 4 + "</div>"
     assert "Text, that" in html.main_text(made) and "by me" not in html.main_text(made)
