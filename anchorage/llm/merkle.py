@@ -8,10 +8,11 @@ its paragraphs, the root those of the sections.
 
 A fingerprint is a string of three levels, ``root:sections:paragraphs``, the
 lower two as short digests joined by full stops.  Equal texts have equal
-roots; where roots differ, the sections and paragraphs that differ locate the
-edit (:func:`differing`).  :func:`likeness` is the share of paragraphs that two
-fingerprints have in common (Dice, over distinct paragraphs), 1 if the roots
-are equal.
+roots; where roots differ, the branches that differ locate the edit
+(:func:`edits`): sections are compared first, from both ends, and paragraphs
+only within the sections between.  :func:`likeness` is the share of paragraphs
+that two fingerprints have in common (Dice, over distinct paragraphs), 1 if and
+only if the roots are equal.
 
 Neighbours by ``doc_id`` (:func:`with_next`) are found without bringing the
 table together: ids alone are dealt out by ranges and written down, each range
@@ -19,12 +20,11 @@ finds its own neighbours, and the last ids of the ranges, one row per range,
 join the ranges.  A text is then sent on only as far as its receiver needs it.
 
 Defined results: a null text counts as empty; an empty text has no paragraphs,
-and two of these are alike (1); a null ``doc_id`` comes before all others, and
-the least long counts as null; of
+and two of these are alike (1); a null ``doc_id`` comes before all others; of
 rows that repeat ``doc_id`` and text one is kept, or with ``repeated`` all are,
-each with the same next document; rows that repeat ``doc_id`` with other texts follow each other by a
-hash of the text; a single document is
-its own next; other columns are ignored; texts are never cut.
+each with the same next document; rows that repeat ``doc_id`` with other texts
+follow each other by a hash of the text; a single document is its own next;
+other columns are ignored; texts are never cut.
 """
 
 from __future__ import annotations
@@ -32,14 +32,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import cut
+from anchorage.llm.common import cut, ranges_for
 
 BLOCK = 40
 PARAGRAPH = rf"(?s).{{1,{BLOCK}}}?(?:[.,;:!?] |\n|\z)|.{{1,{BLOCK}}}"
 #: Hexadecimal digit from which on a paragraph doesn't end a section: one in eight does.
 SECTION_END = "2"
 SHORT = 8
-_NULL_ID = -(1 << 63)
+#: What tells documents apart, in order: whether there is an id, the id, a hash of the text.
+KEY = ["given", "id", "tie"]
 
 
 def _let(value: Column, body) -> Column:
@@ -66,57 +67,99 @@ def _level(print_: Column, level: int) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """How alike two fingerprints are, 0 to 1."""
+    """How alike two fingerprints are, 0 to 1; below 1 where the roots differ."""
 
     def dice(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
-        return F.coalesce(2.0 * F.size(F.array_intersect(x, y)) / F.nullif(F.size(x) + F.size(y), F.lit(0)), F.lit(0.0))
+        both = F.nullif(F.size(x) + F.size(y), F.lit(0))
+        return F.coalesce(F.least(2.0 * F.size(F.array_intersect(x, y)) / both, 1.0 - 1.0 / both), F.lit(0.0))
 
     both = F.struct(F.array_distinct(_level(a, 3)).alias("x"), F.array_distinct(_level(b, 3)).alias("y"))
     return F.when(F.split_part(a, F.lit(":"), F.lit(1)) == F.split_part(b, F.lit(":"), F.lit(1)), F.lit(1.0)).otherwise(_let(both, dice))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Zero-based numbers of the paragraphs of ``b`` that ``a`` lacks; none if the roots are equal."""
+def _same_at_start(x: Column, y: Column) -> Column:
+    """How many items two arrays have in common from the start."""
+    return F.aggregate(
+        F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, same: F.struct((s["on"] & same).alias("on"), (s["n"] + (s["on"] & same).cast("int")).alias("n")), lambda s: s["n"]
+    )
+
+
+def _between(pair: Column, of) -> Column:
+    """What lies in arrays ``x`` and ``y`` of a struct between what both start and end with, ``of`` telling items apart."""
+
+    def cut_ends(p: Column) -> Column:
+        least = F.least(F.size(p["x"]), F.size(p["y"]))
+        tail = F.least(_same_at_start(F.reverse(F.transform(p["x"], of)), F.reverse(F.transform(p["y"], of))), least - p["head"])
+        return F.struct(*[F.slice(p[side], p["head"] + 1, F.size(p[side]) - p["head"] - tail).alias(side) for side in "xy"])
+
+    headed = F.struct(pair["x"].alias("x"), pair["y"].alias("y"), _same_at_start(F.transform(pair["x"], of), F.transform(pair["y"], of)).alias("head"))
+    return _let(headed, cut_ends)
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Where two fingerprints differ: zero-based numbers of the paragraphs ``gone`` from the first and ``new`` in the second.
+
+    Of the stretch from the first difference to the last, these are the
+    paragraphs that the other's stretch lacks, or, if it lacks none (as where
+    paragraphs change places), all of the stretch.  None if the roots are equal.
+    """
 
-    def of(pair: Column) -> Column:
-        return F.filter(F.transform(pair["y"], lambda d, i: F.when(~F.array_contains(pair["x"], d), i)), lambda i: i.isNotNull())
+    def sections(print_: Column) -> Column:
+        # Each section as its short digest and its paragraphs with their numbers.
+        lines = F.array_join(F.transform(_level(print_, 3), lambda d, i: F.concat(d, F.lit("@"), i.cast("string"), F.when(d < SECTION_END, F.lit(";")).otherwise(F.lit(",")))), "")
+        return F.arrays_zip(_level(print_, 2).alias("digest"), F.array_remove(F.split(lines, ";"), "").alias("leaves"))
 
-    both = F.struct(_level(a, 3).alias("x"), _level(b, 3).alias("y"))
-    none = F.array().cast("array<int>")
-    return F.when(F.split_part(a, F.lit(":"), F.lit(1)) == F.split_part(b, F.lit(":"), F.lit(1)), none).otherwise(_let(both, of))
+    def leaves(differing_sections: Column) -> Column:
+        return F.flatten(F.transform(differing_sections, lambda s: F.array_remove(F.split(s["leaves"], ","), "")))
 
+    def digest(leaf: Column) -> Column:
+        return F.split_part(leaf, F.lit("@"), F.lit(1))
 
-def _next_keys(keys: DataFrame) -> DataFrame:
-    """``keys`` (``id, tie, n``, distinct) with the key that precedes each, the last one preceding the first."""
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(keys.repartitionByRange(parts, "id", "tie").withColumn("part", F.spark_partition_id()), "order")
-    key = F.struct("id", "tie")
-    inside = ranged.withColumn("before", F.lag(key).over(Window.partitionBy("part").orderBy("id", "tie")))
+    def numbers(own: Column, other: Column) -> Column:
+        def of(lacking: Column) -> Column:
+            return F.transform(F.filter(own, lambda leaf: (F.size(lacking) == 0) | F.array_contains(lacking, digest(leaf))), lambda leaf: F.split_part(leaf, F.lit("@"), F.lit(2)).cast("int"))
+
+        return _let(F.array_except(F.transform(own, digest), F.transform(other, digest)), of)
+
+    stretch = _let(F.struct(sections(a).alias("x"), sections(b).alias("y")), lambda pair: _between(pair, lambda s: s["digest"]))
+    inner = _let(stretch, lambda s: _between(F.struct(leaves(s["x"]).alias("x"), leaves(s["y"]).alias("y")), digest))
+    return _let(inner, lambda s: F.struct(numbers(s["x"], s["y"]).alias("gone"), numbers(s["y"], s["x"]).alias("new")))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Zero-based numbers of the paragraphs of ``b`` where it differs from ``a`` (see :func:`edits`)."""
+    return edits(a, b)["new"]
+
+
+def _next_keys(keys: DataFrame, parts: int) -> DataFrame:
+    """``keys`` (distinct ``KEY`` and ``n``) with the key that precedes each, the last one preceding the first."""
+    ranged = cut(keys.repartitionByRange(parts, *KEY).withColumn("part", F.spark_partition_id()), "order")
+    key = F.struct(*KEY)
+    inside = ranged.withColumn("before", F.lag(key).over(Window.partitionBy("part").orderBy(*KEY)))
     # One row per range.
     ends = ranged.groupBy("part").agg(F.max(key).alias("end")).groupBy().agg(F.array_sort(F.collect_list(F.struct("part", "end"))).alias("ends"))
     ends = ends.select(F.posexplode("ends").alias("at", "e"), F.col("ends")[F.size("ends") - 1]["end"].alias("last"), "ends")
     ends = ends.select(F.col("e.part").alias("part"), F.when(F.col("at") > 0, F.get("ends", F.col("at") - 1)["end"]).otherwise(F.col("last")).alias("earlier"))
     joined = inside.join(ends, "part").withColumn("before", F.coalesce("before", "earlier"))
-    return joined.select("id", "tie", "n", F.col("before.id").alias("next_id"), F.col("before.tie").alias("next_tie"))
+    return joined.select(*KEY, "n", "before")
 
 
 def with_next(docs: DataFrame, repeated: bool = False) -> DataFrame:
     """``doc_id, text, fingerprint``, the first third (of one's own length) of the next text by descending id, and that text's fingerprint."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     ident = docs["doc_id"].cast("long")
-    # Two joins below read the same three columns by the same key, so that the texts are dealt out once.
-    view = docs.select(F.coalesce(ident, F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    keys = cut(view.select("id", "tie", F.length("text").alias("n")).groupBy("id", "tie").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "keys")
-    once = view.dropDuplicates(["id", "tie"]) if keys.where("rows > 1").head(1) else view
+    parts = ranges_for(docs)
+    # Two joins below read the same columns by the same key, so that the texts are dealt out once.
+    view = docs.select(ident.isNotNull().alias("given"), F.coalesce(ident, F.lit(0)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    keys = cut(view.select(*KEY, F.length("text").alias("n")).groupBy(*KEY).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "keys")
+    once = view.dropDuplicates(KEY) if keys.where("rows > 1").head(1) else view
     view = view if repeated else once
-    order = _next_keys(keys.drop("rows"))
+    order = _next_keys(keys.drop("rows"), parts)
     # To the next document: who asks, and for how many code points.
-    asked = order.select(F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), F.col("id").alias("asker"), F.col("tie").alias("asker_tie"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    given = once.join(asked, ["id", "tie"]).select(
-        F.col("asker").alias("id"), F.col("asker_tie").alias("tie"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("next_head"), fingerprint(F.col("text")).alias("next_fingerprint")
-    )
-    return view.join(given, ["id", "tie"]).select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "text", fingerprint(F.col("text")).alias("fingerprint"), "next_head", "next_fingerprint")
+    asked = order.select(*[F.col(f"before.{k}").alias(k) for k in KEY], F.struct(*KEY).alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("need"))
+    given = once.join(asked, KEY).select(*[F.col(f"asker.{k}").alias(k) for k in KEY], F.substring(F.col("text"), F.lit(1), F.col("need")).alias("next_head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    return view.join(given, KEY).select(F.when(F.col("given"), F.col("id")).alias("doc_id"), "text", fingerprint(F.col("text")).alias("fingerprint"), "next_head", "next_fingerprint")
 
 
 def edited_digests(docs: DataFrame, repeated: bool = False) -> DataFrame:
@@ -155,7 +198,7 @@ f AS (SELECT doc_id, which, sha256(coalesce(array_to_string(ss, ''), '')) AS roo
     list_transform(ps, lambda x: substring(x, 1, {SHORT})) AS leaves FROM s),
 g AS (SELECT doc_id, which, root, root || ':' || sections || ':' || coalesce(array_to_string(leaves, '.'), '') AS print, list_distinct(leaves) AS leaves FROM f)
 SELECT e.doc_id, length(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
-    CASE WHEN a.root = b.root THEN 1.0 ELSE coalesce(2.0 * len(list_intersect(a.leaves, b.leaves)) / nullif(len(a.leaves) + len(b.leaves), 0), 0.0) END::DOUBLE AS near_edited,
-    CASE WHEN a.root = c.root THEN 1.0 ELSE coalesce(2.0 * len(list_intersect(a.leaves, c.leaves)) / nullif(len(a.leaves) + len(c.leaves), 0), 0.0) END::DOUBLE AS near_next
+    CASE WHEN a.root = b.root THEN 1.0 ELSE coalesce(least(2.0 * len(list_intersect(a.leaves, b.leaves)) / nullif(len(a.leaves) + len(b.leaves), 0), 1.0 - 1.0 / nullif(len(a.leaves) + len(b.leaves), 0)), 0.0) END::DOUBLE AS near_edited,
+    CASE WHEN a.root = c.root THEN 1.0 ELSE coalesce(least(2.0 * len(list_intersect(a.leaves, c.leaves)) / nullif(len(a.leaves) + len(c.leaves), 0), 1.0 - 1.0 / nullif(len(a.leaves) + len(c.leaves), 0)), 0.0) END::DOUBLE AS near_next
 FROM e JOIN g a ON a.doc_id = e.doc_id AND a.which = 1 JOIN g b ON b.doc_id = e.doc_id AND b.which = 2 JOIN g c ON c.doc_id = e.doc_id AND c.which = 3
 """
