@@ -1,17 +1,20 @@
 """Token ids in Arrow files with fixed-size-list batches.
 
 A file is an Arrow IPC file.  Its columns are ``ids``, a fixed-size list of
-``LENGTH`` ids, and ``mask``, a fixed-size list of as many booleans that are
-false on padding.  All batches but the last hold ``ROWS`` sequences, so the
-n-th sequence is found by arithmetic and, in a mapped file, read without a
-copy.  Ids fit 16 bits where the vocabulary does.  Beside each file lies an
-index, an Arrow file with ``doc_id, start, n_tokens`` per document, where
-``start`` counts the ids before it in that file.
+``LENGTH`` ids, and ``mask``, a fixed-size list of as many bytes that are 0 on
+padding and 1 elsewhere.  All batches but the last hold ``ROWS`` sequences, so
+the n-th sequence and its mask are found by arithmetic and, in a file that the
+system can map, are views of it (:func:`opened`).  Ids fit 16 bits where the
+vocabulary does.  Beside each file lies an index, an Arrow file with ``doc_id,
+start, n_tokens`` per document, where ``start`` counts the ids before it in
+that file.
 
 Documents are encoded where they lie, dealt out by ranges of ``doc_id`` as
-compressed ids, sorted within a range and streamed to one file per range, so
-no task holds more than one batch and one document.  A file appears under its
-name only when complete: a lost task leaves nothing behind and is run again.
+compressed ids, sorted within a range and streamed to one file per range, the
+index along with it, so no task holds more than one batch of each and one
+document.  The number of ranges follows from the bytes of the input.  A file
+appears under its name only when complete: a lost task leaves nothing behind
+and is run again.
 The totals of the files (one number each) give the offset of each range.
 
 Words are encoded by the tokenizers library, each distinct word once while a
@@ -38,9 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import WORD, releasing, scratch_path, vocabulary_path
+from anchorage.llm.common import WORD, ranges_for, releasing, scratch_path, vocabulary_path
 
 LENGTH, ROWS = 1024, 256
+#: Documents in a batch of an index.
+INDEX_ROWS = 10_000
 END_ID = 1
 WORDS_KEPT = 700_000
 LONGEST_KEPT_WORD = 64
@@ -141,7 +146,7 @@ class SequenceWriter:
         self.kind, self.length, self.rows = kind, length, rows
         value = pa.uint16() if kind.itemsize == 2 else pa.uint32()
         self._ids = pa.list_(value, length)
-        self._mask = pa.list_(pa.bool_(), length)
+        self._mask = pa.list_(pa.uint8(), length)
         self._file = pa.ipc.new_file(sink, pa.schema([("ids", self._ids), ("mask", self._mask)]))
         self._open: list[np.ndarray] = []
         self._held = 0
@@ -160,7 +165,7 @@ class SequenceWriter:
             self._open, self._held = [flat[whole:]], len(flat) - whole
 
     def _batch(self, flat: np.ndarray, used: int) -> None:
-        mask = np.arange(len(flat)) < used
+        mask = (np.arange(len(flat)) < used).view(np.uint8)
         self._file.write_batch(
             pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), type=self._ids), pa.FixedSizeListArray.from_arrays(pa.array(mask), type=self._mask)], names=["ids", "mask"])
         )
@@ -174,32 +179,64 @@ class SequenceWriter:
         self._file.close()
 
 
+class IndexWriter:
+    """Streams the index of a file, ``INDEX_ROWS`` documents at a time."""
+
+    NAMES = ("doc_id", "start", "n_tokens")
+
+    def __init__(self, sink):
+        self._file = pa.ipc.new_file(sink, pa.schema([(name, pa.int64()) for name in self.NAMES]))
+        self._rows: list[tuple[int | None, int, int]] = []
+
+    def add(self, doc: int | None, start: int, count: int) -> None:
+        self._rows.append((doc, start, count))
+        if len(self._rows) >= INDEX_ROWS:
+            self._write()
+
+    def _write(self) -> None:
+        self._file.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*self._rows, strict=True)], names=[*self.NAMES]))
+        self._rows.clear()
+
+    def close(self) -> None:
+        if self._rows:
+            self._write()
+        self._file.close()
+
+
+def opened(uri: str):
+    """A file to read from: mapped where it is local, so that what is read are views of it, or else opened."""
+    system, path = _filesystem(uri)
+    return pa.memory_map(path) if system.type_name == "local" else system.open_input_file(path)
+
+
 class SequenceFile:
-    """Random access to the sequences of a file."""
+    """Random access to the sequences of a file; of a mapped one, without a copy."""
 
     def __init__(self, source, length: int = LENGTH, rows: int = ROWS):
         self._file = pa.ipc.open_file(source)
         self.length, self.rows = length, rows
-        self._at, self._flat = -1, None
+        self._at, self._flat, self._mask = -1, None, None
 
-    def _batch(self, number: int) -> np.ndarray:
+    def _batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         if number != self._at:
-            self._flat, self._at = self._file.get_batch(number).column(0).flatten().to_numpy(), number
-        return self._flat
+            batch = self._file.get_batch(number)
+            self._flat, self._mask = (c.flatten().to_numpy(zero_copy_only=True) for c in batch.columns)
+            self._at = number
+        return self._flat, self._mask
 
     def sequence(self, number: int) -> np.ndarray:
-        flat, at = self._batch(number // self.rows), number % self.rows * self.length
+        flat, at = self._batch(number // self.rows)[0], number % self.rows * self.length
         return flat[at : at + self.length]
 
     def mask(self, number: int) -> np.ndarray:
-        flat, at = self._file.get_batch(number // self.rows).column(1).flatten().to_numpy(zero_copy_only=False), number % self.rows * self.length
+        flat, at = self._batch(number // self.rows)[1], number % self.rows * self.length
         return flat[at : at + self.length]
 
     def span(self, start: int, count: int) -> np.ndarray:
         """Ids ``start`` to ``start + count`` of the file, without the mask."""
         full, parts = self.length * self.rows, []
         while count > 0:
-            flat, at = self._batch(start // full), start % full
+            flat, at = self._batch(start // full)[0], start % full
             part = flat[at : at + count]
             parts.append(part)
             start, count = start + len(part), count - len(part)
@@ -208,7 +245,6 @@ class SequenceFile:
 
 def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id: int = END_ID, parts: int | None = None, added: bool = False) -> list[tuple[str, int]]:
     """Write the files; their URIs in document order, with the ids that each holds."""
-    spark = docs.sparkSession
     kind = "<u2" if _library(file).get_vocab_size() <= 1 << 16 else "<u4"
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,31 +273,26 @@ def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id:
         number = TaskContext.get().partitionId()
         system, path = _filesystem(f"{folder}/part-{number:05d}")
         own = f"{path}.{uuid.uuid4().hex}"
-        writer = sink = None
-        index = []
+        writer = index = sink = beside = None
         for batch in batches:
             for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
-                    sink = system.open_output_stream(f"{own}.open")
-                    writer = SequenceWriter(sink, np.dtype(kind), LENGTH, ROWS)
+                    sink, beside = system.open_output_stream(f"{own}.open"), system.open_output_stream(f"{own}.index.open")
+                    writer, index = SequenceWriter(sink, np.dtype(kind), LENGTH, ROWS), IndexWriter(beside)
                 ids = np.frombuffer(unpack.decompress(cell.as_py()), kind)
-                index.append((doc, writer.total, len(ids)))
+                index.add(doc, writer.total, len(ids))
                 writer.add(ids)
         if writer is None:
             return
-        writer.close()
-        sink.close()
-        columns = list(zip(*index, strict=True))
-        table = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "n_tokens"), columns, strict=True)})
-        with system.open_output_stream(f"{own}.index.open") as out, pa.ipc.new_file(out, table.schema) as saved:
-            saved.write_table(table)
+        for done in (writer, index, sink, beside):
+            done.close()
         system.move(f"{own}.index.open", f"{path}.index.arrow")
         system.move(f"{own}.open", f"{path}.arrow")
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([writer.total], pa.int64())], names=["number", "total"])
 
     view = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or ranges_for(docs)
     # Borders of the ranges from the ids alone, one number a range; dealing out by range itself would encode twice, once to find the borders.
     found = view.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("b")).first()["b"]
     bounds = np.unique(np.array(found or [], np.int64)) if parts > 1 else np.empty(0, np.int64)
@@ -281,12 +312,10 @@ def read(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, own = _filesystem(path)
-                with system.open_input_file(f"{own}.index.arrow") as source:
-                    index = pa.ipc.open_file(source).read_all()
-                with system.open_input_file(f"{own}.arrow") as source:
-                    data = SequenceFile(source)
-                    for part in index.to_batches(max_chunksize=5000):
+                with opened(f"{path}.index.arrow") as places, opened(f"{path}.arrow") as source:
+                    index, data = pa.ipc.open_file(places), SequenceFile(source)
+                    for number in range(index.num_record_batches):
+                        part = index.get_batch(number)
                         starts, counts = part.column(1).to_pylist(), part.column(2).to_pylist()
                         sums = [zlib.crc32(data.span(s, n).astype("<u4").tobytes()) for s, n in zip(starts, counts, strict=True)]
                         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([before + s for s in starts], pa.int64()), part.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

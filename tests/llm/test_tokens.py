@@ -85,6 +85,28 @@ def test_sequences_and_masks_are_random_access():
     assert file.span(20, 40).tolist() == data[20:60].tolist() and file.span(3, 2).tolist() == [4, 5]
 
 
+def test_mapped_files_are_read_without_a_copy(spark, tmp_path, monkeypatch):
+    texts = ["word " * 700, None, *(f"text {i}" for i in range(40))]
+    (path, total), *rest = tokenfiles.write(documents(spark, texts), tmp_path.as_uri(), parts=1)
+    assert not rest
+    with tokenfiles.opened(f"{path}.arrow") as source:
+        whole = source.read_buffer()
+        start, end = whole.address, whole.address + whole.size
+        file = tokenfiles.SequenceFile(source)
+        for view in (file.sequence(0), file.mask(0)):
+            assert len(view) == tokenfiles.LENGTH and start <= view.__array_interface__["data"][0] < end
+        assert sum(int(file.mask(k).sum()) for k in range(-(-total // tokenfiles.LENGTH))) == total
+    assert tokenfiles.read(spark, [(path, total)]).count() == len(texts)
+    monkeypatch.setattr(tokenfiles, "INDEX_ROWS", 7)
+    sink = pa.BufferOutputStream()
+    index = tokenfiles.IndexWriter(sink)
+    for k in range(20):
+        index.add(None if k == 0 else k, 10 * k, 10)
+    index.close()
+    saved = pa.ipc.open_file(sink.getvalue())
+    assert saved.num_record_batches == 3 and saved.read_all()["start"].to_pylist() == list(range(0, 200, 10)) and saved.read_all()["doc_id"][0].as_py() is None
+
+
 def test_counts_follow_the_unigram_library():
     pieces = viterbi.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     least = min(s for _, s in pieces)
