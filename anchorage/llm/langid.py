@@ -10,9 +10,10 @@ logits per subword, so prediction adds up table rows.  A temperature, fitted
 on a part of the sample that was not trained on, makes scores probabilities;
 a threshold, fitted there too, marks predictions to reject (``accepted``).
 
-``PER_LANGUAGE`` labelled rows at most are taken of each language, chosen by a
-hash of the row; that is the documented bound of what reaches the driver.
-Learning and prediction read texts whole.
+About ``PER_LANGUAGE`` labelled rows are taken of each language, at most twice as
+many, chosen by a hash of the row among those of at most ``LONGEST_EXAMPLE``
+bytes; that is the documented bound of what reaches the driver.  Learning and
+prediction read texts whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 a null ``doc_id`` is held out or not as the crc32 of the empty text says; ties
@@ -28,18 +29,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.llm.common import releasing
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
-PER_LANGUAGE = 600
+PER_LANGUAGE, LONGEST_EXAMPLE = 600, 1 << 16
 EPOCHS, BATCH, RATE, SEED = 8, 32, 4.0, 2024
 #: Bytes whose subwords are looked up at a time.
 BLOCK = 1 << 18
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter by Unicode's category; the plainer pattern is faster and finds no fewer.
+_LETTER, _WORDLIKE = regex.compile(r"\p{L}"), re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (0x01000193, 0x5BD1E995, 0x2C1B3C6D, 0x297A2D39)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -62,6 +65,11 @@ def subwords(data: np.ndarray) -> list[np.ndarray]:
     return found
 
 
+def has_letter(text: str) -> bool:
+    found = _WORDLIKE.search(text)
+    return found is not None and _LETTER.search(text, found.start()) is not None
+
+
 def _padded(text: str) -> np.ndarray:
     return np.frombuffer(b" " + text.encode("utf-8", "surrogatepass") + b" ", np.uint8)
 
@@ -87,7 +95,7 @@ class Model:
         return total / max(count, 1) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         p = _softmax(self.scores(text) / self.temperature)
         best = int(np.argmax(p))
@@ -155,7 +163,7 @@ def held_out() -> Column:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most about ``per_language`` labelled rows of each language, chosen by a hash and spread over all input."""
     view = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    labelled = view.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    labelled = view.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST_EXAMPLE) & ~held_out())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
         return []
@@ -163,7 +171,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
     cuts = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1 + 1_000_000 * per_language // n))) for lang, n in sorted(counts.items())])
     picked = labelled.where(draw < cuts).orderBy(draw, "doc_id", "text").limit(2 * per_language * len(counts))
     rows = picked.select("text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in rows if _LETTER.search(r["text"])]
+    return [(r["text"], r["lang"]) for r in rows if has_letter(r["text"])]
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
