@@ -21,6 +21,11 @@ Cells are aggregated before the shuffle, so a source with a third of all rows
 costs no more than another.  Up to ``CELLS_AT_DRIVER`` cells are raked in
 numpy on the driver and broadcast; more are raked as a table, sweep by sweep.
 
+Targets that no rates of at most 1 can meet at once, or that ``SWEEPS`` sweeps
+don't reach, are not met: :func:`margins` shows target and expectation of every
+value, and a gap over ``TOLERATED`` is a warning.  Tokens are white-space words,
+or whatever ``count`` says of a text (any tokenizer's count).
+
 Defined results: a null source or language counts as the empty string; a null
 or empty text has no tokens and topic 0; a null ``doc_id`` has the draw of the
 seed alone; repeated rows are drawn alike; other columns are kept by
@@ -29,8 +34,10 @@ seed alone; repeated rows are drawn alike; other columns are kept by
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -38,40 +45,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anchorage.llm.common import cut
+from anchorage.llm.common import cut, quoted
 
 MARGINS = ("source", "lang", "topic")
 TOPICS, LONG_WORD = 8, 6
 SHARE, FLATTEN, SEED = 0.75, 0.7, 11
-SWEEPS, CLOSE = 60, 1e-6
+SWEEPS, CLOSE, TOLERATED = 200, 1e-6, 0.01
 CELLS_AT_DRIVER = 200_000
 
 
-def topic_and_tokens(text: str | None) -> tuple[int, int]:
+def topic_and_tokens(text: str | None, count: Callable[[str], int] | None = None) -> tuple[int, int]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    tokens = count(text or "") if count else len(words)
     counts = Counter(w for w in words if len(w) >= LONG_WORD)
     if not counts:
-        return 0, len(words)
+        return 0, tokens
     most = max(counts.values())
-    return zlib.crc32(min(w for w, n in counts.items() if n == most)) % TOPICS, len(words)
+    return zlib.crc32(min(w for w, n in counts.items() if n == most)) % TOPICS, tokens
 
 
 _FEATURES = T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("n_tokens", T.LongType())])
 
 
-@F.pandas_udf(_FEATURES)
-def _features(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([topic_and_tokens(t if isinstance(t, str) else None) for t in texts], columns=["topic", "n_tokens"])
+def _features(texts: Column, count: Callable[[str], int] | None = None) -> Column:
+    @F.pandas_udf(_FEATURES)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([topic_and_tokens(t if isinstance(t, str) else None, count) for t in texts], columns=["topic", "n_tokens"])
+
+    return of(texts.cast("string"))
 
 
 def _margin(docs: DataFrame, name: str) -> Column:
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens``."""
-    view = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _margin(docs, "source").alias("source"), _margin(docs, "lang").alias("lang"), _features(docs["text"].cast("string")).alias("f"))
-    return view.select("doc_id", "source", "lang", "f.topic", "f.n_tokens")
+def features(docs: DataFrame, count: Callable[[str], int] | None = None, rows: bool = False) -> DataFrame:
+    """``doc_id, source, lang, topic, n_tokens``, and with ``rows`` each row itself as ``_row``."""
+    own = [F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row")] if rows else []
+    view = docs.select(*own, docs["doc_id"].cast("long").alias("doc_id"), _margin(docs, "source").alias("source"), _margin(docs, "lang").alias("lang"), _features(docs["text"], count).alias("f"))
+    return view.select(*(["_row"] if rows else []), "doc_id", "source", "lang", "f.topic", "f.n_tokens")
 
 
 def default_targets(tokens: np.ndarray, share: float = SHARE, flatten: float = FLATTEN) -> np.ndarray:
@@ -101,6 +113,13 @@ def rake(tokens: np.ndarray, labels: list[np.ndarray], targets: list[np.ndarray]
     return rate
 
 
+def _tell(gaps: list[tuple[str, float]]) -> None:
+    """Warn of targets that the rates miss."""
+    missed = [(m, gap) for m, gap in gaps if gap > TOLERATED]
+    if missed:
+        warnings.warn("targets not met: " + ", ".join(f"{m} by up to {gap:.1%}" for m, gap in missed), stacklevel=3)
+
+
 def _rake_on_driver(cells: DataFrame, wanted: dict[str, dict] | None) -> DataFrame:
     rows = sorted(cells.collect(), key=lambda r: tuple(map(str, (r[m] for m in MARGINS))))
     tokens = np.array([r["tokens"] for r in rows], float)
@@ -113,6 +132,8 @@ def _rake_on_driver(cells: DataFrame, wanted: dict[str, dict] | None) -> DataFra
         labels.append(label)
         targets.append(np.array([wanted[m].get(v, 0.0) for v in values]) * SHARE * tokens.sum() if wanted and m in wanted else default_targets(have))
     rates = rake(tokens, labels, targets) if rows else []
+    if rows:
+        _tell([(m, float(np.max(np.abs(np.bincount(label, tokens * rates, len(t)) / np.maximum(t, 1e-300) - 1)[t > 0], initial=0))) for m, label, t in zip(MARGINS, labels, targets, strict=True)])
     made = [(*(r[m] for m in MARGINS), float(p)) for r, p in zip(rows, rates, strict=True)]
     return F.broadcast(cells.sparkSession.createDataFrame(made, "source string, lang string, topic int, probability double"))
 
@@ -138,6 +159,12 @@ def _rake_as_table(cells: DataFrame, wanted: dict[str, dict] | None) -> DataFram
             now = cut(now.join(factors.select(m, "factor"), m).withColumn("rate", F.least(F.lit(1.0), F.col("rate") * F.col("factor"))).select(*MARGINS, "tokens", "rate"), "rates")
         if worst < CLOSE:
             break
+    _tell(
+        [
+            (m, now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("rate")).alias("got")).join(targets[m], m).where("target > 0").agg(F.max(F.abs(F.col("got") / F.col("target") - 1))).first()[0] or 0.0)
+            for m in MARGINS
+        ]
+    )
     return now.select(*MARGINS, F.col("rate").alias("probability"))
 
 
@@ -153,17 +180,31 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), doc_id.cast("long")), 11) * F.lit(2.0**-53)
 
 
-def weigh(docs: DataFrame, wanted: dict[str, dict] | None = None, seed: int = SEED, at_driver: int = CELLS_AT_DRIVER) -> DataFrame:
+def weigh(docs: DataFrame, wanted: dict[str, dict] | None = None, seed: int = SEED, at_driver: int = CELLS_AT_DRIVER, count: Callable[[str], int] | None = None) -> DataFrame:
     """Every document with its cell, its tokens, the calibrated probability and whether it is sampled."""
-    described = cut(features(docs), "features")
+    described = cut(features(docs, count), "features")
     joined = described.join(rates(described, wanted, at_driver), list(MARGINS))
     return joined.select("doc_id", *MARGINS, "n_tokens", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, wanted: dict[str, dict] | None = None, seed: int = SEED, at_driver: int = CELLS_AT_DRIVER) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns."""
-    described = cut(features(docs), "features")
+def margins(weighed: DataFrame, wanted: dict[str, dict] | None = None) -> DataFrame:
+    """``margin, value, tokens, target, expected`` of every value of every margin, from what :func:`weigh` gives."""
+    spark, parts = weighed.sparkSession, []
+    for m in MARGINS:
+        rows = weighed.groupBy(F.col(m).cast("string").alias("value")).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected")).orderBy("value").collect()  # one row per value of a margin
+        tokens = np.array([r["tokens"] for r in rows], float)
+        given = {str(k): v for k, v in wanted[m].items()} if wanted and m in wanted else None
+        target = np.array([given.get(r["value"], 0.0) for r in rows]) * SHARE * tokens.sum() if given is not None else default_targets(tokens)
+        parts += [(m, r["value"], r["tokens"], float(t), float(r["expected"])) for r, t in zip(rows, target, strict=True)]
+    return spark.createDataFrame(parts, "margin string, value string, tokens long, target double, expected double")
+
+
+def sample(docs: DataFrame, wanted: dict[str, dict] | None = None, seed: int = SEED, at_driver: int = CELLS_AT_DRIVER, count: Callable[[str], int] | None = None) -> DataFrame:
+    """The sampled rows of ``docs`` with all their columns.
+
+    Rows and features are written once, so that each text is looked at once.
+    """
+    described = cut(features(docs, count, rows=True), "features")
     found = rates(described, wanted, at_driver)
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), _margin(docs, "source").alias("source"), _margin(docs, "lang").alias("lang"), _features(docs["text"].cast("string")).alias("f"))
-    joined = marked.select("_row", "doc_id", "source", "lang", F.col("f.topic").alias("topic")).join(found, list(MARGINS))
+    joined = described.select("_row", "doc_id", *MARGINS).join(found, list(MARGINS))
     return joined.where(draw(F.col("doc_id"), seed) < F.col("probability")).select("_row.*")
