@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.llm import bpe, jaccard, mixing, quality, secrets
-from anchorage.llm.common import cut, table
+from anchorage.llm.common import cut, quoted, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     found = jaccard.link_components(docs, width=5, num=80, den=100)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return jaccard.by_ids(docs, cut(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.by_ids(docs, cut(gone, "gone"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
