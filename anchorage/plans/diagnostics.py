@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from anchorage.errors import InputError
 from anchorage.operators import collections
 from anchorage.sources import fasta, headers
+from anchorage.staging import written
 
 TIER = "tier_b_direct_structural"
 _KINDS = ("record_count", "missing_sequence", "extra_sequence", "order", "length", "offset", "line_bases", "line_bytes", "m5_conflict")
@@ -23,7 +24,7 @@ def _sorted(df: DataFrame, order: dict[str, int]) -> list[dict]:
 
 
 def fasta_identity(spark: SparkSession, path: str) -> dict:
-    rows = fasta.identities(fasta.bases(spark, path))
+    rows = written(fasta.file_identities(spark, path), "identities")
     top = fasta.collection(rows).first()
     return {
         "type": "sequence_collection_snapshot", "resource_id": path, "completeness": top["completeness"], "collection_digest": top["collection"],
@@ -40,7 +41,7 @@ def index_integrity(spark: SparkSession, path: str, index: str) -> dict:
 
 
 def dictionary_integrity(spark: SparkSession, path: str, dictionary: str) -> dict:
-    expected = fasta.expected_dictionary(fasta.identities(fasta.bases(spark, path)))
+    expected = fasta.expected_dictionary(written(fasta.file_identities(spark, path), "identities"))
     observed = headers.read_dictionary(spark, dictionary)
     order = {r["name"]: r["ordinal"] for r in expected.select("name", "ordinal").collect()}
     found = _sorted(collections.dictionary_differences(expected, observed), order)

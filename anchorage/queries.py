@@ -16,7 +16,7 @@ from anchorage.functions.digests import refget_id, sequence_md5
 from anchorage.operators import alignment, bounds, collections, refbases, resolve
 from anchorage.plans import contracts, evaluate
 from anchorage.plans.model import REQUIREMENT, shaped
-from anchorage.staging import written
+from anchorage.staging import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -743,4 +743,43 @@ def broken_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.broken_references(evaluate.reason("documents", requirements, capabilities), requirements.where("kind <> 'length'"), capabilities.where("kind <> 'bases'"))
 
 
+# A FASTA file of the customers, written to the shared folder and read back.
+_FILE = (
+    "WITH f AS (SELECT c_custkey AS k, 'c' || c_custkey AS name, '>c' || c_custkey || ' ' || c_name AS head, repeat('ACgtN', (1 + c_custkey % 50)::INTEGER) AS bases FROM customer), "
+    "b AS (SELECT *, octet_length(head::BLOB) + 1 AS head_bytes, length(bases) + ceil(length(bases) / 60.0)::BIGINT AS body_bytes FROM f), "
+    "o AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS ordinal, coalesce(sum(head_bytes + body_bytes) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head_bytes AS start_ FROM b) "
+)
+
+
+def _fasta_file(spark: SparkSession, sf_dir: str) -> str:
+    bases = F.repeat(F.lit("ACgtN"), (1 + F.col("c_custkey") % 50).cast("int"))
+    lines = F.transform(F.sequence(F.lit(0), F.ceil(F.length(bases) / 60).cast("int") - 1), lambda i: F.substring(bases, i * 60 + 1, F.lit(60)))
+    head = F.concat(F.lit(">c"), "c_custkey", F.lit(" "), "c_name")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(F.concat(F.array(head), lines)).alias("at", "value"))
+    folder = scratch_path(spark, "fasta")
+    rows.coalesce(1).sortWithinPartitions("c_custkey", "at").select("value").write.text(folder)  # one file
+    return spark.read.text(folder).inputFiles()[0]
+
+
+@query(_FILE + "SELECT ordinal::BIGINT AS ordinal, name, length(bases)::BIGINT AS length, start_::BIGINT AS offset, least(60, length(bases))::BIGINT AS line_bases, (least(60, length(bases)) + 1)::BIGINT AS line_bytes FROM o")
+def file_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import fasta
+
+    return fasta.expected_index(spark, _fasta_file(spark, sf_dir))
+
+
+@query(_FILE + "SELECT ordinal::BIGINT AS ordinal, name, length(bases)::BIGINT AS length, md5(upper(bases)) AS md5 FROM o")
+def file_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import fasta
+
+    return fasta.file_identities(spark, _fasta_file(spark, sf_dir)).select("ordinal", "name", "length", "md5")
+
+
+@query(_FILE + "SELECT name, (unnest(range(0, ((length(bases) - 1) // 100 + 1)::BIGINT)))::BIGINT AS number, length(bases)::BIGINT AS length FROM o")
+def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import fasta
+
+    return fasta.chunks(spark, _fasta_file(spark, sf_dir), 100).select("name", "number", "length")
+
+
 FLAGSHIP = refbase_by_sequence

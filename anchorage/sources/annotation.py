@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from anchorage.errors import UnsupportedResource
 from anchorage.functions.digests import normalized
-from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, with_ordinal
+from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, under_headers, with_ordinal
 
 KINDS = ("gtf", "gff3")
 # The bytes that a sequence id writes as they are, and the keys of claims.
@@ -169,12 +169,9 @@ def claims(lines: DataFrame, kind: str) -> DataFrame:
 
 def embedded(lines: DataFrame) -> DataFrame:
     """Sequences behind the boundary: ``path, sequence_name, length, md5, line_number, error``."""
-    from pyspark.sql import Window
-
     below = lines.join(fasta_boundary(lines, "gff3"), "path").where("line_number >= boundary and value <> '##FASTA' and value <> ''")
     header = F.col("value").startswith(">")
-    # Lines belong to the last header above them: a running maximum per file.
-    marked = below.withColumn("header_line", F.max(F.when(header, F.col("line_number"))).over(Window.partitionBy("path").orderBy("line_number")))
+    marked = under_headers(below, header)
     wrong = first_of((F.col("value").rlike("^[#;]"), "a comment in an embedded sequence"), (F.col("header_line").isNull(), "bases before the first header"), (~header & F.col("value").rlike("[^\\x00-\\x7F]"), "bases must be ASCII"))
     rows = marked.withColumn("wrong", wrong).groupBy("path", "header_line").agg(
         F.max(F.when(header, F.regexp_extract("value", r"^>\s*(\S*)", 1))).alias("sequence_name"),

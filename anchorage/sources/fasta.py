@@ -2,40 +2,53 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.errors import FastaIndexError, IdentityError, ParseError, UnsupportedResource
 from anchorage.functions.digests import collection_digests, normalized, refget_id, sequence_md5
-from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, starts_with_gzip_magic
+from anchorage.operators.refbases import CHUNK
+from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, placed_lines, starts_with_gzip_magic, under_headers, with_ordinal
+from anchorage.staging import written
 
 GEOMETRY = ("length", "offset", "line_bases", "line_bytes")
+_OTHER_BYTES = re.compile(rb"[^A-Za-z]+")
+
+
+def _is_header() -> Column:
+    return F.col("value").startswith(">")
+
+
+def _headers(lines: DataFrame, marked: DataFrame) -> DataFrame:
+    """``path, line_number, ordinal, name, error``, one row a header, and one for bases before the first."""
+    rows = lines.where(_is_header()).select("path", "line_number", F.regexp_extract("value", r"^>(\S*)", 1).alias("name"))
+    first = rows.groupBy("path", "name").agg(F.min("line_number").alias("first"))
+    error = first_of((F.col("name") == "", "a sequence has no name"), (F.col("line_number") > F.col("first"), "a sequence name appears twice"))
+    good = with_ordinal(rows.join(first, ["path", "name"]).withColumn("error", error)).select("path", "line_number", "ordinal", "name", "error")
+    stray = marked.where("header_line is null").groupBy("path").agg(F.min("line_number").alias("line_number"))
+    return good.unionByName(stray.withColumns({"ordinal": F.lit(None).cast("long"), "name": F.lit(None).cast("string"), "error": F.lit("bases before the first header")}))
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    return under_headers(lines.where("value <> ''"), _is_header()).where(~_is_header())
 
 
 def sequences(lines: DataFrame) -> DataFrame:
     """``path, ordinal, name, sequence`` of numbered lines, with ``line_number`` and ``error``.
 
-    A line belongs to the last header above it, found by joining each line to
-    the header blocks of its file; bases of a sequence are put together in
-    line order.
+    A line belongs to the last header above it.  The bases of a sequence are
+    put together in one cell, in line order; :func:`file_identities` and
+    :func:`chunks` do without.
     """
-    from pyspark.sql import Window
-
-    header = F.col("value").startswith(">")
-    marked = lines.where("value <> ''").withColumn("header_line", F.max(F.when(header, F.col("line_number"))).over(Window.partitionBy("path").orderBy("line_number")))
-    rows = marked.groupBy("path", "header_line").agg(
-        F.max(F.when(header, F.regexp_extract("value", r"^>(\S*)", 1))).alias("name"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~header, F.struct("line_number", "value")))), lambda x: x["value"]), "").alias("sequence"),
-        F.min("line_number").alias("line_number"),
-    )
-    names = rows.groupBy("path", "name").agg(F.min("header_line").alias("first"))
-    places = rows.groupBy("path").agg(F.array_sort(F.collect_list("header_line")).alias("headers"))
-    rows = rows.join(names, ["path", "name"], "left").join(places, "path").withColumn("ordinal", (F.array_position("headers", F.col("header_line")) - 1).cast("long"))
-    error = first_of((F.col("header_line").isNull(), "bases before the first header"), (F.col("name") == "", "a sequence has no name"), (F.col("header_line") > F.col("first"), "a sequence name appears twice"))
-    return rows.withColumn("error", error).select("path", "line_number", "ordinal", "name", "sequence", "error")
+    marked = _marked(lines)
+    bases_of = marked.groupBy("path", F.col("header_line").alias("line_number")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("line_number").alias("at"), "value"))), lambda x: x["value"]), "").alias("sequence"))
+    return _headers(lines, marked).join(bases_of, ["path", "line_number"], "left").withColumn("sequence", F.coalesce("sequence", F.lit(""))).select("path", "line_number", "ordinal", "name", "sequence", "error")
 
 
 def bases(spark: SparkSession, path: str) -> DataFrame:
@@ -46,6 +59,86 @@ def bases(spark: SparkSession, path: str) -> DataFrame:
     return found.select("ordinal", "name", "sequence")
 
 
+def _streamed(lines: DataFrame, run, schema: str) -> DataFrame:
+    """What ``run`` makes of the lines of each sequence, which reach it one after the other and in order."""
+    marked = _marked(lines).where("header_line is not null").select("header_line", "line_number", "value")
+    return marked.repartition("header_line").sortWithinPartitions("header_line", "line_number").mapInArrow(run, schema)
+
+
+def _checked_headers(spark: SparkSession, lines: DataFrame, path: str) -> DataFrame:
+    heads = fail_on_error(written(_headers(lines, _marked(lines)), "headers"))
+    if not heads.head(1):
+        raise ParseError("no sequences", path)
+    return heads.select(F.col("line_number").alias("header_line"), "ordinal", "name")
+
+
+def file_identities(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`identities` of a file, digested line by line: no task holds a sequence."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, length, md5, sha = None, 0, None, None
+
+        def row() -> pa.RecordBatch:
+            refget = "SQ." + base64.urlsafe_b64encode(sha.digest()[:24]).decode()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([length], pa.int64()), pa.array([md5.hexdigest()]), pa.array([refget])], names=["header_line", "length", "md5", "refget"])
+
+        for batch in batches:
+            for header, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if header != at:
+                    if at is not None:
+                        yield row()
+                    at, length, md5, sha = header, 0, hashlib.md5(usedforsecurity=False), hashlib.sha512()
+                data = _OTHER_BYTES.sub(b"", value.encode("utf-8", "surrogatepass")).upper()
+                length += len(data)
+                md5.update(data)
+                sha.update(data)
+        if at is not None:
+            yield row()
+
+    lines = numbered_lines(spark, path)
+    heads = _checked_headers(spark, lines, path)
+    found = _streamed(lines, run, "header_line long, length long, md5 string, refget string")
+    empty = F.lit("")
+    return heads.join(found, "header_line", "left").select(
+        "ordinal", "name", F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.coalesce("md5", sequence_md5(empty)).alias("md5"), F.coalesce("refget", refget_id(empty)).alias("refget")
+    )
+
+
+def chunks(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """``name, number, bases, length`` of a file, cut as it is read: no task holds a sequence."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, held, kept = None, 0, 0, []
+
+        def row(text: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([number], pa.int64()), pa.array([text])], names=["header_line", "number", "bases"])
+
+        for batch in batches:
+            for header, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if header != at:
+                    if held:
+                        yield row("".join(kept))
+                    at, number, held, kept = header, 0, 0, []
+                kept.append(value)
+                held += len(value)
+                if held >= chunk:
+                    text = "".join(kept)
+                    whole = held // chunk * chunk
+                    for k in range(0, whole, chunk):
+                        yield row(text[k : k + chunk])
+                        number += 1
+                    kept, held = [text[whole:]], held - whole
+        if held:
+            yield row("".join(kept))
+
+    lines = numbered_lines(spark, path)
+    heads = _checked_headers(spark, lines, path)
+    pieces = written(_streamed(lines, run, "header_line long, number long, bases string"), "chunks")
+    lengths = pieces.groupBy("header_line").agg(F.sum(F.length("bases")).cast("long").alias("length"))
+    named = heads.select("header_line", "name").join(lengths, "header_line", "left").join(pieces, "header_line", "left")
+    return named.select("name", F.coalesce("number", F.lit(0).cast("long")).alias("number"), F.coalesce("bases", F.lit("")).alias("bases"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))
+
+
 def identities(found: DataFrame) -> DataFrame:
     """``ordinal, name, length, md5, refget`` of ``ordinal, name, sequence``."""
     return found.select("ordinal", "name", F.length(normalized(F.col("sequence"))).cast("long").alias("length"), sequence_md5(F.col("sequence")).alias("md5"), refget_id(F.col("sequence")).alias("refget"))
@@ -59,64 +152,42 @@ def collection(identified: DataFrame) -> DataFrame:
     ).select("completeness", "d.*")
 
 
-def geometry(data: bytes) -> list[tuple[str, int, int, int, int]]:
-    """``name, length, offset, line_bases, line_bytes`` of each sequence, from bytes."""
-    found: list[list] = []
-    at, size = 0, len(data)
-    short = False
-    while at < size:
-        end = data.find(b"\n", at)
-        after = size if end < 0 else end + 1
-        line = data[at:after]
-        body = line.rstrip(b"\r\n")
-        if body.startswith(b">"):
-            if found and found[-1][1] == 0:
-                raise FastaIndexError(f"sequence {found[-1][0]!r} is empty")
-            words = body[1:].split()
-            found.append([words[0].decode() if words else "", 0, after, 0, 0])
-            short = False
-        elif body or found:
-            if not found:
-                raise FastaIndexError("bases before the first header")
-            record = found[-1]
-            if body:
-                if short or record[3] and len(body) > record[3]:
-                    raise FastaIndexError(f"lines of {record[0]!r} differ in length")
-                if not record[3]:
-                    record[3], record[4] = len(body), len(line)
-                short = len(body) < record[3]
-                record[1] += len(body)
-            else:
-                short = True
-        at = after
-    if not found:
-        raise FastaIndexError("no sequences")
-    if found[-1][1] == 0:
-        raise FastaIndexError(f"sequence {found[-1][0]!r} is empty")
-    return [tuple(r) for r in found]
+def geometry(lines: DataFrame) -> DataFrame:
+    """``path, line_number, ordinal, name, length, offset, line_bases, line_bytes, error`` of placed lines.
+
+    All lines of a sequence but its last are as long as its first, exactly if
+    none is longer and they add up; everything else is a minimum, a maximum or
+    a count, so a sequence is never brought together.
+    """
+    lines = lines.withColumn("value", F.regexp_replace("value", "\r+$", ""))
+    size, held = F.octet_length("value").cast("long"), (F.col("value") != "") & ~_is_header()
+    groups = under_headers(lines, _is_header()).groupBy("path", "header_line").agg(
+        F.max(F.when(_is_header(), F.regexp_extract("value", r"^>\s*(\S*)", 1))).alias("name"),
+        F.max(F.when(_is_header(), F.col("offset") + F.col("bytes"))).alias("offset"),
+        F.min(F.when(held, F.struct("line_number", size.alias("bases"), "bytes"))).alias("first"),
+        F.max(F.when(held, F.struct("line_number", size.alias("bases")))).alias("last"),
+        F.count_if(held).alias("n"),
+        F.coalesce(F.sum(F.when(held, size)), F.lit(0)).alias("length"),
+        F.max(F.when(held, size)).alias("longest"),
+        F.min(F.when(F.col("value") == "", F.col("line_number"))).alias("blank"),
+    )
+    groups = groups.where("header_line is not null or n > 0")
+    full = F.col("first.bases")
+    uneven = (F.col("longest") > full) | (F.col("length") - F.col("last.bases") != (F.col("n") - 1) * full) | (F.col("blank") < F.col("last.line_number"))
+    name = F.concat(F.lit("'"), "name", F.lit("'"))
+    error = F.when(F.col("header_line").isNull(), "bases before the first header").when(F.col("length") == 0, F.concat(F.lit("sequence "), name, F.lit(" is empty"))).when(uneven, F.concat(F.lit("lines of "), name, F.lit(" differ in length")))
+    rows = groups.select("path", F.coalesce("header_line", F.lit(0).cast("long")).alias("line_number"), "name", "length", "offset", F.col("first.bases").alias("line_bases"), F.col("first.bytes").alias("line_bytes"), error.alias("error"))
+    return with_ordinal(rows)
 
 
 def expected_index(spark: SparkSession, path: str) -> DataFrame:
     """``ordinal, name, length, offset, line_bases, line_bytes`` that fits the file's bytes."""
     if starts_with_gzip_magic(spark, path):
         raise UnsupportedResource("compressed FASTA has no byte offsets", path)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                try:
-                    rows, error = geometry(content.as_py()), None
-                except FastaIndexError as e:
-                    rows, error = [(None, None, None, None, None)], str(e)
-                names = ["name", *GEOMETRY]
-                columns = [pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), *columns, pa.array([error] * len(rows), pa.string())], names=["ordinal", *names, "error"])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "ordinal long, name string, length long, offset long, line_bases long, line_bytes long, error string")
-    bad = rows.where("error is not null").head(1)
-    if bad:
-        raise FastaIndexError(bad[0]["error"], path)
-    return rows.drop("error")
+    rows = fail_on_error(written(geometry(placed_lines(spark, path)), "geometry"), FastaIndexError)
+    if not rows.head(1):
+        raise FastaIndexError("no sequences", path)
+    return rows.select("ordinal", "name", *GEOMETRY)
 
 
 def parse_index(lines: DataFrame) -> DataFrame:

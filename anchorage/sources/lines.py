@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gzip
+import io
+import itertools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,6 +32,67 @@ def starts_with_gzip_magic(spark: SparkSession, path: str) -> bool:
         raise Unreadable("cannot read file", path) from error
 
 
+class _Stream(io.RawIOBase):
+    """Bytes of a stream on the JVM's side, a block at a time."""
+
+    def __init__(self, stream):
+        super().__init__()
+        self._stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        data = bytes(self._stream.readNBytes(len(room)))
+        room[: len(data)] = data
+        return len(data)
+
+
+@contextlib.contextmanager
+def opened(spark: SparkSession, path: str, block: int = 1 << 16) -> Iterator[io.BufferedReader]:
+    """A file of any store that Spark reads, on the driver, of which no more is read than is asked for, in blocks."""
+    jvm = spark.sparkContext._jvm
+    try:
+        file = jvm.org.apache.hadoop.fs.Path(path)
+        stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    except Exception as error:
+        raise Unreadable("cannot read file", path) from error
+    try:
+        yield io.BufferedReader(_Stream(stream), block)
+    finally:
+        stream.close()
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line_number, offset, bytes, value`` of a file that is not decompressed, read in splits.
+
+    A line is what stands before a line feed, whatever its bytes; ``bytes``
+    counts the line feed, ``offset`` the bytes before the line in the file.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        "value", (F.octet_length("value") + 1).cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size")
+    )
+    blocks = raw.groupBy("path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("held"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    offsets = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("lines"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("path", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.withColumn("inside", inside).join(offsets, ["path", "block"]).withColumn("offset", F.col("start") + F.col("inside"))
+    return placed.select(F.lit(path).alias("path"), (F.col("row") - F.col("first") + F.col("lines") + 1).alias("line_number"), "offset", F.least("bytes", F.col("size") - F.col("offset")).alias("bytes"), "value")
+
+
+def under_headers(lines: DataFrame, header: Column) -> DataFrame:
+    """``lines`` with ``header_line``, the number of the last line above or at each that is a header.
+
+    The greatest within a block of lines, and from the blocks before it, of
+    which there is one row each.
+    """
+    blocked = lines.withColumn("_block", F.floor(F.col("line_number") / 65536)).withColumn("_own", F.when(header, F.col("line_number")))
+    blocks = blocked.groupBy("path", "_block").agg(F.max("_own").alias("_most"))
+    before = blocks.select("path", "_block", F.max("_most").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max("_own").over(Window.partitionBy("path", "_block").orderBy("line_number"))
+    return blocked.withColumn("_inside", inside).join(before, ["path", "_block"]).withColumn("header_line", F.coalesce("_inside", "_before")).drop("_block", "_own", "_inside", "_before")
+
+
 def _split_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a plain file, read in splits.
 
@@ -44,26 +108,29 @@ def _split_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _whole_file(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a compressed file whatever its name; universal line ends."""
+    """Lines of a file whose name and content disagree on compression; universal line ends, unpacked as they are read."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace")
-                lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                if lines and not lines[-1]:
-                    lines.pop()
-                for at in range(0, len(lines), 10_000):
-                    part = lines[at : at + 10_000]
+                packed = io.BytesIO(content.as_py())
+                plain = gzip.GzipFile(fileobj=packed) if packed.getvalue()[:2] == b"\x1f\x8b" else packed
+                lines = (line.removesuffix("\n") for line in io.TextIOWrapper(plain, "utf-8", "replace", newline=None))
+                at = 0
+                for part in itertools.batched(lines, 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(at + 1, at + len(part) + 1), pa.int64()), pa.array(part, pa.string())], names=["path", "line_number", "value"])
+                    at += len(part)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _NUMBERED)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_number, value`` of a plain or gzip file."""
-    return _whole_file(spark, path) if starts_with_gzip_magic(spark, path) or path.endswith(".gz") else _split_lines(spark, path)
+    """``path, line_number, value`` of a plain or gzip file.
+
+    Spark unpacks files by their name, as they are read and of any size; where
+    the first bytes say otherwise, a file is unpacked by one task that holds it.
+    """
+    return _split_lines(spark, path) if starts_with_gzip_magic(spark, path) == path.endswith(".gz") else _whole_file(spark, path)
 
 
 def lines_of(spark: SparkSession, text: str, path: str = "<memory>") -> DataFrame:

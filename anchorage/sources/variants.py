@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import io
+import itertools
 import re
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.errors import ParseError, UnsupportedResource
-from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, starts_with_gzip_magic, with_ordinal
+from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, opened, placed_lines, with_ordinal
 
 CONTIGS = "ordinal long, name string, length long, md5 string, assembly string, url string"
 _CONTIG = re.compile(r"##contig=<(.*)>\s*")
@@ -45,7 +48,7 @@ def header_facts(lines: list[str]) -> dict:
 def header(spark: SparkSession, path: str, kind: str = "vcf") -> dict:
     """As :func:`header_facts`, with ``contigs`` as a table."""
     if kind == "bcf":
-        lines = _bcf_header(_bcf_content(spark, path), path)[0].splitlines()
+        lines = _bcf_header(spark, path).splitlines()
     elif kind == "vcf":
         _refuse_bcf(spark, path)
         # Only header lines come to the driver.
@@ -59,15 +62,13 @@ def header(spark: SparkSession, path: str, kind: str = "vcf") -> dict:
 
 
 def _refuse_bcf(spark: SparkSession, path: str) -> None:
-    if starts_with_gzip_magic(spark, path):
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("c")).head(1)
-        try:
-            import io
-
-            if gzip.GzipFile(fileobj=io.BytesIO(bytes(head[0]["c"]))).read(3) == b"BCF":
-                raise UnsupportedResource("a BCF file was declared as VCF", path)
-        except (OSError, EOFError):
-            pass
+    with opened(spark, path) as file:
+        if file.peek(2)[:2] == b"\x1f\x8b":
+            try:
+                if gzip.GzipFile(fileobj=file).read(3) == b"BCF":
+                    raise UnsupportedResource("a BCF file was declared as VCF", path)
+            except (OSError, EOFError, zlib.error):
+                pass
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
@@ -93,30 +94,26 @@ def records(spark: SparkSession, path: str, kind: str = "vcf", ordered: bool = T
     return with_ordinal(rows) if ordered else rows
 
 
-def _bcf_content(spark: SparkSession, path: str) -> bytes:
-    if not starts_with_gzip_magic(spark, path):
-        raise UnsupportedResource("not a BCF file", path)
-    data = gzip.decompress(bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]))
-    if data[:3] != b"BCF":
-        raise UnsupportedResource("not a BCF file", path)
-    return data
-
-
-def _bcf_header(data: bytes, path: str) -> tuple[str, int]:
-    try:
-        (size,) = struct.unpack_from("<I", data, 5)
-        return data[9 : 9 + size].rstrip(b"\0").decode("utf-8"), 9 + size
-    except (struct.error, UnicodeDecodeError) as error:
-        raise ParseError("the header breaks off", path) from error
-
-
-def bcf_rows(data: bytes, path: str) -> Iterator[tuple[int, str, int, str]]:
-    """``ordinal, CHROM, POS, REF`` of an unpacked BCF file.
-
-    The record's fixed part gives contig number and zero-based position; then
-    come the id and the alleles as typed strings, of which the first is REF.
-    """
-    text, at = _bcf_header(data, path)
+def _bcf_header(spark: SparkSession, path: str) -> str:
+    """The header's text, from the first blocks of the file."""
+    with opened(spark, path) as file:
+        if file.peek(2)[:2] != b"\x1f\x8b":
+            raise UnsupportedResource("not a BCF file", path)
+        stream = gzip.GzipFile(fileobj=file)
+        try:
+            if stream.read(5)[:3] != b"BCF":
+                raise UnsupportedResource("not a BCF file", path)
+            (size,) = struct.unpack("<I", stream.read(4))
+            text = stream.read(size)
+            if len(text) < size:
+                raise ParseError("the header breaks off", path)
+            return text.rstrip(b"\0").decode("utf-8")
+        except (OSError, EOFError, struct.error, zlib.error, UnicodeDecodeError) as error:
+            raise ParseError("the header breaks off", path) from error
+
+
+def contig_places(text: str) -> list[str | None]:
+    """Contig names by the numbers that records use."""
     names: list[str | None] = []
     seen = set()
     for line in text.splitlines():
@@ -127,6 +124,16 @@ def bcf_rows(data: bytes, path: str) -> Iterator[tuple[int, str, int, str]]:
             place = int(pairs.get("IDX", len(names)))
             names += [None] * (place + 1 - len(names))
             names[place] = pairs["ID"]
+    return names
+
+
+def bcf_rows(stream, names: list[str | None], path: str) -> Iterator[tuple[int, str, int, str]]:
+    """``ordinal, CHROM, POS, REF`` of the records of an unpacked BCF file, read from ``stream`` one by one.
+
+    The record's fixed part gives contig number and zero-based position; then
+    come the id and the alleles as typed strings, of which the first is REF.
+    """
+    data = b""
 
     def string(at: int) -> tuple[str, int]:
         kind, n = data[at] & 15, data[at] >> 4
@@ -141,9 +148,13 @@ def bcf_rows(data: bytes, path: str) -> Iterator[tuple[int, str, int, str]]:
 
     ordinal = 0
     try:
-        while at < len(data):
-            shared, single, contig, position = struct.unpack_from("<IIii", data, at)
-            _, place = string(at + 8 + 24)
+        while head := stream.read(8):
+            shared, single = struct.unpack("<II", head)
+            data = stream.read(shared)
+            if len(data) < shared or len(stream.read(single)) < single:
+                raise ParseError("a record breaks off", path)
+            contig, position = struct.unpack_from("<ii", data)
+            _, place = string(24)
             ref, _ = string(place)
             name = names[contig] if 0 <= contig < len(names) else None
             if name is None:
@@ -151,22 +162,49 @@ def bcf_rows(data: bytes, path: str) -> Iterator[tuple[int, str, int, str]]:
             if not re.fullmatch("[ACGTNacgtn]+", ref):
                 raise ParseError("REF must be bases", path)
             yield ordinal, name, position + 1, ref
-            ordinal, at = ordinal + 1, at + 8 + shared + single
-    except (struct.error, IndexError, KeyError, UnicodeDecodeError) as error:
+            ordinal += 1
+    except (OSError, EOFError, zlib.error, struct.error, IndexError, KeyError, UnicodeDecodeError) as error:
         raise ParseError("a record breaks off", path) from error
 
 
-def _bcf_records(spark: SparkSession, path: str) -> DataFrame:
-    _bcf_header(_bcf_content(spark, path), path)
+class _Joined(io.RawIOBase):
+    """Pieces of a file one after the other."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import batched
+    def __init__(self, pieces: Iterator[bytes]):
+        super().__init__()
+        self._pieces, self._left = pieces, memoryview(b"")
 
-        for batch in batches:
-            for content in batch.column(0):
-                rows = bcf_rows(gzip.decompress(content.as_py()), path)
-                for part in batched(rows, 10_000):
-                    columns = list(zip(*part, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())], names=["ordinal", "sequence_name", "position", "ref"])
+    def readable(self) -> bool:
+        return True
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "ordinal long, sequence_name string, position long, ref string")
+    def readinto(self, room) -> int:
+        while not self._left:
+            piece = next(self._pieces, None)
+            if piece is None:
+                return 0
+            self._left = memoryview(piece)
+        n = min(len(room), len(self._left))
+        room[:n], self._left = self._left[:n], self._left[n:]
+        return n
+
+
+def _bcf_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a file of any size: its bytes, read in splits as what stands between line feeds, go in order through one task that unpacks and reads them as they come."""
+    names = contig_places(_bcf_header(spark, path))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (value + b"\n" if count > len(value) else value for batch in batches for count, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BufferedReader(_Joined(pieces), 1 << 20)), 1 << 20)
+        try:
+            head = stream.read(9)
+            if not head:
+                return
+            stream.read(struct.unpack_from("<I", head, 5)[0])
+        except (OSError, EOFError, zlib.error, struct.error) as error:
+            raise ParseError("the file breaks off", path) from error
+        for part in itertools.batched(bcf_rows(stream, names, path), 10_000):
+            columns = list(zip(*part, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())], names=["ordinal", "sequence_name", "position", "ref"])
+
+    packed = placed_lines(spark, path).select("line_number", "bytes", F.col("value").cast("binary").alias("value"))
+    return packed.repartition(1).sortWithinPartitions("line_number").mapInArrow(run, "ordinal long, sequence_name string, position long, ref string")

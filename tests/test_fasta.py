@@ -107,3 +107,81 @@ def test_command_line(spark, put, capsys):
     assert diagnostics.main(["check-fai", path, put("bad.fai", "x\n")], spark) == 2
     assert diagnostics.main(["check-fai", path, put("other.fai", "chrX\t8\t6\t8\t9\n")], spark) == 0
     assert "missing_sequence" in capsys.readouterr().out
+
+
+def plain_geometry(data):
+    """Geometry of even FASTA bytes, line by line."""
+    rows, at = [], 0
+    for line in data.splitlines(keepends=True):
+        body = line.rstrip(b"\r\n")
+        if body.startswith(b">"):
+            rows.append([(body[1:].split() or [b""])[0].decode(), 0, at + len(line), 0, 0])
+        elif body:
+            rows[-1][1] += len(body)
+            if not rows[-1][3]:
+                rows[-1][3:] = [len(body), len(line)]
+        at += len(line)
+    return [tuple(r) for r in rows]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_files_in_many_splits(spark, put, seed):
+    import random
+
+    from anchorage.operators import refbases
+
+    r = random.Random(seed)
+    end = r.choice(["\n", "\r\n"])
+    parts = []
+    for k in range(r.choice([1, 40, 300])):
+        bases = "".join(r.choice("ACGTNacgt") for _ in range(r.randint(1, 900)))
+        width = r.randint(1, 80)
+        parts.append(f">s{k}{r.choice(['', ' x y', chr(9) + 'é'])}{end}" + "".join(bases[i : i + width] + end for i in range(0, len(bases), width)))
+    text = "".join(parts)
+    data = (text if r.random() < 0.5 else text.removesuffix(end)).encode()
+    path = put(f"{seed}.fa", data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = [tuple(x) for x in fasta.expected_index(spark, path).orderBy("ordinal").select("name", *fasta.GEOMETRY).collect()]
+        assert got == plain_geometry(data)
+        whole = fasta.bases(spark, path)
+        assert sorted(map(tuple, fasta.file_identities(spark, path).collect())) == sorted(map(tuple, fasta.identities(whole).collect()))
+        for chunk in (7, 100, 5000):
+            want = refbases.chunked(whole, chunk).select("name", "number", "bases", "length").collect()
+            assert sorted(map(tuple, fasta.chunks(spark, path, chunk).collect())) == sorted(map(tuple, want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_sequences_without_bases(spark, put):
+    path = put("e.fa", ">a\n>b x\nAC\n\n>c\n")
+    rows = {r["name"]: r for r in fasta.file_identities(spark, path).collect()}
+    assert {k: (r["ordinal"], r["length"]) for k, r in rows.items()} == {"a": (0, 0), "b": (1, 2), "c": (2, 0)} and rows["a"]["md5"] == "d41d8cd98f00b204e9800998ecf8427e"
+    assert sorted((r["name"], r["number"], r["bases"], r["length"]) for r in fasta.chunks(spark, path).collect()) == [("a", 0, "", 0), ("b", 0, "AC", 2), ("c", 0, "", 0)]
+    for text in ("AC\n>a\nAC\n", ">a\nA\n>a\nC\n", ">\nA\n"):
+        with pytest.raises(ParseError):
+            fasta.file_identities(spark, put("bad.fa", text))
+
+
+def test_headers_of_files_over_two_gigabytes(spark, tmp_path):
+    """Sparse files: what lies behind the header is never read."""
+    import struct
+
+    text = b"@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:8\n"
+    bam = gzip.compress(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 8))
+    vcf = gzip.compress(b"##fileformat=VCFv4.3\n")
+    for name, data, kind in (("big.bam", bam, "bam"), ("big.sam", text + b"r1\t0\tchr1\n", "sam")):
+        path = tmp_path / name
+        with open(path, "wb") as out:
+            out.write(data)
+            out.truncate(5 << 29)
+        found = headers.read_alignment_header(spark, str(path), kind)
+        assert [s[:2] for s in found.sequences] == [("chr1", 8)]
+        path.unlink()
+    from anchorage.sources import variants
+
+    with open(tmp_path / "big.vcf.gz", "wb") as out:
+        out.write(vcf)
+        out.truncate(5 << 29)
+    variants._refuse_bcf(spark, str(tmp_path / "big.vcf.gz"))

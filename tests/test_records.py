@@ -78,6 +78,25 @@ def test_binary_variants_read_like_text(spark, tmp_path):
         variants.header(spark, str(path), "vcf")
 
 
+def test_binary_variants_over_splits(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.randint(0, 1), r.randint(1, 10**6), "".join(r.choice("ACGTN") for _ in range(r.randint(1, 14)))) for _ in range(6000)]
+    path = tmp_path / "many.bcf"
+    path.write_bytes(_bcf(rows))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [tuple(x) for x in variants.records(spark, str(path), "bcf").orderBy("ordinal").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(k, f"chr{c + 1}", p, ref) for k, (c, p, ref) in enumerate(rows)]
+    (tmp_path / "cut.bcf").write_bytes(path.read_bytes()[:-4000])
+    with pytest.raises(Exception, match="breaks off"):
+        variants.records(spark, str(tmp_path / "cut.bcf"), "bcf").count()
+
+
 @pytest.mark.parametrize("line", ["chr1\tx\t.\tA\tC", "chr1\t1\t.\tAX\tC", "chr1\t1\t.\tA", "\t1\t.\tA\tC"])
 def test_broken_records(spark, line):
     assert variants.parse_records(lines_of(spark, line)).first()["error"] is not None
