@@ -61,6 +61,41 @@ def project(snapshot: Snapshot | None, required: DataFrame, anchor_id: str, anch
     return rows.select("resource_id", "local_name", "mandatory", "canonical_name", "anchor_name", F.coalesce(F.when(F.col("target_state").isNotNull(), F.col("reason")), F.col("name_reason")).alias("reason"), outcome.alias("outcome"))
 
 
+def trace(projected: DataFrame, snapshot: Snapshot | None, bindings: DataFrame | None = None, validations: DataFrame | None = None) -> DataFrame:
+    """How each required name came to its outcome, with the provider's sources behind its name and its content.
+
+    ``bindings``: those of the bundle, with ``binding_id``; ``validations``:
+    what :func:`capabilities` gave.
+    """
+    none = F.array().cast("array<string>")
+    rows = projected
+    if snapshot is None:
+        rows = rows.withColumns({"name_sources": none, "content_sources": none})
+    else:
+        aliases = snapshot.aliases.groupBy(F.col("alias").alias("local_name"), "canonical_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("alias_sources"))
+        catalog = snapshot.sequences.select("canonical_name", F.array_sort("catalog_source_ids").alias("catalog_sources"), F.array_sort("identity_source_ids").alias("content_sources"))
+        rows = rows.join(aliases, ["local_name", "canonical_name"], "left").join(catalog, "canonical_name", "left")
+        named = F.when(F.col("local_name") == F.col("canonical_name"), F.col("catalog_sources")).otherwise(F.col("alias_sources"))
+        rows = rows.withColumn("name_sources", F.coalesce(named, none)).withColumn("content_sources", F.coalesce("content_sources", none))
+    for table, key, name in ((bindings, "binding_id", "local_name"), (validations, "capability_id", "sequence_name")):
+        if table is None:
+            rows = rows.withColumn(key, F.lit(None).cast("string"))
+        else:
+            owner = "resource_id" if key == "binding_id" else "subject_id"
+            rows = rows.join(table.select(F.col(owner).alias("resource_id"), F.col(name).alias("local_name"), key), ["resource_id", "local_name"], "left")
+    return rows.select("resource_id", "local_name", "mandatory", "canonical_name", "anchor_name", "reason", "outcome", "name_sources", "content_sources", "binding_id", "capability_id")
+
+
+def context(snapshot: Snapshot | None, profile: str, target: str, traced: DataFrame) -> dict:
+    """What a report says of a profile: its target, the provider's sources and completeness, and the trace of every name."""
+    names = sorted((r.asDict() for r in traced.collect()), key=lambda r: (r["resource_id"], r["local_name"]))  # one row per required name
+    out: dict = {"profile_id": profile, "target": target, "provider_context_id": None, "completeness": {}, "sources": [], "sequence_traces": names}
+    if snapshot is not None:
+        rows = sorted((r.asDict() for r in snapshot.sources.withColumn("acquired_at", F.date_format("acquired_at", "yyyy-MM-dd'T'HH:mm:ssXXX")).collect()), key=lambda r: r["id"])
+        out |= {"provider_context_id": snapshot.context, "completeness": dict(sorted(snapshot.completeness.items())), "sources": rows}
+    return out
+
+
 def new_bindings(projected: DataFrame) -> DataFrame:
     """Bindings that the profile adds: ``resource_id, local_name, anchor_name, method``."""
     return projected.where("outcome = 'new_binding'").select("resource_id", "local_name", "anchor_name", F.lit("authoritative_name").alias("method"))

@@ -16,6 +16,19 @@ RESOURCE_KINDS = ("fasta", "fasta_index", "sequence_dictionary", "vcf", "bcf", "
 # Exit codes of a workflow.
 EXIT = {"success": 0, "incompatible": 1, "invalid_input": 2, "indeterminate": 3, "partial": 4, "operational_failure": 5}
 STATES = ("satisfied", "unsatisfied", "unresolved", "not_applicable")
+# The keys of each kind of requirement and capability in a report, and the columns they come from.
+REQUIREMENT_KEYS = {
+    "presence": {"sequence_name": "sequence_name"}, "length": {"sequence_name": "sequence_name", "length": "length"}, "identity": {"sequence_name": "sequence_name", "algorithm": "scheme", "value": "value"},
+    "order": {"sequence_names": "names"}, "binding": {"sequence_name": "sequence_name", "anchor_resource_id": "anchor_id"}, "bounds": {"anchor_resource_id": "anchor_id", "coordinate_count": "count"},
+    "bases": {"anchor_resource_id": "anchor_id", "record_count": "count"},
+}
+CAPABILITY_KEYS = {
+    "presence": {"sequence_name": "sequence_name", "present": "present"}, "length": {"sequence_name": "sequence_name", "length": "length"},
+    "identity": {"sequence_name": "sequence_name", "algorithm": "scheme", "value": "value", "provenance": "provenance"}, "order": {"sequence_names": "names"},
+    "binding": {"subject_resource_id": "subject_id", "sequence_name": "sequence_name", "state": "binding_state"}, "absence": {"subject_resource_id": "subject_id", "sequence_name": "sequence_name"},
+    "bounds": {"subject_resource_id": "subject_id", "checked_count": "checked", "conflict_count": "conflict", "unresolved_count": "unresolved"},
+    "bases": {"subject_resource_id": "subject_id", "checked_count": "checked", "mismatch_count": "conflict", "unresolved_count": "unresolved"},
+}
 
 
 @dataclass(frozen=True)
@@ -81,8 +94,12 @@ class Report:
         return self.result["verdict"]["value"] if self.result else None
 
 
-def collect(tables: dict[str, DataFrame], requirements: DataFrame, capabilities: DataFrame, bindings: DataFrame | None = None, conditions: list[dict] | None = None, observations: list[dict] | None = None, relations: list[dict] | None = None) -> dict:
-    """The result of a bundle as plain values.  These tables are as small as the lists of sequences they are about."""
+def collect(tables: dict[str, DataFrame], requirements: DataFrame, capabilities: DataFrame, bindings: DataFrame | None = None, conditions: list[dict] | None = None, observations: list[dict] | None = None, relations: list[dict] | None = None, profiles: list[dict] | None = None) -> dict:
+    """The result of a bundle as plain values.  These tables are as small as the lists of sequences they are about.
+
+    Listed are the capabilities that constraints were judged by and, of each
+    proven absence and each binding among them, the identities it rests on.
+    """
 
     def rows(df: DataFrame) -> list[dict]:
         return [r.asDict(recursive=True) for r in df.collect()]
@@ -92,17 +109,18 @@ def collect(tables: dict[str, DataFrame], requirements: DataFrame, capabilities:
     findings = sorted(rows(tables["findings"]), key=lambda r: r["finding_id"])
     cores = sorted(rows(tables["cores"]), key=lambda r: r["core_id"])
     verdict = tables["verdict"].first()
-    used = {c for r in judged for c in r["candidate_ids"]}
-    caps = sorted((r for r in rows(capabilities) if r["capability_id"] in used), key=lambda r: r["capability_id"])
+    bound = sorted(rows(bindings), key=lambda r: r["binding_id"]) if bindings is not None else []
+    caps = sorted(_closed(rows(capabilities), {c for r in judged for c in r["candidate_ids"]}, bound), key=lambda r: r["capability_id"])
     must = [r for r in judged if r["level"] == "mandatory"]
 
-    def plain(r: dict, ident: str) -> dict:
-        out = {k: v for k, v in r.items() if v is not None and k not in (ident, "kind")}
-        return {"id": r[ident], "type": RULES.get(r["kind"], "sequence_identity_absence" if r["kind"] == "absence" else r["kind"])} | out
+    def plain(r: dict, ident: str, keys: dict[str, dict[str, str]]) -> dict:
+        kind = RULES.get(r["kind"], "sequence_identity_absence" if r["kind"] == "absence" else r["kind"])
+        own = {k: r[c] for k, c in keys[r["kind"]].items()}
+        return {"id": r[ident], "type": kind, "resource_id": r["resource_id"]} | ({"level": r["level"], "origin": r["origin"]} if "level" in r else {}) | own
 
     return {
         "alignment_relationships": relations or [],
-        "capabilities": [plain(r, "capability_id") for r in caps],
+        "capabilities": [plain(r, "capability_id", CAPABILITY_KEYS) for r in caps],
         "conditions": conditions or [],
         "conflict_cores": [{"id": r["core_id"], "kind": r["core_kind"], "constraint_ids": [r["constraint_id"]], "requirement_ids": [r["requirement_id"]], "finding_ids": [r["finding_id"]], "evidence_ids": r["evidence_ids"], "resource_ids": r["resource_ids"]} for r in cores],
         "constraints": [{"id": r["constraint_id"], "requirement_id": r["requirement_id"], "rule": RULES[r["kind"]], "candidate_capability_ids": r["candidate_ids"], "sequence_binding_ids": r["binding_ids"]} for r in judged],
@@ -117,9 +135,12 @@ def collect(tables: dict[str, DataFrame], requirements: DataFrame, capabilities:
         },
         "findings": [{"id": r["finding_id"], "kind": r["finding_kind"], "constraint_ids": [r["constraint_id"]], "requirement_ids": [r["requirement_id"]], "evidence_ids": r["evidence_ids"], "resource_ids": r["resource_ids"]} for r in findings],
         "observations": observations or [],
-        "profile_contexts": [],
-        "requirements": sorted((plain(r, "requirement_id") for r in rows(requirements)), key=lambda r: r["id"]),
-        "sequence_bindings": sorted((r for r in rows(bindings)), key=lambda r: r["binding_id"]) if bindings is not None else [],
+        "profile_contexts": profiles or [],
+        "requirements": sorted((plain(r, "requirement_id", REQUIREMENT_KEYS) for r in rows(requirements)), key=lambda r: r["id"]),
+        "sequence_bindings": [
+            {"id": b["binding_id"], "resource_id": b["resource_id"], "local_sequence_name": b["local_name"], "anchor_resource_id": b["anchor_id"], "anchor_sequence_name": b["anchor_name"], "method": b["method"], "identity_values": b["identity_values"] or []}
+            for b in bound
+        ],
         "verdict": {
             "value": verdict["verdict"],
             "basis_finding_ids": [r["finding_id"] for r in cores],
@@ -130,6 +151,13 @@ def collect(tables: dict[str, DataFrame], requirements: DataFrame, capabilities:
     }
 
 
+def _closed(capabilities: list[dict], used: set[str], bindings: list[dict]) -> list[dict]:
+    """The used capabilities and the anchor's identities behind bindings.  An absence rests on all identities of its anchor: that none is the missing one is what it says."""
+    absent = {c["resource_id"] for c in capabilities if c["capability_id"] in used and c["kind"] == "absence"}
+    named = {(b["anchor_id"], b["anchor_name"]) for b in bindings}
+    return [c for c in capabilities if c["capability_id"] in used or c["kind"] == "identity" and (c["resource_id"] in absent or (c["resource_id"], c["sequence_name"]) in named)]
+
+
 def payload(report: Report, draft: bool = False) -> dict:
     """The document; no local paths are in it."""
     q = report.request
@@ -152,39 +180,54 @@ def to_json(report: Report, draft: bool = False) -> str:
 
 
 def to_text(report: Report) -> str:
-    """The same for people: sections in a fixed order, ``none`` where one is empty."""
+    """The same for people: the answer first, then what it rests on, then what it is about.  A part without entries is left out."""
     q, r = report.request, report.result
+    kinds = {x.id: x for x in q.resources}
+    answer = (report.verdict or "no verdict").replace("_", " ")
+    lines = [f"Can these files share the coordinates of {q.anchor}?  {answer[0].upper()}{answer[1:]}.", ""]
 
-    def section(title: str, lines: list[str]) -> list[str]:
-        return ["", title, *(lines or ["- none"])]
+    def part(title: str, entries: list[str]) -> None:
+        if entries:
+            lines.extend([f"{title} ({len(entries)})", *(f"  {e}" for e in entries), ""])
 
-    def listed(values) -> str:
-        return ", ".join(values) if values else "none"
-
-    def name(x: Resource) -> str:
-        return x.display_name or (PurePath(x.path).name if x.path else x.id)
-
-    lines = ["Compatibility report"]
-    lines += section("Resources", [f"- {x.id}: {name(x)} ({x.kind}{', anchor' if x.id == q.anchor else ''})" for x in q.resources])
-    bound = [f"{b['resource_id']}:{b['local_name']} -> {b['anchor_name']}" for b in r["sequence_bindings"]] if r else []
-    lines += section(
-        "Reference context",
-        [
-            f"- selected FASTA anchor: {q.anchor}", f"- scoped resources: {listed(q.scoped)}", f"- anchor sequence scope: {listed(q.anchor_names) if q.anchor_names is not None else 'all anchor sequences'}",
-            f"- active profiles: {listed(q.profiles)}", f"- policy: {q.policy or 'none'}", f"- verified sequence bindings: {listed(bound)}",
-        ],
-    )
-    analysis = [f"- tool version: {TOOL_VERSION}", f"- status: {report.status}", f"- compatibility verdict: {report.verdict or 'none'}"]
+    if report.status != "complete":
+        lines.insert(1, f"This run is not complete: {report.status.replace('_', ' ')}.")
+    part("Problems met", [f"{i['kind'].replace('_', ' ')}: {i['message']}" for i in report.issues])
     if r:
-        analysis.append("- mandatory constraints: " + ", ".join(f"{s}={len(r['verdict']['constraint_states'][s])}" for s in STATES))
-    analysis += [f"- issue: {i['kind']}: {i['message']}" for i in report.issues] or ["- analysis issues: none"]
-    lines += section("Analysis", analysis)
-    basis = set(r["verdict"]["basis_finding_ids"]) if r else set()
-    lines += section("Decisive findings", [f"- {f['kind']}: {listed(f['requirement_ids'])}" for f in (r["findings"] if r else []) if f["id"] in basis])
-    lines += section("Decisive conflict cores", [f"- {c['kind']}: {listed(c['constraint_ids'])}" for c in (r["conflict_cores"] if r else [])])
-    lines += section("Alignment dictionary relationships", [f"- {a['resource_id']}: membership={a['membership']}, naming={a['naming']}, order={a['order']}, content={a['content']}" for a in (r["alignment_relationships"] if r else [])])
-    lines += section("Report observations", [f"- {o['resource_id']}: {o['kind']} = {o['value']}" for o in (r["observations"] if r else [])])
-    lines += section("Conditions", [f"- {c['kind']}" for c in (r["conditions"] if r else [])])
+        wanted = {x["id"]: x for x in r["requirements"]}
+
+        def said(requirement: str) -> str:
+            x = wanted.get(requirement)
+            if x is None:
+                return requirement
+            what = x.get("sequence_name") or ", ".join(x.get("sequence_names") or []) or f"all {x.get('record_count', x.get('coordinate_count', ''))} records"
+            return f"{x['resource_id']} asks for {x['type'].replace('_', ' ')} of {what}"
+
+        basis = set(r["verdict"]["basis_finding_ids"])
+        items = {e["id"]: e for e in r["evidence"]["items"]}
+        why = []
+        for f in r["findings"]:
+            if f["id"] in basis:
+                why += [f"{f['kind'].replace('_', ' ')}: " + "; ".join(map(said, f["requirement_ids"]))]
+                why += [f"  by {items[e]['method'].replace('_', ' ')} ({items[e]['strength'].replace('_', ' ')})" for e in f["evidence_ids"] if e in items]
+        part("Why", why)
+        part("Smallest sets that clash", [f"{c['kind']}: " + "; ".join(map(said, c["requirement_ids"])) for c in r["conflict_cores"]])
+        part("It holds as long as", [c["kind"].replace("_", " ") for c in r["conditions"]])
+        tally = {s: len(r["verdict"]["constraint_states"][s]) for s in STATES}
+        part("What must hold", [f"{n} {s.replace('_', ' ')}" for s, n in tally.items() if n])
+        methods: dict[tuple[str, str], int] = {}
+        for e in items.values():
+            methods[e["method"], e["polarity"]] = methods.get((e["method"], e["polarity"]), 0) + 1
+        part("Evidence", [f"{n} times {m.replace('_', ' ')} {p}" for (m, p), n in sorted(methods.items())])
+        part("Names taken for others", [f"{b['local_sequence_name']} of {b['resource_id']} is {b['anchor_sequence_name']} ({b['method'].replace('_', ' ')})" for b in r["sequence_bindings"] if b["local_sequence_name"] != b["anchor_sequence_name"]])
+        part("Dictionaries of alignments", [f"{a['resource_id']}: members {a['membership']}, names {a['naming']}, order {a['order']}, content {a['content']}" for a in r["alignment_relationships"]])
+        for p in r["profile_contexts"]:
+            part(f"Profile {p['profile_id']} for {p['target']}", [f"source {s['id']}: {s['locator']}, {s['acquired_at']}" for s in p["sources"]] + [f"{t['local_name']} of {t['resource_id']}: {t['outcome'].replace('_', ' ')}, {t['reason'].replace('_', ' ')}" for t in p["sequence_traces"]])
+        part("Also seen", [f"{o['resource_id']}: {o['kind'].replace('_', ' ')} {o['value']}" + (f" ({o['path']}:{o['line_number']})" if o.get("line_number") else "") for o in r["observations"]])
+    part("Files", [f"{x.id}: {x.display_name or (PurePath(x.path).name if x.path else x.id)}, {x.kind}" + (", the anchor" if x.id == q.anchor else "") + ("" if x.id in q.scoped else ", not judged") for x in kinds.values()])
+    part("Sequences judged", list(q.anchor_names or ()))
+    part("Profiles", list(q.profiles))
+    lines.append(f"Report {SCHEMA_VERSION}, engine {TOOL_VERSION}" + (f", policy {q.policy}" if q.policy else ""))
     return "\n".join(lines) + "\n"
 
 

@@ -7,11 +7,13 @@ import json
 import re
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 
 from anchorage.errors import ParseError, Unreadable
 
+# The dimensions, states and keys of the file format.
 DIMENSIONS = ("sequence_catalog", "aliases", "content_identity")
 COMPLETENESS = ("complete", "partial", "unknown")
 SCHEMA = "anchorage.provider-snapshot.v1"
@@ -110,6 +112,10 @@ def load(spark: SparkSession, path: str, expected_sha256: str | None = None) ->
 
 
 def render(doc: dict) -> str:
-    """A document in its normal form: sorted keys, UTC times, a final line end."""
+    """A document in its normal form, the same whatever order its lists came in: sorted keys and lists, UTC times, a final line end."""
     plain = {k: v for k, v in doc.items() if k != "digest"}
+    order = {"sources": ("id",), "sequences": ("canonical_name",), "aliases": ("alias", "canonical_name", "authority")}
+    for part, keys in order.items():
+        rows = [{k: sorted(v) if isinstance(v, list) else v for k, v in r.items()} for r in plain[part]]
+        plain[part] = sorted(rows, key=itemgetter(*keys))
     return json.dumps(plain, indent=2, sort_keys=True, ensure_ascii=False, default=lambda t: t.isoformat()) + "\n"

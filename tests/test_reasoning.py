@@ -166,12 +166,16 @@ def test_bundle_report(spark):
     doc = json.loads(report.to_json(good))
     assert doc["report_format"]["schema_version"] == "3.0.0" and "/data" not in report.to_json(good)
     assert list(doc) == sorted(doc) and len(doc["scientific_result"]["evaluations"]) == 4
-    assert "compatibility verdict: compatible" in report.to_text(good) and "ref: ref.fa (fasta, anchor)" in report.to_text(good)
+    said = report.to_text(good)
+    assert said.startswith("Can these files share the coordinates of ref?  Compatible.") and "ref: ref.fa, fasta, the anchor" in said and "4 satisfied" in said and "/data" not in said
+    kinds = {x["type"]: x for x in doc["scientific_result"]["requirements"]}
+    assert kinds["sequence_length"]["length"] == 10 and kinds["sequence_identity"]["value"] == "a" * 32 and kinds["reference_bases"]["record_count"] == 4 and "value" not in kinds["sequence_length"]
     assert report.broken_references(tables, req, caps).count() == 0
     req, caps, tables = _reasoned(spark, 11)
     bad = report.Report(request, result=report.collect(tables, req, caps))
     assert report.exit_code(bad) == 1 and len(bad.result["conflict_cores"]) == 1
     assert bad.result["findings"][0]["kind"] == "sequence_length_conflict"
+    assert "sequence length conflict: calls asks for sequence length of chr1" in report.to_text(bad) and "exact typed constraint" in report.to_text(bad)
     assert report.broken_references(tables, req.where("kind <> 'length'"), caps).count() == 1
 
 
@@ -376,3 +380,74 @@ def test_equal_records_over_a_border_are_all_kept(spark):
         got = refbases.check_chunked(records, refbases.chunked(bases, chunk), chunk).drop("found", "anchor_name").collect()
         want = refbases.check(records, bases).drop("found", "anchor_name").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == len(rows)
+
+
+def test_profile_traces(spark, tmp_path):
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps(_snapshot()))
+    snap = snapshot.load(spark, str(path))
+    anchor = spark.createDataFrame([("chr1", 0, 10, "a" * 32, None), ("chr2", 1, 20, "b" * 32, None)], ANCHOR)
+    required = spark.createDataFrame([("r", n, True) for n in ("one", "1", "none", "huh")], "resource_id string, local_name string, mandatory boolean")
+    none = spark.createDataFrame([], "resource_id string, local_name string, anchor_name string")
+    ids = spark.createDataFrame([], "local_name string, scheme string, value string")
+    found = profile.project(snap, required, "ref", anchor, none, ids)
+    told = profile.capabilities(found, snap, "ref")
+    bound = bundle.derived_bindings("ref", anchor, spark.createDataFrame([("r", "1", "md5", "a" * 32)], "resource_id string, local_name string, scheme string, value string"))
+    traced = {r["local_name"]: r for r in profile.trace(found, snap, bound, told).collect()}
+    assert traced["one"]["name_sources"] == ["sequence_catalog"] and traced["1"]["name_sources"] == ["aliases"] and traced["none"]["content_sources"] == ["content_identity"] and traced["huh"]["name_sources"] == []
+    assert traced["1"]["binding_id"] and traced["one"]["binding_id"] is None and traced["none"]["capability_id"] and traced["huh"]["capability_id"] is None
+    context = profile.context(snap, "browser", "db", profile.trace(found, snap))
+    assert [t["local_name"] for t in context["sequence_traces"]] == ["1", "huh", "none", "one"] and context["sources"][0]["acquired_at"].startswith("2025-12-31T23:00:00")
+    absent = profile.context(None, "browser", "db", profile.trace(profile.project(None, required, "ref", anchor, none, ids), None))
+    assert absent["sources"] == [] and {t["outcome"] for t in absent["sequence_traces"]} == {"unresolved"}
+    req, caps, tables = _reasoned(spark)
+    request = report.Request((report.Resource("ref", "fasta"), report.Resource("calls", "vcf")), "ref", profiles=("browser",))
+    said = report.to_text(report.Report(request, result=report.collect(tables, req, caps, bound, profiles=[context])))
+    assert "Profile browser for db" in said and "none of r: proven absent" in said and "1 of r is chr1" in said
+
+
+def test_snapshots_render_alike_in_any_order():
+    doc = _snapshot()
+    turned = doc | {k: doc[k][::-1] for k in ("sources", "sequences", "aliases")}
+    assert snapshot.render(snapshot.parse(json.dumps(doc).encode())) == snapshot.render(snapshot.parse(json.dumps(turned).encode()))
+
+
+def test_a_variant_file_by_itself(spark):
+    from anchorage.operators import refbases
+    from anchorage.plans import projection
+
+    anchor = spark.createDataFrame([("chr1", 0, 8, "a" * 32, None), ("chr2", 1, 4, "b" * 32, None)], ANCHOR)
+    bases = spark.createDataFrame([("chr1", "ACGTACGT"), ("chr2", "TTTT")], "name string, sequence string")
+    records = spark.createDataFrame([("1", 1, "A"), ("1", 2, "C"), ("chr2", 1, "A")], "sequence_name string, position long, ref string")
+    usage = spark.createDataFrame([("1", 2), ("chr2", 1)], "sequence_name string, n_records long")
+    contigs = spark.createDataFrame([("1", 8, "A" * 32), ("chr2", 4, None)], "name string, length long, md5 string")
+    bound = spark.createDataFrame([("1", "chr1")], "local_name string, anchor_name string")
+    outcomes = refbases.outcomes(refbases.check(records, bases, bound))
+    found = projection.variant_projection("calls", "ref", anchor, usage, contigs, outcomes, validated=bound)
+    states = {(r["kind"], r["sequence_name"]): r["state"] for r in found["constraints"].collect()}
+    assert states == {("presence", "1"): "satisfied", ("presence", "chr2"): "satisfied", ("length", "1"): "satisfied", ("length", "chr2"): "satisfied", ("identity", "1"): "satisfied", ("bases", None): "unsatisfied"}
+    assert found["verdict"].first()["verdict"] == "incompatible" and found["pattern"].first()["pattern"] == "isolated" and found["bindings"].first()["anchor_name"] == "chr1"
+    with pytest.raises(EvaluationError, match="binding"):
+        projection.variant_projection("calls", "ref", anchor, usage, contigs, outcomes)
+    with pytest.raises(EvaluationError, match="records"):
+        projection.variant_projection("calls", "ref", anchor, usage.selectExpr("sequence_name", "n_records + 1 as n_records"), contigs, outcomes, validated=bound)
+
+
+def test_an_annotation_by_itself(spark):
+    from anchorage.operators import bounds
+    from anchorage.plans import projection
+
+    anchor = spark.createDataFrame([("chr1", 0, 100, "a" * 32, None), ("chr2", 1, 50, "b" * 32, None)], ANCHOR)
+    rows = [(0, "1", 5, 90), (1, "chr2", 1, 50), (2, "gone", 1, 5)]
+    features = spark.createDataFrame([(k, k, n, "gene", a, b, False) for k, n, a, b in rows], "ordinal long, line_number long, sequence_name string, feature_type string, start long, end long, is_circular boolean")
+    usage = bounds.usage(features)
+    supplied = spark.createDataFrame([("1", "md5", "a" * 32, "content_derived"), ("gone", "md5", "f" * 32, "content_derived"), ("unused", "md5", "b" * 32, "content_derived")], "local_name string, scheme string, value string, provenance string")
+    bound = spark.createDataFrame([("1", "chr1")], "local_name string, anchor_name string")
+    outcomes = bounds.outcomes(bounds.check_features(features, anchor, bound))
+    regions = spark.createDataFrame([("1", "representable")], "sequence_name string, state string")
+    found = projection.annotation_projection("genes", "ref", anchor, usage, outcomes, regions=regions, supplied=supplied, validated=bound)
+    states = {(r["kind"], r["sequence_name"]): (r["state"], r["mode"]) for r in found["constraints"].collect()}
+    assert states == {("presence", "1"): ("satisfied", "verified_alias"), ("presence", "chr2"): ("satisfied", "exact"), ("presence", "gone"): ("unsatisfied", None), ("bounds", None): ("unresolved", None)}
+    assert found["capabilities"].where("kind = 'bounds'").first()["checked"] == 4
+    with pytest.raises(EvaluationError, match="binding"):
+        projection.annotation_projection("genes", "ref", anchor, usage, outcomes, supplied=supplied)
