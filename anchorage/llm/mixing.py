@@ -13,9 +13,8 @@ margin in proportion to their tokens to the power ``FLATTEN`` (less than 1
 favours small sources), none above what it has.  Any table of target shares
 can be given instead.
 
-A topic is the bucket of the most frequent long word; of words as frequent the
-least in byte order counts.  It is a stand-in for a topic model's label, taken
-from the whole text.
+Topics come from a clustering of all documents by their words
+(:mod:`anchorage.llm.topics`), or from a fitted one that is given.
 
 Cells are aggregated before the shuffle, so a source with a third of all rows
 costs no more than another.  Up to ``CELLS_AT_DRIVER`` cells are raked in
@@ -35,8 +34,6 @@ seed alone; repeated rows are drawn alike; other columns are kept by
 from __future__ import annotations
 
 import warnings
-import zlib
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -45,32 +42,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anchorage.llm.common import cut, quoted
+from anchorage.llm import topics
+from anchorage.llm.common import cut, drop_scratch, quoted
 
 MARGINS = ("source", "lang", "topic")
-TOPICS, LONG_WORD = 8, 6
 SHARE, FLATTEN, SEED = 0.75, 0.7, 11
 SWEEPS, CLOSE, TOLERATED = 200, 1e-6, 0.01
 CELLS_AT_DRIVER = 200_000
 
 
-def topic_and_tokens(text: str | None, count: Callable[[str], int] | None = None) -> tuple[int, int]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    tokens = count(text or "") if count else len(words)
-    counts = Counter(w for w in words if len(w) >= LONG_WORD)
-    if not counts:
-        return 0, tokens
-    most = max(counts.values())
-    return zlib.crc32(min(w for w, n in counts.items() if n == most)) % TOPICS, tokens
-
-
-_FEATURES = T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("n_tokens", T.LongType())])
+_FEATURES = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
 
 def _features(texts: Column, count: Callable[[str], int] | None = None) -> Column:
+    def row(text: object) -> tuple:
+        own = text if isinstance(text, str) else ""
+        words, long = topics.words_of(own)
+        return (count(own) if count else words, topics.first_topic(long), *topics.vector(long))
+
     @F.pandas_udf(_FEATURES)
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([topic_and_tokens(t if isinstance(t, str) else None, count) for t in texts], columns=["topic", "n_tokens"])
+        return pd.DataFrame([row(t) for t in texts], columns=["n_tokens", "first", "buckets", "counts"])
 
     return of(texts.cast("string"))
 
@@ -80,10 +72,10 @@ def _margin(docs: DataFrame, name: str) -> Column:
 
 
 def features(docs: DataFrame, count: Callable[[str], int] | None = None, rows: bool = False) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens``, and with ``rows`` each row itself as ``_row``."""
+    """``doc_id, source, lang, n_tokens`` and a vector of words, and with ``rows`` each row itself as ``_row``; written once."""
     own = [F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row")] if rows else []
     view = docs.select(*own, docs["doc_id"].cast("long").alias("doc_id"), _margin(docs, "source").alias("source"), _margin(docs, "lang").alias("lang"), _features(docs["text"], count).alias("f"))
-    return view.select(*(["_row"] if rows else []), "doc_id", "source", "lang", "f.topic", "f.n_tokens")
+    return cut(view.select(*(["_row"] if rows else []), "doc_id", "source", "lang", "f.*"), "features")
 
 
 def default_targets(tokens: np.ndarray, share: float = SHARE, flatten: float = FLATTEN) -> np.ndarray:
@@ -180,9 +172,13 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), doc_id.cast("long")), 11) * F.lit(2.0**-53)
 
 
-def weigh(docs: DataFrame, wanted: dict[str, dict] | None = None, seed: int = SEED, at_driver: int = CELLS_AT_DRIVER, count: Callable[[str], int] | None = None) -> DataFrame:
+def weigh(
+    docs: DataFrame, wanted: dict[str, dict] | None = None, seed: int = SEED, at_driver: int = CELLS_AT_DRIVER, count: Callable[[str], int] | None = None, fitted: topics.Topics | None = None
+) -> DataFrame:
     """Every document with its cell, its tokens, the calibrated probability and whether it is sampled."""
-    described = cut(features(docs, count), "features")
+    held = features(docs, count)
+    described = cut(topics.assign(held, fitted or topics.fit(held)), "described")
+    drop_scratch(held)
     joined = described.join(rates(described, wanted, at_driver), list(MARGINS))
     return joined.select("doc_id", *MARGINS, "n_tokens", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
@@ -199,12 +195,15 @@ def margins(weighed: DataFrame, wanted: dict[str, dict] | None = None) -> DataFr
     return spark.createDataFrame(parts, "margin string, value string, tokens long, target double, expected double")
 
 
-def sample(docs: DataFrame, wanted: dict[str, dict] | None = None, seed: int = SEED, at_driver: int = CELLS_AT_DRIVER, count: Callable[[str], int] | None = None) -> DataFrame:
+def sample(
+    docs: DataFrame, wanted: dict[str, dict] | None = None, seed: int = SEED, at_driver: int = CELLS_AT_DRIVER, count: Callable[[str], int] | None = None, fitted: topics.Topics | None = None
+) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns.
 
     Rows and features are written once, so that each text is looked at once.
     """
-    described = cut(features(docs, count, rows=True), "features")
-    found = rates(described, wanted, at_driver)
+    held = features(docs, count, rows=True)
+    described = topics.assign(held, fitted or topics.fit(held))
+    found = rates(described.drop("_row"), wanted, at_driver)
     joined = described.select("_row", "doc_id", *MARGINS).join(found, list(MARGINS))
     return joined.where(draw(F.col("doc_id"), seed) < F.col("probability")).select("_row.*")

@@ -16,7 +16,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import ODD, SCHEMA, documents, empty_documents, odd_documents
 
-from anchorage.llm import langid, merkle, mixing, queries, secrets
+from anchorage.llm import langid, merkle, mixing, queries, secrets, topics
 
 WORDS = {"en": "the of and to in is that was with for this have are".split(), "fr": "le la des est dans pour une avec sur qui que pas".split(), "de": "der die und nicht ist das ein mit für auf schön".split()}
 
@@ -410,8 +410,56 @@ def test_tokens_are_what_the_count_says(spark):
     assert {x["doc_id"]: x["n_tokens"] for x in mixing.weigh(docs, count=len).collect()} == {0: 5, 1: 0, 2: 0}
 
 
-def test_equally_frequent_words_give_the_least(spark):
-    assert mixing.topic_and_tokens("zzzzzz aaaaaa zzzzzz aaaaaa") == (zlib.crc32(b"aaaaaa") % mixing.TOPICS, 4)
+def test_equally_frequent_words_give_the_least():
+    n, counts = topics.words_of("zzzzzz aaaaaa zzzzzz AAAAAA short")
+    assert n == 5 and topics.first_topic(counts) == zlib.crc32(b"aaaaaa") % topics.TOPICS and topics.first_topic(topics.words_of("a b")[1]) == 0
+    assert topics.vector(counts) == (sorted(zlib.crc32(w) % topics.BUCKETS for w in (b"zzzzzz", b"aaaaaa")), [2, 2])
+
+
+def _topical(spark, n=240):
+    r = random.Random(18)
+    subjects = [[f"{name}word{i:02}" for i in range(40)] for name in ("sea", "law", "tax")]
+    shared = [f"common{i}" for i in range(20)]
+    texts = [" ".join(r.choice(subjects[k % 3] if r.random() < 0.7 else shared) for _ in range(60)) for k in range(n)]
+    return documents(spark, [*texts, None, "a b c"]), n
+
+
+def test_topics_are_those_of_plain_k_means(spark):
+    docs, _ = _topical(spark, 60)
+    held = mixing.features(docs)
+    got = {x["doc_id"]: x["topic"] for x in topics.assign(held, topics.fit(held)).collect()}
+    rows = {x["doc_id"]: x for x in held.collect()}
+    rarity = [round(1024 * np.log2((1 + len(rows)) / (1 + sum(b in x["buckets"] for x in rows.values())) + 1)) for b in range(topics.BUCKETS)]
+    vectors = {}
+    for d, x in rows.items():
+        weight = {b: np.log2(1 + n) * rarity[b] for b, n in zip(x["buckets"], x["counts"], strict=True)}
+        length = sum(w * w for w in weight.values()) ** 0.5
+        vectors[d] = {b: round(1024 * w / length) for b, w in weight.items()}
+    at, centres = {d: x["first"] for d, x in rows.items()}, [{} for _ in range(topics.TOPICS)]
+    for _ in range(topics.ROUNDS):
+        for k in range(topics.TOPICS):
+            total = {}
+            for d, v in vectors.items():
+                if at[d] == k:
+                    for b, w in v.items():
+                        total[b] = total.get(b, 0) + w
+            length = sum(w * w for w in total.values()) ** 0.5
+            centres[k] = {b: w / length for b, w in total.items()} if length else centres[k]
+        for d, v in vectors.items():
+            near = [sum(c.get(b, 0) * w for b, w in v.items()) for c in centres]
+            at[d] = near.index(max(near)) if v else 0
+    assert sum(got[d] == at[d] for d in at) >= len(at) - 1  # sums in another order may tie
+
+
+def test_topics_tell_subjects_apart_however_rows_lie(spark):
+    docs, n = _topical(spark)
+    first = {x["doc_id"]: x["topic"] for x in mixing.weigh(docs).collect()}
+    other = {x["doc_id"]: x["topic"] for x in mixing.weigh(docs.repartition(7)).collect()}
+    assert first == other and first[n] == first[n + 1] == 0
+    for topic in set(first.values()):
+        subjects = [d % 3 for d in range(n) if first[d] == topic]
+        if len(subjects) > 5:
+            assert max(map(subjects.count, range(3))) >= 0.9 * len(subjects)
 
 
 def test_pipeline_stages(spark, tmp_path):
