@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Words everywhere in this subpackage: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a written step sends to a Python worker at a time.
+BATCH = 1000
 
 
 def quoted(column: str) -> str:
@@ -64,10 +66,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the jobs started here, send rows to Python workers ``BATCH`` at a time: whole texts are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ranges_for(df: DataFrame, each: int = 32 << 20) -> int:
     """Into how many ranges to deal ``df``: as many as there are shuffle partitions, and more where its input, by Spark's estimate, has over ``each`` bytes a range."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
