@@ -71,14 +71,6 @@ def is_gzip(content: Column) -> Column:
     return F.coalesce(F.hex(F.substring(content, 1, 2)) == "1F8B", F.lit(False))
 
 
-def file_digest(content: Column) -> Column:
-    return F.sha2(content, 256)
-
-
-def utc_iso(timestamp: Column) -> Column:
-    return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-
-
 def attribute(attributes: Column, key: str) -> Column:
     """All values of a ``key=value`` attribute in a semicolon list."""
     fields = F.transform(F.split(attributes, ";"), lambda x: F.trim(x))

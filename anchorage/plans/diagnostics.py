@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from anchorage.errors import InputError
 from anchorage.operators import collections
 from anchorage.sources import fasta, headers
+from anchorage.sources.identity import FromBases, IdentityProvider
 from anchorage.staging import written
 
 TIER = "tier_b_direct_structural"
@@ -23,8 +24,8 @@ def _sorted(df: DataFrame, order: dict[str, int]) -> list[dict]:
     return sorted(rows, key=lambda r: (_KINDS.index(r["kind"]), order.get(r["name"] or "", 1 << 62), r["name"] or ""))
 
 
-def fasta_identity(spark: SparkSession, path: str) -> dict:
-    rows = written(fasta.file_identities(spark, path), "identities")
+def fasta_identity(spark: SparkSession, path: str, provider: IdentityProvider | None = None) -> dict:
+    rows = written((provider or FromBases()).identities(spark, path), "identities")
     top = fasta.collection(rows).first()
     return {
         "type": "sequence_collection_snapshot", "resource_id": path, "completeness": top["completeness"], "collection_digest": top["collection"],
@@ -40,8 +41,8 @@ def index_integrity(spark: SparkSession, path: str, index: str) -> dict:
     return {"type": "fasta_index_integrity", "fasta_resource_id": path, "index_resource_id": index, "verified": not found, "evidence_strength": TIER, "evidence_polarity": "contradicts" if found else "supports", "differences": found}
 
 
-def dictionary_integrity(spark: SparkSession, path: str, dictionary: str) -> dict:
-    expected = fasta.expected_dictionary(written(fasta.file_identities(spark, path), "identities"))
+def dictionary_integrity(spark: SparkSession, path: str, dictionary: str, provider: IdentityProvider | None = None) -> dict:
+    expected = fasta.expected_dictionary(written((provider or FromBases()).identities(spark, path), "identities"))
     observed = headers.read_dictionary(spark, dictionary)
     order = {r["name"]: r["ordinal"] for r in expected.select("name", "ordinal").collect()}
     found = _sorted(collections.dictionary_differences(expected, observed), order)

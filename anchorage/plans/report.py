@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 from pathlib import PurePath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.plans.model import RULES
+from anchorage.sources.lines import opened
 
 FORMAT, SCHEMA_VERSION, DRAFT_REVISION, TOOL_VERSION = "anchorage.compatibility_report", "3.0.0", 5, "0.1.0"
 RESOURCE_KINDS = ("fasta", "fasta_index", "sequence_dictionary", "vcf", "bcf", "bed", "bam", "cram", "gtf", "gff3")
@@ -47,6 +49,16 @@ class Resource:
             raise ValueError(f"unknown resource kind {self.kind!r}")
 
 
+def described(spark: SparkSession, ident: str, kind: str, path: str, display_name: str | None = None) -> Resource:
+    """A resource with the size and SHA-256 of its file, read in blocks."""
+    digest, size = hashlib.sha256(), 0
+    with opened(spark, path, 1 << 20) as file:
+        while block := file.read(1 << 20):
+            digest.update(block)
+            size += len(block)
+    return Resource(ident, kind, path, display_name, size, ("sha256", digest.hexdigest()))
+
+
 @dataclass(frozen=True)
 class Request:
     resources: tuple[Resource, ...]

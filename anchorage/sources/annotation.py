@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from anchorage.errors import UnsupportedResource
 from anchorage.functions.digests import normalized
+from anchorage.operators.bounds import feature_usage
 from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, under_headers, with_ordinal
 
 KINDS = ("gtf", "gff3")
@@ -182,3 +183,12 @@ def embedded(lines: DataFrame) -> DataFrame:
     rows = rows.join(names, ["path", "sequence_name"], "left")
     error = F.coalesce(F.col("bad.wrong"), first_of((F.col("sequence_name") == "", "an embedded sequence has no name"), (F.col("bases") == "", "an embedded sequence is empty"), (F.col("header_line") > F.col("first"), "an embedded sequence appears twice")))
     return rows.select("path", F.coalesce("bad.line_number", "header_line").alias("line_number"), "sequence_name", F.length("bases").cast("long").alias("length"), F.md5(F.col("bases").cast("binary")).alias("md5"), error.alias("error"))
+
+
+def context(spark: SparkSession, path: str, kind: str) -> dict[str, DataFrame]:
+    """All that a file says besides its single features: ``usage, regions, versions, claims, embedded``; the first broken line of any raises."""
+    lines = numbered_lines(spark, path)
+    found = {"usage": feature_usage(features(spark, path, kind)), "claims": claims(lines, kind)}
+    if kind == "gff3":
+        found |= {"regions": fail_on_error(parse_regions(lines)), "versions": fail_on_error(versions(lines)), "embedded": fail_on_error(embedded(lines))}
+    return found

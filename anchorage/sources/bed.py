@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.errors import UnsupportedResource
-from anchorage.operators.bounds import block_error
+from anchorage.operators.bounds import block_error, interval_usage
 from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, with_ordinal
 
 LAYOUTS = {f"bed{n}": n for n in (3, 4, 5, 6, 7, 8, 9, 12)}
@@ -88,3 +88,8 @@ def parse(lines: DataFrame, layout: str) -> DataFrame:
 def read(spark: SparkSession, path: str, layout: str) -> DataFrame:
     """Features in file order with an ``ordinal``; the first broken line raises."""
     return with_ordinal(fail_on_error(parse(numbered_lines(spark, path), layout)))
+
+
+def context(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """The use of each sequence by a file of a declared layout, with that layout."""
+    return interval_usage(read(spark, path, layout)).withColumn("layout", F.lit(layout))

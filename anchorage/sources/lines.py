@@ -49,8 +49,8 @@ class _Stream(io.RawIOBase):
 
 
 @contextlib.contextmanager
-def opened(spark: SparkSession, path: str, block: int = 1 << 16) -> Iterator[io.BufferedReader]:
-    """A file of any store that Spark reads, on the driver, of which no more is read than is asked for, in blocks."""
+def opened(spark: SparkSession, path: str, block: int = 1 << 16, start: int = 0) -> Iterator[io.BufferedReader]:
+    """A file of any store that Spark reads, on the driver, from byte ``start``, of which no more is read than is asked for, in blocks."""
     jvm = spark.sparkContext._jvm
     try:
         file = jvm.org.apache.hadoop.fs.Path(path)
@@ -58,6 +58,8 @@ def opened(spark: SparkSession, path: str, block: int = 1 << 16) -> Iterator[io.
     except Exception as error:
         raise Unreadable("cannot read file", path) from error
     try:
+        if start:
+            stream.seek(start)
         yield io.BufferedReader(_Stream(stream), block)
     finally:
         stream.close()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.errors import ParseError, UnsupportedResource
+from anchorage.operators.bounds import usage
 from anchorage.sources.lines import fail_on_error, first_of, numbered_lines, opened, placed_lines, with_ordinal
 
 CONTIGS = "ordinal long, name string, length long, md5 string, assembly string, url string"
@@ -208,3 +209,8 @@ def _bcf_records(spark: SparkSession, path: str) -> DataFrame:
 
     packed = placed_lines(spark, path).select("line_number", "bytes", F.col("value").cast("binary").alias("value"))
     return packed.repartition(1).sortWithinPartitions("line_number").mapInArrow(run, "ordinal long, sequence_name string, position long, ref string")
+
+
+def context(spark: SparkSession, path: str, kind: str = "vcf") -> dict:
+    """What the header declares, and the use of each sequence by the records: ``usage`` with ``sequence_name, n_records, first_ordinal``."""
+    return header(spark, path, kind) | {"usage": usage(records(spark, path, kind))}

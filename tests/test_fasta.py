@@ -185,3 +185,33 @@ def test_headers_of_files_over_two_gigabytes(spark, tmp_path):
         out.write(vcf)
         out.truncate(5 << 29)
     variants._refuse_bcf(spark, str(tmp_path / "big.vcf.gz"))
+
+
+def test_bases_at_places(spark, put):
+    import random
+
+    from anchorage.errors import FetchError
+    from anchorage.sources.identity import BaseReader
+
+    r = random.Random(1)
+    sequences = {f"s{k}": "".join(r.choice("ACGTn") for _ in range(r.randint(1, 400))) for k in range(6)}
+    text = "".join(f">{n} x\r\n" + "".join(b[i : i + 37] + "\r\n" for i in range(0, len(b), 37)) for n, b in sequences.items())
+    reader = BaseReader(spark, put("r.fa", text))
+    for name, bases in sequences.items():
+        assert reader.length(name) == len(bases) and reader.fetch(name, 0, len(bases)) == bases
+        for _ in range(6):
+            a, b = sorted(r.randint(0, len(bases)) for _ in "ab")
+            assert reader.fetch(name, a, b) == bases[a:b]
+    for name, a, b in (("s0", -1, 2), ("s0", 0, 401), ("s0", 3, 2), ("no", 0, 1)):
+        with pytest.raises(FetchError):
+            reader.fetch(name, a, b)
+
+
+def test_another_provider_of_identities(spark, put):
+    class Fixed:
+        def identities(self, spark, path):
+            return spark.createDataFrame([(0, "chrX", 8, "0" * 32, "SQ." + "A" * 32)], "ordinal long, name string, length long, md5 string, refget string")
+
+    path = put("base.fa", BASE)
+    assert [s["md5"] for s in diagnostics.fasta_identity(spark, path, Fixed())["sequences"]] == ["0" * 32]
+    assert len(diagnostics.fasta_identity(spark, path)["sequences"]) == 3

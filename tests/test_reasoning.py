@@ -179,6 +179,17 @@ def test_bundle_report(spark):
     assert report.broken_references(tables, req.where("kind <> 'length'"), caps).count() == 1
 
 
+def test_resources_are_described_by_their_bytes(spark, tmp_path):
+    import hashlib
+
+    path = tmp_path / "x.vcf"
+    path.write_bytes(b"abc" * 700_000)
+    found = report.described(spark, "calls", "vcf", str(path))
+    assert found.byte_size == 2_100_000 and found.digest == ("sha256", hashlib.sha256(path.read_bytes()).hexdigest())
+    doc = report.payload(report.Report(report.Request((report.Resource("ref", "fasta"), found), "ref"), "invalid_input", [{"kind": "k", "message": "m"}]))
+    assert doc["request"]["resources"][1]["artifact"]["byte_size"] == 2_100_000
+
+
 def test_report_rules():
     request = report.Request((report.Resource("ref", "fasta"),), "ref")
     issue = {"kind": "invalid_input", "message": "x"}

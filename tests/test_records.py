@@ -218,3 +218,15 @@ def test_arriving_files(spark, tmp_path, anchor):
 def test_unknown_scope_names(spark, anchor):
     picked = spark.createDataFrame([("chr1",), ("chr9",)], "name string")
     assert [r["name"] for r in resolve.unknown_scope_names(anchor, picked).collect()] == ["chr9"]
+
+
+def test_contexts_of_whole_files(spark, tmp_path):
+    (tmp_path / "c.vcf").write_text(VCF)
+    found = variants.context(spark, str(tmp_path / "c.vcf"))
+    assert {(r["sequence_name"], r["n_records"], r["first_ordinal"]) for r in found["usage"].collect()} == {("chr1", 4, 0), ("chrUn", 1, 4), ("chr2", 1, 5)} and found["file_format"] == "VCFv4.3"
+    (tmp_path / "c.bed").write_text("chr1\t1\t5\nchr1\t3\t3\n")
+    row = bed.context(spark, str(tmp_path / "c.bed"), "bed3").first()
+    assert (row["sequence_name"], row["n_records"], row["n_empty"], row["layout"]) == ("chr1", 2, 1, "bed3")
+    (tmp_path / "c.gff3").write_text("##gff-version 3\n##sequence-region chr1 1 9\n#!genome-build B\nchr1\tx\tgene\t1\t5\t.\t.\t.\tID=a\n##FASTA\n>chr1\nACGTACGTA\n")
+    found = annotation.context(spark, str(tmp_path / "c.gff3"), "gff3")
+    assert found["usage"].first()["n_records"] == 1 and found["regions"].first()["end"] == 9 and found["embedded"].first()["length"] == 9 and found["claims"].first()["value"] == "B" and found["versions"].first()["version"] == "3"
