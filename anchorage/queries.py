@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.functions.digests import refget_id, sequence_md5
@@ -147,6 +147,21 @@ def derived_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.derive_bindings(_local(spark, sf_dir), _anchor(spark, sf_dir)).select("local_name", "anchor_name", "method")
 
 
+@query(
+    _STATES + "SELECT local_name AS sequence_name, CASE WHEN state = 'proven_absent' THEN 'unsatisfied' WHEN state = 'matched' OR local_name LIKE 'doc%' THEN 'satisfied' ELSE 'unresolved' END AS state, "
+    "CASE WHEN state = 'matched' THEN CASE WHEN name <> local_name THEN 'verified_alias' ELSE 'exact' END WHEN state = 'unresolved' AND local_name LIKE 'doc%' THEN 'exact' END AS mode FROM s"
+)
+def bundle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole bundle whose content identities bind names to the anchor or prove them absent."""
+    from anchorage.plans import bundle
+
+    local = written(_local(spark, sf_dir).withColumn("resource_id", F.lit("peer")).withColumn("provenance", F.lit("content_derived")), "identities")
+    names = local.select("local_name").distinct()
+    requirements = names.select(F.concat(F.lit("need "), "local_name").alias("requirement_id"), F.lit("peer").alias("resource_id"), F.lit("presence").alias("kind"), F.lit("mandatory").alias("level"), F.col("local_name").alias("sequence_name"))
+    anchor = written(_anchor(spark, sf_dir).drop("sequence"), "anchor")
+    return bundle.reason_bundle("documents", anchor, shaped(requirements, REQUIREMENT), local)["constraints"].select("sequence_name", "state", "mode")
+
+
 # Dictionaries and indexes.
 _DICTS = (
     "WITH e AS (SELECT 'part' || p_partkey AS name, p_partkey AS ordinal, p_size::BIGINT AS length, md5(p_name) AS md5 FROM part), "
@@ -632,6 +647,31 @@ def interval_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("line_number", "error", F.coalesce(F.when(~broken, F.col("start").cast("long")), F.lit(-1)).alias("start"))
 
 
+@query(
+    "SELECT o_orderkey AS line_number, CASE o_orderkey % 14 WHEN 1 THEN 'name must have 1 to 255 characters' WHEN 2 THEN 'score exceeds 1000' WHEN 3 THEN 'score is not an unsigned integer' WHEN 4 THEN 'strand must be +, - or .' "
+    "WHEN 5 THEN 'thickStart lies outside the feature' WHEN 6 THEN 'thickEnd lies before thickStart or outside the feature' WHEN 7 THEN 'itemRgb must be 0 or three integers up to 255' WHEN 8 THEN 'blockCount is not an unsigned integer' "
+    "WHEN 9 THEN 'blockSizes is not a list of integers' WHEN 10 THEN 'blockStarts is not a list of integers' WHEN 11 THEN 'block lists and block count differ in length' WHEN 12 THEN 'the first block must start at 0' "
+    "WHEN 13 THEN 'a block reaches beyond the interval' END AS error, o_custkey + 1 AS start FROM orders"
+)
+def interval_parse_twelve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import bed
+
+    p, c = F.col("o_orderkey") % 14, F.col("o_custkey") + 1
+
+    def field(usual: str, *odd: tuple[int, str]) -> Column:
+        value = F.lit(usual)
+        for k, text in odd:
+            value = F.when(p == k, text).otherwise(value)
+        return value
+
+    line = F.concat_ws(
+        "\t", F.lit("chr1"), c.cast("string"), (c + 100).cast("string"), field("n", (1, "")), field("0", (2, "1001"), (3, "x")), field("+", (4, "x")), (c - F.when(p == 5, 1).otherwise(0)).cast("string"), (c + 100 + F.when(p == 6, 1).otherwise(0)).cast("string"),
+        field("255,0,9", (7, "1,2")), field("2", (8, "x"), (11, "3")), field("10,20", (9, "a"), (13, "10,30")), field("0,80,", (10, "0,x"), (12, "1,80")),
+    )
+    lines = _table(spark, sf_dir, "orders").select(F.lit("lines").alias("path"), F.col("o_orderkey").alias("line_number"), line.alias("value"))
+    return bed.parse(lines, "bed12").select("line_number", "error", F.col("start").cast("long").alias("start"))
+
+
 @query(
     "WITH l AS (SELECT o_orderkey AS line_number, o_orderkey % 12 AS p, o_custkey AS c FROM orders) SELECT line_number, CASE p WHEN 1 THEN 'a record has at least five tab-separated fields' WHEN 2 THEN 'POS is not a non-negative integer' WHEN 3 THEN 'REF must be bases' END AS error, "
     "CASE WHEN p NOT IN (1, 2) THEN c ELSE -1 END AS position FROM l WHERE p <> 0"
