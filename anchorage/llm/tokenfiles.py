@@ -31,6 +31,7 @@ table gives no file and no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -41,13 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import WORD, ranges_for, releasing, scratch_path, vocabulary_path
+from anchorage.llm.common import ranges_for, releasing, vocabulary_path
+from anchorage.staging import scratch_path
 
 LENGTH, ROWS = 1024, 256
 #: Documents in a batch of an index.
 INDEX_ROWS = 10_000
 END_ID = 1
-WORDS_KEPT = 700_000
+#: Words, and parts of words, that a worker remembers from one task to the next.
+WORDS_KEPT = 1_500_000
 LONGEST_KEPT_WORD = 64
 
 
@@ -65,7 +68,7 @@ _BYTE_LETTERS = _byte_letters()
 
 
 class WordIds(dict):
-    """A word and the bytes of its ids, little-endian, of numpy type ``kind``.
+    """A word in UTF-8 and the bytes of its ids, little-endian, of numpy type ``kind``.
 
     A word goes through the library's normaliser, pre-tokenizer and model one
     after the other, so that parts that words share are encoded once.  For
@@ -77,7 +80,6 @@ class WordIds(dict):
         super().__init__()
         self._library = _library(file)
         self._model, self._normal, self._split = self._library.model, self._library.normalizer, self._library.pre_tokenizer
-        self._words = re.compile(WORD).findall
         self._code = "H" if kind == "<u2" else "I"
         self._parts: dict[str, bytes] = {}
         tokens = self._library.get_added_tokens_decoder() if added else {}
@@ -99,7 +101,8 @@ class WordIds(dict):
                 self._parts[part] = data
         return data
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, data: bytes) -> bytes:
+        word, key = data.decode("utf-8", "surrogatepass"), data
         common = _COMMON(word)
         if common:
             letters, tail = common.groups()
@@ -112,17 +115,27 @@ class WordIds(dict):
         if len(word) <= LONGEST_KEPT_WORD:
             if len(self) >= WORDS_KEPT:
                 self.clear()
-            self[word] = data
+            self[key] = data
         return data
 
+    def _of(self, text: str) -> bytes:
+        # Splitting bytes splits at ASCII white space alone.
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+
     def ids(self, text: str) -> bytes:
         if not self._plain:
             ids = self._library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}{self._code}", *ids)
         for token in self._added:
             if token in text:
-                return b"".join(self._added[part] if k % 2 else b"".join(map(self.__getitem__, self._words(part))) for k, part in enumerate(self._cuts(text)))
-        return b"".join(map(self.__getitem__, self._words(text)))
+                return b"".join(self._added[part] if k % 2 else self._of(part) for k, part in enumerate(self._cuts(text)))
+        return self._of(text)
+
+
+@functools.lru_cache(maxsize=1)
+def _words(file: str, kind: str, added: bool) -> WordIds:
+    """One per worker: rare words make up much of a text's work, and tasks share most of them."""
+    return WordIds(file, kind, added)
 
 
 def _library(file: str):
@@ -250,7 +263,7 @@ def write(docs: DataFrame, folder: str, file: str = "word_bpe_49k.json", end_id:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, press = WordIds(file, kind, added), zstandard.ZstdCompressor(level=1)
+        words, press = _words(file, kind, added), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             packed, marks = [], []
