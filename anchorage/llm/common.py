@@ -1,23 +1,19 @@
-"""Shared helpers: reading tables, the shared scratch folder, cutting lineage."""
+"""Shared helpers: reading tables, cutting lineage, deleting what was written."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import importlib
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words everywhere in this subpackage: runs without ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+from anchorage.staging import written
+
 #: Rows that a written step sends to a Python worker at a time.
 BATCH = 1000
 
@@ -36,39 +32,14 @@ def vocabulary_path(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A URI that the driver and all executors see.
-
-    It is the folder the cluster names in ``spark.checkpoint.dir``.  Where that
-    is unset (tests, a single machine) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        holder = tempfile.TemporaryDirectory(prefix="anchorage-")
-        atexit.register(holder.cleanup)
-        found = Path(holder.name).as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, below one folder per application, which may be deleted when that has ended."""
-    return f"{shared_dir(spark)}/anchorage-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return it read back.
 
     Lineage ends there, so losing an executor later costs a reread and not a
     recomputation, and every later use sees the same rows.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    with _small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _small_batches(df.sparkSession):
+        return written(df, name)
 
 
 @contextlib.contextmanager
