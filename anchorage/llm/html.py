@@ -54,11 +54,13 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 LIMITS = frozenset("ul ol dl table div section article header main body html blockquote td th nav aside form".split())
 # Words of classes and ids.
 NOISE = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright
-    disqus disclaimer dropdown footer header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination paywall popup
-    promo promoted promotion recommended related replies reply respond share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe taboola toolbar tags
+    """ad ads adv advert adverts advertisement advertising adsense adslot alert alerts announcement banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright
+    disqus disclaimer dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination paywall popup
+    promo promoted promotion recommended related replies reply respond share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe taboola tagcloud toolbar tags
     topbar widget""".split()
 )
+#: Class names by which a page hides text from readers.
+HIDDEN = frozenset("d-none hidden screen-reader-text sr-only visually-hidden".split())
 KEEP = frozenset("article body content entry main post story text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
@@ -96,6 +98,8 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
+            if name == "class" and not HIDDEN.isdisjoint(value.split()):
+                return True
             if tag in ("article", "main"):
                 if any(_COMMENT(token) for token in value.split()):
                     return True

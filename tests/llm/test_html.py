@@ -97,6 +97,11 @@ def test_class_words_in_the_names_of_paragraphs():
         assert html.main_text(f'<article><p>{LONG}</p><p class="{name}">{kept}</p></article>') == LONG.strip()
 
 
+def test_hidden_parts_and_notices():
+    for part in ('<span class="sr-only">Hidden words here</span>', '<div class="alert alert-info">We, are, closed, today, and, tomorrow, too</div>', '<div class="gdpr box"><p>Your, data, is, yours</p></div>', '<ul class="pagination"><li>1<li>2</ul>'):
+        assert html.main_text(f"<article><p>{LONG}</p>{part}<p>End</p></article>") == f"{LONG.strip()} End"
+
+
 def test_end_tags_take_linear_time():
     for made in ("<span>" * 16_000 + "</b>" * 16_000, "<b>" * 16_000 + "<div>" + "<span>" * 16_000 + "</b>" * 16_000, "<span>" * 16_000 + "<p>x" * 16_000, "<div>" * 16_000 + "</section>" * 16_000):
         start = time.monotonic()
