@@ -200,9 +200,10 @@ def _prints(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     high.append(h)
                     low.append(l)
                     found, needed = plan.signatures(items) if len(items) else (items, 1)
+                    made = len(found)
                     found = np.unique(found & _U((1 << SIGNATURE_BITS) - 1))
                     signatures.append(found)
-                    least.append(needed)
+                    least.append(max(1, needed - (made - len(found))))  # two that are equal by chance count once
                     offsets.append(offsets[-1] + len(found))
                     fine.append(parity_map(items))
                     places.append(places[-1] + len(fine[-1]))
