@@ -702,6 +702,47 @@ def annotation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("line_number", "error", F.when(~F.coalesce(F.col("error").startswith("a feature"), F.lit(False)), F.col("sequence_name")).alias("sequence_name"), "is_circular")
 
 
+def _gff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each customer a region, a claim and a remark; behind them, as embedded sequences, the customers' bases."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("c"), k)
+    end = (100 + k - F.when(k % 5 == 0, 200 + k).otherwise(0)).cast("string")
+    above = [F.concat_ws(" ", F.lit("##sequence-region"), name, F.lit("1"), end), F.concat(F.lit("#!genome-build B"), k), F.concat(F.lit("##species  S"), k)]
+    bases = F.repeat(F.lit("acGT-n"), (1 + k % 7).cast("int"))
+    below = [F.concat(F.lit("> "), F.when(k % 9 == 0, "c9").otherwise(name)), bases, F.when(k % 11 == 0, F.lit(";x")).otherwise(F.lit("AC"))]
+    lines = [F.struct((k * 4 + i).alias("line_number"), v.alias("value")) for i, v in enumerate(above)] + [F.struct((10**9 + 1 + k * 4 + i).alias("line_number"), v.alias("value")) for i, v in enumerate(below)]
+    rows = _table(spark, sf_dir, "customer").select(F.explode(F.array(*lines)).alias("x")).select("x.*")
+    mark = spark.createDataFrame([(10**9, "##FASTA")], "line_number long, value string")
+    return rows.unionByName(mark).select(F.lit("lines").alias("path"), "line_number", "value")
+
+
+@query(
+    "SELECT c_custkey * 4 AS line_number, 'c' || c_custkey AS sequence_name, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE 100 + c_custkey END::BIGINT AS \"end\", CASE WHEN c_custkey % 5 = 0 THEN 'a sequence-region''s bounds are positive integers' END AS error FROM customer"
+)
+def annotation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import annotation
+
+    return annotation.parse_regions(_gff_lines(spark, sf_dir)).select("line_number", "sequence_name", F.coalesce(F.col("end").cast("long"), F.lit(-1)).alias("end"), "error")
+
+
+@query("SELECT c_custkey * 4 + 1 AS line_number, '#!genome-build' AS name, 'B' || c_custkey AS value FROM customer UNION ALL SELECT c_custkey * 4 + 2, '##species', 'S' || c_custkey FROM customer")
+def annotation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import annotation
+
+    return annotation.claims(_gff_lines(spark, sf_dir), "gff3").select("line_number", "name", "value")
+
+
+@query(
+    "WITH s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN 'c9' ELSE 'c' || c_custkey END AS name, repeat('ACGTN', (1 + c_custkey % 7)::INTEGER) || CASE WHEN c_custkey % 11 = 0 THEN 'X' ELSE 'AC' END AS bases FROM customer), "
+    "f AS (SELECT name, min(k) AS first FROM s GROUP BY name) SELECT CASE WHEN k % 11 = 0 THEN 1000000003 + k * 4 ELSE 1000000001 + k * 4 END AS line_number, name AS sequence_name, length(bases)::BIGINT AS length, md5(bases) AS md5, "
+    "CASE WHEN k % 11 = 0 THEN 'a comment in an embedded sequence' WHEN k > first THEN 'an embedded sequence appears twice' END AS error FROM s JOIN f USING (name)"
+)
+def annotation_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorage.sources import annotation
+
+    return annotation.embedded(_gff_lines(spark, sf_dir)).select("line_number", "sequence_name", "length", "md5", "error")
+
+
 @query(
     "WITH l AS (SELECT c_custkey AS line_number, c_custkey % 10 AS p, c_custkey AS c FROM customer) SELECT line_number, CASE p WHEN 1 THEN 'an index line has five tab-separated fields' WHEN 2 THEN 'fields 2 to 5 are integers' WHEN 3 THEN 'more bases per line than bases' WHEN 4 THEN 'fewer bytes than bases per line' "
     "WHEN 5 THEN 'several lines need line ends' WHEN 6 THEN 'the sequence name holds white space' WHEN 7 THEN 'a field is negative' END AS error FROM l"
