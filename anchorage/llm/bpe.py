@@ -4,10 +4,14 @@ The merge ranks are compiled into a trie of token bytes and a test of which
 two tokens may stand next to each other.  The transducer reads bytes.  Its
 state holds every start from which a longer token could still come: the last
 token before that start and the trie node of the bytes since it.  Each byte
-gives the last token of the prefix that it ends; once a single start is open,
-all that precedes it is settled and emitted, so output lags the input by less
-than the longest token.  States and transitions are built the first time they
-are met and kept in a bounded table, as a lazy DFA does.
+gives the last token of the prefix that it ends.  Followed back from the open
+starts, these tokens meet at some place; whatever comes, the encoding runs
+through it, so all that precedes is settled and is emitted.  No start is open
+for longer than the longest token, and back-traces meet soon before: on runs of
+equal or repeated characters too, output lags the input by less than three times
+the longest token and ``SETTLE`` bytes (tests hold this bound).  States and
+transitions are built the first time they are met and kept in a bounded table,
+as a lazy DFA does.
 
 Why that is right: let ``last(i)`` be the last token of the encoding of the
 first ``i`` bytes.  Byte-pair merging is prefix consistent, so that encoding
@@ -23,6 +27,7 @@ are encoded row by row; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -32,14 +37,19 @@ from pyspark.sql import DataFrame
 
 from anchorage.llm.common import releasing, vocabulary_path
 
-#: Entries kept for whole pieces, and states kept in the lazy table.
-PIECES_KEPT, STATES_KEPT = 300_000, 200_000
+#: Entries kept for whole pieces, states kept in the lazy table, and pairs of tokens known to stand together or not.
+PIECES_KEPT, STATES_KEPT, FITS_KEPT = 300_000, 120_000, 400_000
+#: How many times as many a worker keeps that goes from task to task with the same tables.
+WARM = 3
 #: Longer pieces are encoded each time, so that one odd text can't fill memory.
 LONGEST_KEPT_PIECE = 48
-#: Bytes of a piece from which on settled tokens are emitted at once and not at its end.
+#: After so many bytes of a piece, settled tokens are looked for and emitted.
 SETTLE = 64
 #: Tokens handed to the decoder at a time.
 DECODE_STEP = 8192
+#: Room for the number of a token or trie node within a larger number.
+_BITS = 24
+_MASK = (1 << _BITS) - 1
 
 
 #: Latin letters, and texts of these, printing ASCII characters, blanks and line ends alone.
@@ -68,34 +78,42 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Transducer:
-    """Bytes of one piece in, token ids out."""
+    """Bytes of one piece in, token ids out.  ``room``: how many times the usual entries to keep."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], room: int = 1):
+        self.ranks, self.room = ranks, room
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.length_of = {i: len(b) for b, i in ranks.items()}
-        self._child: list[dict[int, int]] = [{}]
+        #: The trie: by node and byte in one number the next node; by node its token, depth and whether it has more below it.
+        self._child: dict[int, int] = {}
         self._token: list[int] = [-1]
+        self._depth: list[int] = [0]
+        self._open: list[bool] = [True]
+        #: Most bytes of a piece that were read and not yet emitted, so far.
+        self.most_held = 0
         for token, number in ranks.items():
             node = 0
             for byte in token:
-                after = self._child[node].get(byte)
+                after = self._child.get(node << 8 | byte)
                 if after is None:
-                    after = self._child[node][byte] = len(self._child)
-                    self._child.append({})
+                    after = self._child[node << 8 | byte] = len(self._token)
                     self._token.append(-1)
+                    self._depth.append(self._depth[node] + 1)
+                    self._open.append(False)
+                    self._open[node] = True
                 node = after
             self._token[node] = number
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, 0),)
+        # Each open start in one number: the last token before it plus one, and the trie node since it.
+        start = (0,)
         self._states = [start]
         self._number = {start: 0}
-        # By state and byte in one key: the next state, moved to make room for a byte, and the token that ends there.
-        self._next: dict[int, tuple[int, int]] = {}
+        # By state and byte in one number: the next state, moved to make room for a byte, and the token that ends there in another.
+        self._next: dict[int, int] = {}
 
     def _made_of(self, token: int) -> tuple[int, int] | None:
         """The two tokens of the last merge that makes this one; itself twice for a byte; None if merging never makes it."""
@@ -120,10 +138,10 @@ class Transducer:
             return False
         if left < 0:
             return True
-        known = self._fits.get((left, right))
+        known = self._fits.get(left + 1 << _BITS | right)
         if known is not None:
             return known
-        if len(self._fits) > 2 * STATES_KEPT:
+        if len(self._fits) > FITS_KEPT * self.room:
             self._fits.clear()
         a, b, bound = left, right, len(self.ranks) + 1
         fits = True
@@ -140,54 +158,72 @@ class Transducer:
             else:
                 # Of equal ranks the leftmost pair is joined first, so one across the boundary wins.
                 bound, b = b + 1, self._made_of(b)[0]
-        self._fits[left, right] = fits
+        self._fits[left + 1 << _BITS | right] = fits
         return fits
 
-    def _step(self, base: int, byte: int) -> tuple[int, int]:
+    def _step(self, base: int, byte: int) -> int:
         """Build the transition of a state on ``byte``."""
         going, ended = [], -1
-        child, tokens = self._child, self._token
-        for last, node in self._states[base >> 8]:
-            after = child[node].get(byte)
+        child, tokens, open_, fits = self._child.get, self._token, self._open, self._fits.get
+        for start in self._states[base >> 8]:
+            after = child((start & _MASK) << 8 | byte)
             if after is not None:
+                before = start & ~_MASK
                 token = tokens[after]
-                if ended < 0 <= token and self._may_follow(last, token):
-                    ended = token
-                if child[after]:
-                    going.append((last, after))
+                if ended < 0 <= token:
+                    fit = fits(before | token)
+                    if self._may_follow((start >> _BITS) - 1, token) if fit is None else fit:
+                        ended = token
+                if open_[after]:
+                    going.append(before | after)
         if ended < 0:
             raise ValueError(f"no token for byte {byte}")
-        going.append((ended, 0))
+        going.append(ended + 1 << _BITS)
         made = tuple(going)
         number = self._number.get(made)
         if number is None:
             number = self._number[made] = len(self._states)
             self._states.append(made)
-        found = self._next[base | byte] = (number << 8, ended)
+        found = self._next[base | byte] = number << _BITS + 8 | ended
         return found
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > STATES_KEPT:
+        if len(self._states) > STATES_KEPT * self.room:
             self._reset()
         base, ids, ends = 0, [], []
-        known, states, add = self._next.get, self._states, ends.append
-        for byte in piece:
-            base, token = known(base | byte) or self._step(base, byte)
-            add(token)
-            if len(ends) >= SETTLE and len(states[base >> 8]) == 1:
-                self._emit(ends, ids)
-                ends.clear()
-        self._emit(ends, ids)
+        known, step, add = self._next.get, self._step, ends.append
+        for at in range(0, len(piece), SETTLE):
+            for byte in piece[at : at + SETTLE]:
+                found = known(base | byte)
+                if found is None:
+                    found = step(base, byte)
+                base = found >> _BITS
+                add(found)
+            if at + SETTLE < len(piece):
+                self._settle(self._states[base >> 8], ends, ids)
+        self._emit(ends, len(ends), ids)
         return ids
 
-    def _emit(self, ends: list[int], ids: list[int]) -> None:
-        """Follow the last tokens back to where all agreed."""
-        at, found, length_of = len(ends), [], self.length_of
+    def _settle(self, state: tuple[int, ...], ends: list[int], ids: list[int]) -> None:
+        """Emit what precedes the place where the back-traces of all open starts meet."""
+        self.most_held = max(self.most_held, len(ends))
+        places = {len(ends) - self._depth[start & _MASK] for start in state}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.length_of[ends[last - 1] & _MASK])
+        at = places.pop()
+        self._emit(ends, at, ids)
+        del ends[:at]
+
+    def _emit(self, ends: list[int], at: int, ids: list[int]) -> None:
+        """Follow the last tokens, which ``ends`` holds beside the states, back from ``at``."""
+        found, length_of = [], self.length_of
         while at > 0:
-            token = ends[at - 1]
+            token = ends[at - 1] & _MASK
             found.append(token)
             at -= length_of[token]
         ids.extend(reversed(found))
@@ -196,11 +232,11 @@ class Transducer:
 class Encoder(dict):
     """Text to ids.  As a dict: a piece and its ids in decimal, joined by spaces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 1):
         import regex
 
         super().__init__()
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(ranks, room)
         self._decimal = {i: str(i) for i in ranks.values()}
         # The white space of Unicode, without the four separators that Python adds to \s.
         self._pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
@@ -211,7 +247,7 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> str:
         ids = " ".join(map(self._decimal.__getitem__, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
         if len(piece) <= LONGEST_KEPT_PIECE:
-            if len(self) >= PIECES_KEPT:
+            if len(self) >= PIECES_KEPT * self.transducer.room:
                 self.clear()
             self[piece] = ids
         return ids
@@ -279,23 +315,36 @@ class Decoder:
 
 
 def encode(docs: DataFrame, file: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded``: ids in decimal joined by one space, and what they decode to."""
+    """``doc_id, n_tokens, ids, decoded``: ids in decimal joined by one space, and what they decode to.
+
+    Tables are given back at the end of a task, as other steps may follow.
+    """
     return _mapped(docs, file, pattern, digests=False)
 
 
 def encode_digests(docs: DataFrame, file: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
-    """As :func:`encode`, with SHA-256 digests in place of the ids and the decoded text."""
+    """As :func:`encode`, with SHA-256 digests in place of the ids and the decoded text; workers keep their tables from task to task."""
     return _mapped(docs, file, pattern, digests=True)
 
 
+def _tables(file: str, pattern: str, room: int = 1) -> tuple[Encoder, Decoder]:
+    ranks = read_ranks(vocabulary_path(file))
+    return Encoder(ranks, pattern, room), Decoder(ranks)
+
+
+@functools.lru_cache(maxsize=1)
+def _warm_tables(file: str, pattern: str) -> tuple[Encoder, Decoder]:
+    """One pair per worker."""
+    return _tables(file, pattern, WARM)
+
+
 def _mapped(docs: DataFrame, file: str, pattern: str | None, digests: bool) -> DataFrame:
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        ranks = read_ranks(vocabulary_path(file))
-        encoder, decoder = Encoder(ranks, pattern or public_tokenizers.PATTERN), Decoder(ranks)
+        encoder, decoder = (_warm_tables if digests else _tables)(file, pattern or public_tokenizers.PATTERN)
         for batch in batches:
             counts, first, second = [], [], []
             for cell in batch.column(1):

@@ -56,6 +56,20 @@ def test_table_reset_changes_nothing(ranks, monkeypatch):
         assert machine.encode(word) == ([ranks[word]] if word in ranks else bpe.merge_by_rank(word, ranks))
 
 
+def test_tokens_are_emitted_after_bounded_lookahead(ranks):
+    longest = max(map(len, ranks))
+    whole = tiktoken.Encoding("whole", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(7)
+    runs = ["a" * 20_000, "ab" * 10_000, "-" * 20_000, "=" * 20_000, "abcdefghij" * 2_000, " " * 20_000, "é" * 9_000, "日本" * 4_000, "\n" * 20_000, "".join(r.choice("ab") for _ in range(20_000)), "".join(r.choice("=-") for _ in range(20_000)), "ACGT" * 5_000]
+    for run in runs:
+        machine = bpe.Transducer(ranks)
+        piece = run.encode()
+        ids = machine.encode(piece)
+        assert b"".join(map(machine.bytes_of.__getitem__, ids)) == piece
+        assert machine.most_held < 3 * longest + bpe.SETTLE
+        assert ids == whole.encode_ordinary(run)
+
+
 def test_utf8_stream_at_any_cut():
     data = "aé日🙂".encode() + b"\xff\xe2\x82" + b"z\xf0\x9f"
     for step in (1, 2, 3, 5):
