@@ -118,7 +118,8 @@ def _measured(view: DataFrame, kept: list[str]) -> DataFrame:
         _let(lines, of_lines).alias("_l"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
-        F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{name}}}" for name in UNSPACED) + "]")).cast("long").alias("n_unspaced"),
+        # These take three bytes or more; the rest needs no second look.
+        F.when(F.octet_length(text) >= 2 * F.length(text), F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{name}}}" for name in UNSPACED) + "]"))).otherwise(0).cast("long").alias("n_unspaced"),
     ).select(*kept, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines", "n_capitals", "n_unspaced")
 
 
@@ -184,7 +185,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
     len(regexp_extract_all(w.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_lines - n_distinct, 0)::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
     len(regexp_extract_all(w.text, '\p{Lu}'))::BIGINT AS n_capitals,
-    len(regexp_extract_all(w.text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]'))::BIGINT AS n_unspaced
+    CASE WHEN strlen(w.text) >= 2 * length(w.text) THEN len(regexp_extract_all(w.text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')) ELSE 0 END::BIGINT AS n_unspaced
     FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
 b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 20 * n_words)::BIGINT
     + 8 * (100 * n_dup_lines > 60 * n_lines)::BIGINT + 16 * (word_chars > 10 * n_words OR word_chars < 3 * n_words)::BIGINT
