@@ -15,7 +15,7 @@ the vocabulary expects.  No piece has a mark after another character, nor a
 line end, so the best path of a text is that of its parts cut there; scores of
 the shipped vocabulary are whole numbers, so sums are exact in any order.  A
 vocabulary for which this doesn't hold is not cut.  Parts are counted once per
-worker and kept in a bounded table.
+worker, which keeps them from task to task, in a bounded table.
 
 Defined results: a null or empty text has no tokens and score 0; a null
 ``doc_id`` is passed through; repeated rows are counted row by row; texts of
@@ -24,6 +24,7 @@ any length are read whole; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +35,7 @@ from anchorage.llm.common import releasing, vocabulary_path
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-PARTS_KEPT, LONGEST_KEPT_PART = 400_000, 64
+PARTS_KEPT, LONGEST_KEPT_PART = 1_000_000, 64
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
@@ -102,11 +103,17 @@ class Counter(dict):
         return sum(n for n, _ in found), sum(s for _, s in found)
 
 
+@functools.lru_cache(maxsize=1)
+def _counter(file: str) -> Counter:
+    """One per worker, with the parts it has met."""
+    return Counter(read_pieces(vocabulary_path(file)))
+
+
 def count_tokens(docs: DataFrame, file: str = "piece_bpe_32k.model") -> DataFrame:
     """``doc_id, n_tokens, score`` of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(read_pieces(vocabulary_path(file)))
+        counter = _counter(file)
         for batch in batches:
             found = [counter.count(cell.as_py()) for cell in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
