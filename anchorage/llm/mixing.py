@@ -10,8 +10,9 @@ the sample is the same however often and wherever it is computed.
 
 Default targets: ``SHARE`` of all tokens in total, spread over the values of a
 margin in proportion to their tokens to the power ``FLATTEN`` (less than 1
-favours small sources), none above what it has.  Any table of target shares
-can be given instead.
+favours small sources), none above ``ROOM`` of what it has: margins that go
+together, as topics and languages do, can then be met at once.  Any table of
+target shares can be given instead.
 
 Topics come from a clustering of all documents by their words
 (:mod:`anchorage.llm.topics`), or from a fitted one that is given.
@@ -46,7 +47,7 @@ from anchorage.llm import topics
 from anchorage.llm.common import cut, drop_scratch, quoted
 
 MARGINS = ("source", "lang", "topic")
-SHARE, FLATTEN, SEED = 0.75, 0.7, 11
+SHARE, FLATTEN, ROOM, SEED = 0.75, 0.7, 0.85, 11
 SWEEPS, CLOSE, TOLERATED = 200, 1e-6, 0.01
 CELLS_AT_DRIVER = 200_000
 
@@ -79,14 +80,14 @@ def features(docs: DataFrame, count: Callable[[str], int] | None = None, rows: b
 
 
 def default_targets(tokens: np.ndarray, share: float = SHARE, flatten: float = FLATTEN) -> np.ndarray:
-    """Target tokens of the values of one margin: flattened, none above its tokens, ``share`` of all in total."""
-    total, target = share * tokens.sum(), np.zeros(len(tokens))
+    """Target tokens of the values of one margin: flattened, none above ``ROOM`` (or ``share``, if more) of its tokens, ``share`` of all in total."""
+    total, target, most = share * tokens.sum(), np.zeros(len(tokens)), max(share, ROOM) * tokens
     open_ = tokens > 0
     while open_.any() and total - target.sum() > 1e-9 * max(total, 1):
         weight = np.where(open_, tokens.astype(float) ** flatten, 0.0)
         target = target + (total - target.sum()) * weight / weight.sum()
-        open_ = open_ & (target < tokens)
-        target = np.minimum(target, tokens)
+        open_ = open_ & (target < most)
+        target = np.minimum(target, most)
     return target
 
 
