@@ -41,6 +41,8 @@ from anchorage.llm.common import releasing, vocabulary_path
 PIECES_KEPT, STATES_KEPT, FITS_KEPT = 300_000, 120_000, 400_000
 #: How many times as many a worker keeps that goes from task to task with the same tables.
 WARM = 3
+#: Documents whose ids are held at a time.
+SLICE = 250
 #: Longer pieces are encoded each time, so that one odd text can't fill memory.
 LONGEST_KEPT_PIECE = 48
 #: After so many bytes of a piece, settled tokens are looked for and emitted.
@@ -346,25 +348,27 @@ def _mapped(docs: DataFrame, file: str, pattern: str | None, digests: bool) -> D
 
         encoder, decoder = (_warm_tables if digests else _tables)(file, pattern or public_tokenizers.PATTERN)
         for batch in batches:
-            counts, first, second = [], [], []
-            for cell in batch.column(1):
-                ids = encoder.decimal(cell.as_py() or "")
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                if digests:
-                    first.append(hashlib.sha256(ids.encode()).hexdigest())
-                    sha = hashlib.sha256()
-                    stream = Utf8Stream()
-                    for data in decoder.steps(ids):
-                        sha.update(stream.feed(data).encode())
-                    sha.update(stream.close().encode())
-                    second.append(sha.hexdigest())
-                else:
-                    first.append(ids)
-                    second.append(decoder.text(ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-                names=["doc_id", "n_tokens", *names],
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                counts, first, second = [], [], []
+                for cell in part.column(1):
+                    ids = encoder.decimal(cell.as_py() or "")
+                    counts.append(ids.count(" ") + 1 if ids else 0)
+                    if digests:
+                        first.append(hashlib.sha256(ids.encode()).hexdigest())
+                        sha = hashlib.sha256()
+                        stream = Utf8Stream()
+                        for data in decoder.steps(ids):
+                            sha.update(stream.feed(data).encode())
+                        sha.update(stream.close().encode())
+                        second.append(sha.hexdigest())
+                    else:
+                        first.append(ids)
+                        second.append(decoder.text(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
+                    names=["doc_id", "n_tokens", *names],
+                )
 
     kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return kept.mapInArrow(lambda batches: releasing(run(batches)), f"doc_id long, n_tokens long, {names[0]} string, {names[1]} string")
