@@ -1,8 +1,9 @@
 """Requirements against capabilities: satisfied, unsatisfied, unresolved or not applicable.
 
 Missing evidence is unresolved and never unsatisfied.  Candidates are found by
-one equi-join on kind and key; every rule is one ``when`` chain over
-aggregates of a requirement's candidates, of which there are few.
+an equi-join on kind and key, in which both sides are shuffled but for orders;
+every rule is one ``when`` chain over aggregates of a requirement's candidates,
+of which there are few.
 """
 
 from __future__ import annotations
@@ -58,7 +59,10 @@ def constraints(anchor: str, requirements: DataFrame, capabilities: DataFrame, b
         F.col("kind").alias("cap_kind"), _key(F.col("kind"), F.col("sequence_name"), F.col("scheme"), F.col("subject_id"), F.col("anchor_id"), F.col("checked")).alias("key"),
         F.struct("capability_id", F.col("kind").alias("k"), "present", "length", "value", "checked", "conflict", "unresolved", "binding_state", "names").alias("c"),
     )
-    found = wanted.join(c, ["cap_kind", "key"]).groupBy("requirement_id").agg(F.array_sort(F.collect_list("c"), lambda a, b: F.when(a["capability_id"] < b["capability_id"], -1).when(a["capability_id"] > b["capability_id"], 1).otherwise(0)).alias("cands"))
+    # Capabilities are many times what Spark estimates from the compressed table they come from: broadcast, they could fill the driver.  Orders all have one key and few capabilities.
+    order, on = F.col("cap_kind") == "order", ["cap_kind", "key"]
+    pairs = wanted.where(~order).join(c.where(~order).hint("merge"), on).unionByName(wanted.where(order).join(c.where(order), on))
+    found = pairs.groupBy("requirement_id").agg(F.array_sort(F.collect_list("c"), lambda a, b: F.when(a["capability_id"] < b["capability_id"], -1).when(a["capability_id"] > b["capability_id"], 1).otherwise(0)).alias("cands"))
     rows = r.join(found, "requirement_id", "left").withColumn("cands", F.coalesce("cands", F.array().cast("array<struct<capability_id:string,k:string,present:boolean,length:bigint,value:string,checked:bigint,conflict:bigint,unresolved:bigint,binding_state:string,names:array<string>>>")))
     fits = F.filter("cands", lambda x: F.size(F.array_except("projected_names", x["names"])) == 0)
     return _judged(anchor, rows.withColumn("cands", F.when(F.col("kind") == "order", fits).otherwise(F.col("cands"))))

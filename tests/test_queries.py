@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import pytest
 
@@ -36,6 +37,20 @@ def test_query(spark, sql, name):
     assert _plain(got, columns) == _plain(want, columns)
 
 
+@pytest.mark.parametrize("name", ["alignment_constraints", "annotation_constraints", "constraint_states"])
+def test_capabilities_are_not_broadcast(spark, name):
+    """They are many times the estimate, which is that of a compressed table; the driver holds a broadcast side whole."""
+    rows = core.QUERIES[name](spark, TABLES)
+    rows.collect()  # the plan as it ran in the end
+    joins = re.findall(r"(\w+Join) \[cap_kind", rows._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
+def test_orders_are_not_dealt_by_their_one_key(spark):
+    plan = core.QUERIES["order_constraints"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cap_kind" not in plan
+
+
 def test_entry_stands_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
